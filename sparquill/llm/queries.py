@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, simhash, tokens
+from . import automata, decontaminate, mixing, quality, simhash, suffixes, tokens
 from .common import documents, new_path
 
 
@@ -33,6 +33,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.strip_repeats(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.strip_copied(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     trees = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -40,7 +49,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op3_token_file, op5_mix, op7_simhash, op10_quality)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_token_file, op5_mix, op7_simhash, op8_suffix_array, op9_substrings, op10_quality)}
 
 
 OP1 = r"""
@@ -56,6 +65,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP9 = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+least AS (SELECT x, min(doc_id) AS first FROM win GROUP BY x),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS k FROM win JOIN least USING (x) WHERE first < doc_id),
+out AS (SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id),
+kept AS (SELECT doc_id, len(w) AS n, len(coalesce(ks, [])) AS r, string_agg(v, ' ' ORDER BY k) FILTER (WHERE g IS NULL) AS t
+  FROM (SELECT d.doc_id, d.w, out.ks, u.k, d.w[u.k] AS v, gone.k AS g FROM d LEFT JOIN out USING (doc_id) LEFT JOIN (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k FROM d) u ON u.doc_id = d.doc_id LEFT JOIN gone ON gone.doc_id = d.doc_id AND gone.k = u.k) GROUP BY doc_id, w, ks)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM kept
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1}
+    return {"op1_decontaminate": OP1, "op9_substrings": OP9}
