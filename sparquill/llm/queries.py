@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automata, decontaminate, mixing, quality, simhash, suffixes, tokens
+from . import automata, decontaminate, licences, lines, mixing, quality, simhash, sitetree, suffixes, tokens
 from .common import documents, new_path
 
 
@@ -18,6 +18,16 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", F.col("h.n_words").alias("n_words"), n.alias("n_hit"), F.size("h.items").cast("long").alias("n_items"), F.sha2(F.array_join("h.items", ","), 256).alias("items_sha256"), (n > 0).alias("contaminated"))
 
 
+def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.strip_chunks(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id").drop("kept")
+
+
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = licences.scan(docs, F.col("doc_id"), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")), F.col("text"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens.write(documents(spark, sf_dir), path := new_path(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"))
     return tokens.read(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
@@ -28,6 +38,10 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("_row.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 
+def op6_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -49,7 +63,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op3_token_file, op5_mix, op7_simhash, op8_suffix_array, op9_substrings, op10_quality)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_line_chunks, op3_token_file, op4_licences, op5_mix, op6_site_tree, op7_simhash, op8_suffix_array, op9_substrings, op10_quality)}
 
 
 OP1 = r"""
