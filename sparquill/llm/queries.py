@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Template
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,5 +93,41 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha
 """
 
 
+OP2 = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL),
+h AS (SELECT *, CAST('0x' || md5(line)[1:8] AS BIGINT) AS h FROM l),
+b AS (SELECT *, (h + 31 * coalesce(lag(h) OVER w, 0) + 961 * coalesce(lag(h, 2) OVER w, 0)) % 4 = 0 AS e FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+c AS (SELECT *, coalesce(sum(CAST(e AS INT)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM b),
+g AS (SELECT doc_id, chunk, count(*) AS n, string_agg(line, chr(10) ORDER BY k) AS body FROM c GROUP BY doc_id, chunk),
+f AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1 AS gone FROM g),
+s AS (SELECT doc_id, sum(n) AS n_lines, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed_chunks, sum(n) FILTER (gone) AS n_removed_lines, string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT gone) AS kept FROM f GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_removed_chunks, 0) AS n_removed_chunks, CAST(coalesce(n_removed_lines, 0) AS BIGINT) AS n_removed_lines, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN s USING (doc_id)
+"""
+
+OP4 = r"""
+WITH t(licence, body) AS (VALUES $TEMPLATES),
+tt AS (SELECT licence, term, count(*) AS tf FROM (SELECT licence, unnest(regexp_extract_all(lower(body), '$WORDS')) AS term FROM t) GROUP BY ALL),
+idf AS (SELECT term, ln((1.0 + $N) / (1.0 + count(*))) + 1.0 AS idf FROM tt GROUP BY term),
+w AS (SELECT licence, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY licence)) AS w FROM tt JOIN idf USING (term)),
+p AS (SELECT doc_id, text, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, concat_ws('/', source, lang) AS dir FROM documents),
+said AS (SELECT doc_id, row_number() OVER () AS place, body FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10))) AS body FROM p WHERE text IS NOT NULL) WHERE regexp_matches(body, '$SPEAKS')),
+tf AS (SELECT doc_id, place, term, count(*) AS tf FROM (SELECT doc_id, place, unnest(regexp_extract_all(lower(body), '$WORDS')) AS term FROM said) GROUP BY ALL),
+v AS (SELECT tf.*, tf * coalesce(idf, ln(1.0 + $N) + 1.0) AS v FROM tf LEFT JOIN idf USING (term)),
+n AS (SELECT place, sqrt(sum(v * v)) AS norm FROM v GROUP BY place),
+near AS (SELECT v.doc_id, place, licence, round(sum(v * w) / any_value(norm), 4) AS similarity FROM v JOIN w USING (term) JOIN n USING (place) GROUP BY v.doc_id, place, licence HAVING round(sum(v * w) / any_value(norm), 4) >= $LEAST),
+best AS (SELECT doc_id, similarity, licence FROM near QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, licence) = 1),
+own AS (SELECT p.*, similarity, licence AS own_licence FROM p LEFT JOIN best USING (doc_id)),
+files AS (SELECT dir, own_licence AS declared FROM own WHERE own_licence IS NOT NULL AND len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) <= $FILE QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, own_licence) = 1),
+found AS (SELECT own.doc_id, arg_max(files.dir, length(files.dir)) AS declared_in, arg_max(declared, length(files.dir)) AS declared FROM own JOIN files ON own.dir = files.dir OR starts_with(own.dir, files.dir || '/') OR files.dir = '' GROUP BY own.doc_id)
+SELECT doc_id, path, own_licence, similarity, coalesce(own_licence, declared) AS licence, CASE WHEN own_licence IS NULL THEN declared_in END AS declared_in FROM own LEFT JOIN found USING (doc_id)
+"""
+
+
+def _op4() -> str:
+    values = {"TEMPLATES": ", ".join(f"('{k}', '{v}')" for k, v in licences.TEMPLATES.items()), "WORDS": licences.WORDS, "SPEAKS": licences.SPEAKS, "LEAST": licences.LEAST, "FILE": licences.FILE_WORDS, "N": len(licences.TEMPLATES)}
+    return Template(OP4).substitute(values)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op9_substrings": OP9}
+    return {"op1_decontaminate": OP1, "op2_line_chunks": OP2, "op4_licences": _op4(), "op9_substrings": OP9}
