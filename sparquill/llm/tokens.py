@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,8 +29,11 @@ from .common import raw
 
 END, BLOCK_TOKENS, ROUNDS, RULES, LEAST = 1, 2_000_000, 4, 1024, 8
 FILE = "shard int, block int, start long, n_tokens long, base int, doc_ids array<long>, lengths binary, offsets binary, left binary, right binary, spans binary, symbols binary"
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
 PLAIN = re.compile(r"[!-~¡-¬®-įı-ɏ]+")
+#: Marks that close a word in one token part. The tokenizer's own pattern treats an apostrophe otherwise, and < may begin a special token.
+MARKS_TEXT = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+MARKS = MARKS_TEXT.encode()
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
@@ -49,48 +53,52 @@ class Encoder:
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.ids, self.used = np.zeros(1 << 20, np.int32), 0
-        self.first, self.count = np.zeros(CACHED_WORDS * 2, np.int64), np.zeros(CACHED_WORDS * 2, np.int64)
+        self.ids, self.first, self.count = array("i"), array("q"), array("q")
         self.parts: dict[str, list[int]] = {}
 
     def part(self, piece: str) -> list[int]:
         if (own := self.parts.get(piece)) is None:
             text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.table)
             own = self.parts[piece] = [t.id for t in self.tokenizer.model.tokenize(text)]
-            if len(self.parts) > CACHED_WORDS:
-                self.parts.clear()
         return own
 
     def word(self, word: bytes) -> list[int]:
+        bare = word.rstrip(MARKS)
+        if bare.isalpha():  # ASCII letters, then marks
+            own = self.part(bare.decode("ascii").lower())
+            return own if len(bare) == len(word) else own + self.part(word[len(bare) :].decode("ascii"))
         text = word.decode()
         if not PLAIN.fullmatch(text) or "<|" in text or "İ" in text:
             return self.tokenizer.encode(text, add_special_tokens=False).ids
-        text = text.lower()
-        return self.part(text) if text.isalpha() else [i for piece in PIECES.findall(text) for i in self.part(piece)]
+        letters = text.rstrip(MARKS_TEXT).lower()
+        if letters.isalpha():
+            return self.part(letters) + self.part(text[len(letters) :]) if len(letters) < len(text) else self.part(letters)
+        return [i for piece in PIECES.findall(text.lower()) for i in self.part(piece)]
 
     def learn(self, word: bytes) -> int:
-        ids, k = self.word(word), len(self.known)
-        if k >= len(self.first):
-            self.first, self.count = np.resize(self.first, 2 * k), np.resize(self.count, 2 * k)
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.first[k], self.count[k] = self.used, len(ids)
-        self.used += len(ids)
-        self.known[word] = k
+        if (k := self.known.get(word)) is not None:
+            return k
+        ids = self.word(word)
+        self.first.append(len(self.ids)), self.count.append(len(ids))
+        self.ids.extend(ids)
+        k = self.known[word] = len(self.known)
         return k
 
     def encode(self, text: bytes | None) -> np.ndarray:
         words = (text or b"").split()
         if len(self.known) > CACHED_WORDS:
             self.clear()
-        known, learn = self.known, self.learn
-        rows = np.array([k if (k := known.get(w)) is not None else learn(w) for w in words], np.int64)
-        count = self.count[rows]
+        rows = list(map(self.known.get, words))
+        if None in rows:
+            learn = self.learn
+            rows = [learn(w) if k is None else k for k, w in zip(rows, words, strict=True)]
+        rows = np.array(rows, np.int64)
+        flat, first, count = (np.frombuffer(x, t) if len(x) else np.zeros(0, t) for x, t in ((self.ids, np.int32), (self.first, np.int64), (self.count, np.int64)))
+        first, count = first[rows], count[rows]
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
         out = np.empty(total + 1, np.int32)
-        out[:total] = self.ids[np.repeat(self.first[rows] - ends + count, count) + np.arange(total)]
+        out[:total] = flat[np.repeat(first - ends + count, count) + np.arange(total)]
         out[total] = END
         return out
 
