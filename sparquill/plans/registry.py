@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from .queries import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
 
 
-def entry(spark, sf_dir: str):
-    name = next(iter(queries()))
-    return queries()[name](spark, sf_dir)
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid retrieval: BM25 and term overlap fused by reciprocal rank."""
+    return QUERIES["rrf_fusion"](spark, sf_dir)
