@@ -84,7 +84,8 @@ def lenient_score(text: Column | str, low: int, high: int, default: int) -> Colu
     t = F.translate(col(text), "０１２３４５６７８９", "0123456789")
     n = F.nullif(F.regexp_extract(t, r"-?\d+", 0), F.lit("")).try_cast("int")
     word = F.when(t.contains("高"), 7).when(t.contains("中"), 5).when(t.contains("低"), 3)
-    return F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(n, word))), F.lit(default))
+    found = F.coalesce(n, word)
+    return F.when(found.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), found))).otherwise(default)
 
 
 def display(value: Column | str) -> Column:

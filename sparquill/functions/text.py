@@ -79,7 +79,7 @@ def html_lines(text: Column | str) -> Column:
     bare = F.regexp_replace(F.coalesce(col(text), F.lit("")), r"(?is)<(script|style|noscript|svg|iframe|head)\b.*?</\1\s*>", " ")
     lines = F.regexp_replace(bare, r"(?i)<br\s*/?>|</(p|div|h[1-6]|li|tr|section|article|ul|ol|table|blockquote)\s*>", "\n")
     plain = _decode(F.regexp_replace(lines, r"(?s)<[^>]+>", " "))
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^\S\n]+", " "), r" ?\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"[^\S\n]+", " "), r" ?\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 def html_title(text: Column | str, most: int = 300) -> Column:

@@ -64,8 +64,8 @@ def spearman(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Rank correlation in each group; 0 where a side is constant."""
     full = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = full.join(average_ranks(full, by, a, "_ra"), [*by, a]).join(average_ranks(full, by, b, "_rb"), [*by, b])
-    rho = F.corr("_ra", "_rb")
-    return ranked.groupBy(*by).agg(F.when((F.stddev_pop("_ra") > 0) & (F.stddev_pop("_rb") > 0), rho).otherwise(0.0).alias("spearman"))
+    spread = F.stddev_pop("_ra") * F.stddev_pop("_rb")
+    return ranked.groupBy(*by).agg(F.when(spread > 0, F.covar_pop("_ra", "_rb") / spread).otherwise(0.0).alias("spearman"))
 
 
 def log_fences(rows: DataFrame, by: list[str], value: str, reach: float = 3.0) -> DataFrame:

@@ -383,7 +383,7 @@ def paragraph_blocks(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents), t AS (SELECT *, CASE WHEN regexp_matches(line, '^#{1,6}\\s+\\S') THEN 'Title' WHEN regexp_matches(line, '^\\s*\\|.*\\|\\s*$') THEN 'Table' ELSE 'Text' END AS type FROM l),
 f AS (SELECT *, CASE WHEN type = 'Title' OR lag(type) OVER w IS DISTINCT FROM type THEN 1 ELSE 0 END AS fresh FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY k)), b AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS block FROM f),
 g AS (SELECT doc_id, block, type, string_agg(line, chr(10) ORDER BY k) AS c FROM b GROUP BY ALL)
-SELECT type, count(*) AS blocks, CAST(sum(length(trim(c))) AS BIGINT) AS chars FROM g WHERE trim(c) <> '' GROUP BY type""")
+SELECT type, count(*) AS blocks, CAST(sum(length(c)) AS BIGINT) AS chars FROM (SELECT type, regexp_replace(c, '^\\s+|\\s+$', '', 'g') AS c FROM g) WHERE c <> '' GROUP BY type""")
 def markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
     found = readers.markdown_blocks(table(spark, d, "documents"), "doc_id", "text")
     return found.groupBy("type").agg(F.count("*").alias("blocks"), F.sum(F.length("content")).alias("chars"))

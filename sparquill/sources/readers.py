@@ -94,7 +94,7 @@ def markdown_blocks(docs: DataFrame, id: str, text: str) -> DataFrame:
     fresh = (F.col("type") == "Title") | (F.lag("type").over(w).isNull()) | (F.lag("type").over(w) != F.col("type"))
     runs = lines.withColumn("block", F.sum(fresh.cast("int")).over(w))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    found = runs.groupBy("id", "block", "type").agg(F.max("level").alias("level"), F.trim(body).alias("content")).where("content <> ''")
+    found = runs.groupBy("id", "block", "type").agg(F.max("level").alias("level"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("content")).where("content <> ''")
     return found.withColumn("content", F.when(F.col("type") == "Title", F.regexp_replace("content", r"^#{1,6}\s+", "")).otherwise(F.col("content")))
 
 
