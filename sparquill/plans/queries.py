@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import numbers, text
-from ..operators import evidence, graph, retrieval, statistics
+from ..functions import embedded, numbers, text
+from ..functions.chunks import chunked
+from ..operators import clusters, evidence, graph, retrieval, simulation, statistics, trees
 from ..sources import readers, sinks
 from ..sources.tables import table
 from ..streaming import events as ev
@@ -392,3 +393,56 @@ def markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT lower(l_returnflag) AS flag, count(*) AS n, round(avg(l_discount), 8) AS mean FROM lineitem GROUP BY 1""")
 def class_histogram(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy(F.lower("l_returnflag").alias("flag")).agg(F.count("*").alias("n"), F.round(F.avg("l_discount"), 8).alias("mean"))
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k FROM events""")
+def json_props(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.get_json_object(embedded.first_json("props"), "$.k").alias("k"))
+
+
+@query()
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunked(table(spark, d, "documents"), "doc_id", "text").select("chunk", "pos", F.length("content").alias("n"), F.md5("content").alias("content_md5"))
+
+
+@query("""WITH RECURSIVE k AS (SELECT doc_id AS id, md5(text) AS k FROM documents UNION ALL SELECT doc_id, 'l' || split_part(text, chr(10), 1) FROM documents WHERE split_part(text, chr(10), 1) <> ''), m AS (SELECT k, min(id) AS least FROM k GROUP BY k), e AS (SELECT DISTINCT id AS a, least AS b FROM k JOIN m USING (k) WHERE id <> least), w AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a, b FROM w UNION SELECT r.a, w.b FROM r JOIN w ON r.b = w.a)
+SELECT doc_id, least(doc_id, coalesce(min(b), doc_id)) AS cluster FROM documents LEFT JOIN r ON a = doc_id GROUP BY doc_id""")
+def reprint_clusters(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", F.md5("text").alias("hash"), F.substring_index("text", "\n", 1).alias("line"))
+    return clusters.reprints(rows, "doc_id", ["hash", "line"])
+
+
+@query()
+def claim_clusters(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "system", "system").alias("key"), F.substring_index("text", "\n", 1).alias("claim"))
+    return clusters.greedy_claims(rows, "conv_id", "turn", "key", "claim", "turn")
+
+
+def _brands(spark: SparkSession, d: str) -> DataFrame:
+    """Brands as models: a price with its spread, a mean size and a count."""
+    q = statistics.quantiles(table(spark, d, "part"), ["p_brand"], "p_retailprice", {"price_low": 0.1, "price_mid": 0.5, "price_high": 0.9})
+    size = table(spark, d, "part").groupBy("p_brand").agg(F.avg("p_size").alias("size_mid"))
+    return q.join(size, "p_brand").select("p_brand", "price_low", "price_mid", "price_high", (F.col("size_mid") * 0.8).alias("size_low"), "size_mid", (F.col("size_mid") * 1.3).alias("size_high"), (F.col("n") * 0.9).alias("count_low"), F.col("n").cast("double").alias("count_mid"), (F.col("n") * 1.2).alias("count_high"))
+
+
+@query()
+def simulate_brands(spark: SparkSession, d: str) -> DataFrame:
+    draws = simulation.simulate(_brands(spark, d), "p_brand", "price * count / size", {"price": "lognormal", "size": "triangular", "count": "uniform"}, 2000, 20260710)
+    return simulation.summary(draws, "p_brand").select("p_brand", "n", "failed", *(F.round(c, 4).alias(c) for c in ("mean", "std", "p10", "p50", "p90")))
+
+
+@query("""WITH b AS (SELECT p_brand, quantile_cont(p_retailprice, 0.1) AS pl, quantile_cont(p_retailprice, 0.5) AS pm, quantile_cont(p_retailprice, 0.9) AS ph, avg(p_size) AS s, count(*) AS n FROM part GROUP BY 1),
+r AS (SELECT p_brand, 'price' AS name, pl * n / s AS low, ph * n / s AS high, 1.0 AS e FROM b UNION ALL SELECT p_brand, 'size', pm * n / (0.8 * s), pm * n / (1.3 * s), (1 / 1.01 - 1 / 0.99) / 0.02 FROM b UNION ALL SELECT p_brand, 'count', pm * 0.9 * n / s, pm * 1.2 * n / s, 1.0 FROM b)
+SELECT p_brand, name, round(low, 4) AS low, round(high, 4) AS high, round(abs(high - low), 4) AS span, round(e, 6) AS elasticity, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY abs(high - low) DESC, name) AS INT) AS rank, round(abs(high - low) / sum(abs(high - low)) OVER (PARTITION BY p_brand), 6) AS share FROM r""")
+def sensitivity_brands(spark: SparkSession, d: str) -> DataFrame:
+    found = simulation.sensitivity(_brands(spark, d), "p_brand", "price * count / size", ["price", "size", "count"])
+    return found.select("p_brand", "name", *(F.round(c, 4).alias(c) for c in ("low", "high", "span")), F.round("elasticity", 6).alias("elasticity"), "rank", F.round("share", 6).alias("share"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type, CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 ELSE 0 END AS level FROM events)
+SELECT event_id, coalesce((SELECT max(p.event_id) FROM e p WHERE p.user_id = e.user_id AND p.event_id < e.event_id AND p.level > 0 AND (e.level = 0 OR p.level < e.level)), -1) AS parent FROM e""")
+def event_outline(spark: SparkSession, d: str) -> DataFrame:
+    """Events as an outline: signups above views above clicks above the rest."""
+    level = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "view", 2).when(F.col("event_type") == "click", 3).otherwise(0)
+    return trees.outline(table(spark, d, "events").withColumn("level", level), "user_id", "event_id", "level").select("event_id", F.coalesce("parent", F.lit(-1)).alias("parent"))
