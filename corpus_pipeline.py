@@ -20,11 +20,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one that gives it its id. Documents without an id stay."""
-    found = simhash.near_duplicates(docs.where("doc_id IS NOT NULL"))
-    copies = found.where("doc_id <> component").select("doc_id")
-    once = docs.join(copies, "doc_id", "left_anti")
-    return once
+    """One document of each component stays: the one that gives it its id (of several rows of that id, the text of least hash, once).
+
+    A document without an id goes if its component has one with an id; else it stays, once for each text.
+    """
+    found = simhash.near_duplicates(docs)
+    named = found.where("doc_id = component").groupBy("doc_id").agg(F.min("mark").alias("mark"))
+    nameless = found.where("doc_id IS NULL AND component IS NULL").select("doc_id", "mark").distinct()
+    chosen = named.union(nameless).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    marked = docs.withColumn("_own", F.xxhash64("text"))
+    return marked.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark"))).dropDuplicates(["doc_id", "_own"]).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ LEAST_PAGES, LOW, DAMPING, BROADCAST_ROWS = 4, 0.25, 0.9, 100_000
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 SPACE = re.compile(r"\s+")
-PARTS = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
+PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Za-z][a-z]*|[0-9]+")
 
 # Element names of HTML by their role here.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())

@@ -398,6 +398,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in kept[4].collect())
 
 
+def test_pipeline_keeps_one_of_each_group(spark, table):
+    import corpus_pipeline as pipeline
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a), (5, a), (7, a), (5, b), (8, b), (None, b), (None, c), (None, c), (9, "x"), (9, "x"), (9, "y z")]
+    docs = table(rows, "doc_id long, text string")
+    found = Counter(tuple(r) for r in pipeline.near_duplicates(spark, docs, SF).collect())
+    one = [Counter([(5, t), (None, c), (9, s)]) for t in (a, b) for s in ("x", "y z")]  # rows of one id: the text of least hash
+    assert found in one
+
+
 def test_pipeline_with_nulls(spark, table):
     import corpus_pipeline as pipeline
 
