@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
+from ..sources.tables import numbered
 
 # Weights of sub-scores and penalties.
 WEIGHTS = {"source_authority": 0.18, "primaryness": 0.14, "parameter_directness": 0.18, "methodology_transparency": 0.12, "geography_fit": 0.08, "population_fit": 0.07, "time_fit": 0.08, "recency": 0.05, "independence": 0.05, "reproducibility": 0.05}
@@ -73,15 +77,27 @@ def coverage(sources: DataFrame, key: str, engine: str) -> DataFrame:
 def registry(sources: DataFrame, key: str, engine: str) -> DataFrame:
     """(name, key, engines): S1, S2 and so on in order of the key, with the engines that cite it."""
     sets = sources.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(engine)), ",").alias("engines"))
-    return sets.select(F.concat(F.lit("S"), F.row_number().over(Window.orderBy(key))).alias("name"), key, "engines")
+    return numbered(sets, [key], "_k").select(F.concat(F.lit("S"), "_k").alias("name"), key, "engines")
 
 
 def skyline(points: DataFrame, a: str, b: str) -> DataFrame:
     """Points that no other is at least as good as in both and better in one (larger is better). Equal points stay together.
 
-    The best b for each a is pre-aggregated; running maxima over the few distinct pairs that are left give the front.
+    The best b for each a is pre-aggregated, and each task keeps its own front; running maxima over what is left give the front of all.
     """
     best = points.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a).agg(F.max(b).alias(b))
+
+    def own(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for part in parts:
+            kept = part if kept is None else pd.concat([kept, part])
+            kept = kept.sort_values([a, b], ascending=False)
+            top = kept[b].cummax().shift(1)
+            kept = kept[top.isna() | (kept[b] > top)]
+        if kept is not None:
+            yield kept
+
+    best = best.mapInPandas(own, best.schema)
     above = Window.orderBy(F.desc(a)).rowsBetween(Window.unboundedPreceding, -1)
     front = best.withColumn("_top", F.max(b).over(above)).where(F.col("_top").isNull() | (F.col(b) > F.col("_top"))).drop("_top")
     return points.join(front, [a, b], "left_semi")

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import stage
+from ..sources.tables import numbered, stage
 
 
 def undirected(edges: DataFrame, a: str = "src", b: str = "dst", weight: str | None = None) -> DataFrame:
@@ -94,7 +94,7 @@ def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
 def community_order(members: DataFrame) -> DataFrame:
     """(community, size, name): the largest first, then the least member; named C1, C2 and so on."""
     sizes = members.groupBy("community").agg(F.count("*").alias("size"), F.min("node").alias("least"))
-    return sizes.select("community", "size", F.concat(F.lit("C"), F.row_number().over(Window.orderBy(F.desc("size"), F.asc("least")))).alias("name"))
+    return numbered(sizes.withColumn("_less", -F.col("size")), ["_less", "least"], "_k").select("community", "size", F.concat(F.lit("C"), "_k").alias("name"))
 
 
 def pagerank(edges: DataFrame, seeds: DataFrame | None = None, damping: float = 0.85, rounds: int = 100, close: float = 1e-8) -> DataFrame:
