@@ -21,8 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, portions, raw
-from .repeats import NONE, tidy
+from .common import keep, portions, raw, tidy
+from .repeats import NONE
 
 REACH, MEAN, FACTOR = 3, 4, 31
 

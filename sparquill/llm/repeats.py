@@ -12,7 +12,6 @@ Rows are numbered by the scan, so `docs` must be read from files (as any table i
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import contexts
-from .common import keep, portions, raw
+from .common import keep, portions, raw, tidy
 
 MANY, CHUNK, SHAPE = 512, 2000, 1 << 12
 CONTEXT = "row long, owner long, first int, shape int, anchor long, context long"
@@ -130,12 +129,6 @@ def _explode(kind: Kind, dtype: np.dtype):
     return explode
 
 
-def tidy(spark) -> None:
-    """Let Spark remove the shuffle files of finished steps now, not when the driver next happens to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def repeated(docs: DataFrame, kind: Kind, rule: Rule) -> DataFrame:
     """(row, ranges: array of half-open ranges of symbols that repeated windows cover) from docs (row, owner, text)."""
     dtype = kind.symbols(b"").dtype
