@@ -45,12 +45,14 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs topbar sidebar sidenav rail widget widgets footer foot cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments discussion disqus replies respond related recommended recommendations copyright pagination pager search form toolbar contentinfo complementary hidden".split())
 #: Those that hold only outside an article, where they are the site's own.
 OUTSIDE = frozenset("header masthead banner head logo".split())
+#: Those that make an article element a comment or a teaser.
+SMALL = frozenset("comment comments reply replies related recommended teaser promo ad ads sponsored".split())
 
 
 class Element:
     __slots__ = ("tag", "path", "dropped", "article", "children", "key", "container", "first")
 
-    def __init__(self, tag: str, path: int, dropped: bool, article: bool, container: bool, first: int):
+    def __init__(self, tag: str, path: int, dropped: bool, article: int, container: bool, first: int):
         self.tag, self.path, self.dropped, self.article, self.container, self.first, self.children = tag, path, dropped, article, container, first, []
 
 
@@ -62,12 +64,11 @@ def _names(attributes: dict[str, str]) -> set[str]:
     return {p.lower() for key in ("class", "id", "role") if key in attributes for p in PARTS.findall(attributes[key])}
 
 
-def parse(html: str) -> tuple[list[tuple[str, tuple[int, ...], bool]], list[tuple[int, int, int]], bool]:
-    """Of a page: its blocks in order (text, paths of the containers around it, in an article), its containers (path, style, first block), and whether
-    it has an article. Elements that name themselves boilerplate are left out."""
-    root = Element("", 1, False, False, False, 0)
-    stack, blocks, containers, words, links = [root], [], [], [], [0, 0]
-    marked = bool(re.search(r"<(?:article|main)\b|role=[\"']?main\b", html, re.I))
+def parse(html: str) -> tuple[list[tuple[str, tuple[int, ...], int]], list[tuple[int, int, int]]]:
+    """Of a page: its blocks in order (text, paths of the containers around it, 2 in an article, 1 in the main part, else 0) and its containers (path,
+    style, first block). Elements that name themselves boilerplate are left out."""
+    root = Element("", 1, False, 0, False, 0)
+    stack, blocks, containers, words = [root], [], [], []
 
     def flush() -> None:
         text = SPACE.sub(" ", unescape("".join(words))).strip()
@@ -117,8 +118,9 @@ def parse(html: str) -> tuple[list[tuple[str, tuple[int, ...], bool]], list[tupl
                     break
         above, attributes = stack[-1], _attributes(m[3])
         names = _names(attributes)
-        article = above.article or tag in ("article", "main") or attributes.get("role") == "main"
-        own = tag not in ("html", "body", "article", "main") and (bool(names & NAMES) or not above.article and bool(names & OUTSIDE)) or tag in DROPPED or tag == "header" and not above.article
+        article = 2 if tag == "article" else max(above.article, int(tag == "main" or attributes.get("role") == "main"))
+        named = names & (SMALL if tag == "article" else NAMES if above.article else NAMES | OUTSIDE)
+        own = tag not in ("html", "body", "main") and bool(named) or tag in DROPPED or tag == "header" and not above.article
         own = own or "hidden" in m[3].lower().split() or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         if (own and not above.dropped) and tag not in BLOCKS:
             flush()
@@ -128,7 +130,7 @@ def parse(html: str) -> tuple[list[tuple[str, tuple[int, ...], bool]], list[tupl
     words.append(html[at:] if at < len(html) else "")
     flush()
     close(1)
-    return blocks, containers, marked
+    return blocks, containers
 
 
 def _rows(column: pa.Array) -> list[str]:
@@ -145,7 +147,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in portions([p.encode() for p in pages], 4_000_000):
             out = []
             for host, html in zip(hosts[a:b], pages[a:b], strict=True):
-                blocks, containers, _ = parse(html)
+                blocks, containers = parse(html)
                 page = xxhash.xxh64_intdigest("\n".join(t for t, _, _ in blocks)) >> 1
                 own = {(p, 0, 0) for p, _, _ in containers} | {(p, 1, s >> 1) for p, s, _ in containers} | {(p, 2, xxhash.xxh64_intdigest(t) >> 1) for t, paths, _ in blocks for p in paths}
                 out += [(host, *x, page) for x in own]
@@ -170,9 +172,9 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 
 def article(html: str, low: frozenset[int]) -> str:
-    blocks, _, marked = parse(html)
-    inside = marked and any(a for _, _, a in blocks)
-    return "\n".join(t for t, paths, a in blocks if (a or not inside) and not low.intersection(paths))
+    blocks, _ = parse(html)
+    best = max((a for _, _, a in blocks), default=0)
+    return "\n".join(t for t, paths, a in blocks if a == best and not low.intersection(paths))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

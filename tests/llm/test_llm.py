@@ -197,9 +197,9 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 def test_article(table):
     text = "Head & line\nOne two three\nA <b> é end\ni\nj\nq"
-    data = [(1, "http://h/1", PAGE, *NULLS), (1, "http://h/1", PAGE, *NULLS), (2, None, None, *NULLS), (3, "http://h/3", "", *NULLS), (4, "bad", "plain <p>a<p>b", *NULLS), (None, "http://h/2", "<div hidden>x</div><div>y <a>z</a></div><!-- open", *NULLS)]
+    data = [(1, "http://h/1", PAGE, *NULLS), (1, "http://h/1", PAGE, *NULLS), (2, None, None, *NULLS), (3, "http://h/3", "", *NULLS), (4, "bad", "plain <p>a<p>b", *NULLS), (6, "http://h/6", "<main><h2>More</h2><article><header><h1>H</h1></header><p>B</p><article class='comment'><p>nice</p></article></article></main>", *NULLS), (7, "x", "<main><p>m</p></main><p>o</p>", *NULLS), (None, "http://h/2", "<div hidden>x</div><div>y <a>z</a></div><!-- open", *NULLS)]
     found = sitetree.extract(table(data, f"page_id long, url string, html string, {EXTRA}")).collect()
-    assert Counter((r.page_id, r.text) for r in found) == Counter([(1, text), (1, text), (2, ""), (3, ""), (4, "plain\na\nb"), (None, "y z")])
+    assert Counter((r.page_id, r.text) for r in found) == Counter([(1, text), (1, text), (2, ""), (3, ""), (4, "plain\na\nb"), (6, "H\nB"), (7, "m"), (None, "y z")])
     assert all(r.n_chars == len(r.text) for r in found)
     assert sitetree.extract(table([], f"page_id long, url string, html string, {EXTRA}")).count() == 0
 
