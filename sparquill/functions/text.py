@@ -214,3 +214,64 @@ def document_type(content_type: Column | str, url: Column | str) -> Column:
     by_name = F.nullif(F.regexp_extract(name, r"\.(xlsx|docx|pptx|pdf|csv|json)$", 1), F.lit(""))
     rest = F.when(kind.contains("pdf"), "pdf").when(kind.contains("csv"), "csv").when(kind.contains("json"), "json").when(kind.startswith("text/"), "text")
     return F.coalesce(F.when(kind.contains("html"), "html"), office, by_name, rest, F.lit("unknown"))
+
+
+# Beginnings and ends of company names that a key leaves out.
+COMPANY = r"^(株式会社|有限会社|合同会社|\(株\)|（株）)|(株式会社|有限会社|合同会社|\(株\)|（株）|,?(inc|corp|ltd|llc|co)\.?)$"
+# Address ranges that no fetch may reach, as patterns of dotted numbers, and names of the same kind.
+PRIVATE = r"^(0|10|127)\.|^169\.254\.|^172\.(1[6-9]|2\d|3[01])\.|^192\.168\.|^192\.0\.[02]\.|^198\.(1[89]|51\.100)\.|^203\.0\.113\.|^100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|^(22[4-9]|2[3-5]\d)\."
+LOCAL_NAMES = r"(^|\.)(localhost|local|internal|localdomain)$"
+
+
+def entity_key(name: Column | str, rounds: int = 4) -> Column:
+    """A name for comparison: compatibility forms, no white space, lower case, without company forms at either end; never empty."""
+    bare = F.lower(F.regexp_replace(_nfkc(name), r"\s+", ""))
+    key = bare
+    for _ in range(rounds):
+        key = F.regexp_replace(key, COMPANY, "")
+    return F.when(key == "", bare).otherwise(key)
+
+
+def public_url(url: Column | str) -> Column:
+    """Whether a url may be fetched: http or https, no user, a host with a dot that is neither private, local nor a disguised number."""
+    u = F.lower(F.trim(col(url)))
+    authority = F.regexp_extract(u, r"^https?://([^/?#]*)", 1)
+    host = F.regexp_replace(authority, r":\d*$", "")
+    numeric = host.rlike(r"^(0x[0-9a-f]+|\d+)(\.(0x[0-9a-f]+|\d+))*\.?$")
+    dotted = host.rlike(r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$")
+    fine = (host != "") & ~authority.contains("@") & ~authority.contains("[") & host.contains(".") & ~host.rlike(LOCAL_NAMES) & (~numeric | (dotted & ~host.rlike(PRIVATE)))
+    return F.coalesce(fine, F.lit(False))
+
+
+def numbered_sources(text: Column | str) -> Column:
+    """Of a report's last Sources heading: array of struct(n, title, url), each url once."""
+    t = F.coalesce(col(text), F.lit(""))
+    section = F.regexp_extract(t, r"(?is)^.*\n?#+\s*sources[^\n]*\n(.*)$", 1)
+    section = F.regexp_replace(section, r"(?s)\n#+\s.*$", "")
+    rows = F.filter(F.split(section, "\n"), lambda r: r.rlike(r"^\s*(?:[-*]\s*)?\[\d+\].*https?://"))
+    found = F.transform(rows, lambda r: F.struct(F.regexp_extract(r, r"\[(\d+)\]", 1).cast("int").alias("n"), F.trim(F.regexp_extract(r, r"\]\s*(.*?):?\s*https?://", 1)).alias("title"), F.regexp_extract(r, r"(https?://[^\s)]+)", 1).alias("url")))
+    return F.filter(found, lambda r, i: ~F.exists(F.slice(found, 1, i), lambda p: p["url"] == r["url"]))
+
+
+def unknown_citations(text: Column | str, known: Column) -> Column:
+    """struct(text, removed): marks such as [S3] that the registry (an array of names) doesn't have are taken out."""
+    t = F.coalesce(col(text), F.lit(""))
+    marks = F.array_distinct(F.regexp_extract_all(t, F.lit(r"\[(S\d+)\]"), 1))
+    gone = F.filter(marks, lambda m: ~F.array_contains(known, m))
+    return F.struct(F.aggregate(gone, t, lambda out, m: F.replace(out, F.concat(F.lit("["), m, F.lit("]")), F.lit(""))).alias("text"), gone.alias("removed"))
+
+
+# Labels of lines that describe a source.
+LABELS = {"publisher": "発行(?:者|主体|元)", "published": "(?:発行|公表)(?:日|年月)?", "method": "調査方法", "geography": "(?:対象)?地域", "period": "(?:対象|調査)(?:期間|年月|時点)", "population": "(?:対象|母集団)", "definition": "定義", "source": "出典", "revision": "改定"}
+
+
+def described(text: Column | str) -> Column:
+    """struct of what a source's labelled lines say; null for labels that it lacks."""
+    t = F.coalesce(col(text), F.lit(""))
+    return F.struct(*(F.nullif(F.trim(F.regexp_extract(t, rf"(?m)^\s*{label}\s*[:：]\s*(.+)$", 1)), F.lit("")).alias(name) for name, label in LABELS.items()))
+
+
+def mask_lines(text: Column | str) -> Column:
+    """Labelled lines become blanks of the same length, so that places in the text stay."""
+    every = r"^\s*(?:" + "|".join(LABELS.values()) + r")\s*[:：].*$"
+    return F.array_join(F.transform(F.split(col(text), "\n"), lambda r: F.when(r.rlike(every), F.repeat(F.lit(" "), F.length(r))).otherwise(r)), "\n")

@@ -242,3 +242,21 @@ def test_violations_and_breakers(spark):
     assert {(r.before, r.after) for r in bad.collect()} == {("created", "running"), ("completed", "running")}
     flags = spark.createDataFrame([(1, k, f) for k, f in enumerate("xxx.xx.xxxx")], "e int, k int, f string")
     assert tuple(ev.breakers(flags, "e", ["k"], F.col("f") == "x").first()) == (1, 2, 4)
+
+
+def test_keys_and_guards(spark):
+    assert [one(spark, t, text.entity_key) for t in ("株式会社 ＡＢＣ Inc.", "株式会社", "Acme Corp")] == ["abc", "株式会社", "acme"]
+    good, bad = ["https://a.com/x", "http://8.8.8.8/"], ["ftp://a.com", "http://localhost/", "http://10.1.2.3/", "http://0x7f000001/", "http://2130706433/", "http://u@a.com/", "http://[::1]/", "http://a/", "http://127.1/", "http://x.internal/", None]
+    assert all(one(spark, u, text.public_url) for u in good) and not any(one(spark, u, text.public_url) for u in bad)
+
+
+def test_reports(spark):
+    report = "# A\ntext [S1] [S9]\n## Sources\n[1] One: https://a.b/1\n- [2] Two https://a.b/2\n[3] Again: https://a.b/1\n## After\n[4] x https://a.b/4"
+    assert [(r.n, r.title, r.url) for r in one(spark, report, text.numbered_sources)] == [(1, "One", "https://a.b/1"), (2, "Two", "https://a.b/2")]
+    found = one(spark, report, lambda c: text.unknown_citations(c, F.array(F.lit("S1"))))
+    assert found.removed == ["S9"] and "[S9]" not in found.text and "[S1]" in found.text
+    page = "発行者：統計局\n定義: 全世帯\n本文 12"
+    said = one(spark, page, text.described)
+    assert said.publisher == "統計局" and said.definition == "全世帯" and said.revision is None
+    masked = one(spark, page, text.mask_lines)
+    assert len(masked) == len(page) and masked.endswith("本文 12") and "統計局" not in masked
