@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import covered, raw
 from .repeats import NONE, Kind, Rule, repeated
 
-LENGTH, GRAM = 13, 4
+LENGTH, GRAM, MANY = 13, 4, 10_000
 
 
 class Automaton:
@@ -104,7 +104,7 @@ def _words(text: bytes) -> np.ndarray:
 
 def kind(length: int = LENGTH) -> Kind:
     gram = min(GRAM, length)
-    return Kind(_words, length, gram, 8_000_000, lambda *a: compare(*a, length=length))
+    return Kind(_words, length, gram, 8_000_000, MANY, lambda *a: compare(*a, length=length))
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -82,11 +82,11 @@ def strip_chunks(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     own = docs[id].cast("long")
     rows = docs.select(own.alias("id"), docs[text].alias("text"), F.monotonically_increasing_id().alias("row"), F.coalesce(own, F.lit(NONE)).alias("owner"))
     keyed = rows.select("row", "owner", "text").mapInArrow(_keys, "row long, owner long, chunk int, key binary")
-    again = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    again = keep(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")  # read again, so that the join can split a hot key
     wanted = keep(keyed.join(again, "key").groupBy("row").agg(F.collect_list("chunk").alias("wanted")), "chunks")
     tidy(docs.sparkSession)
     bodies = keep(rows.select("row", "owner", "text").join(wanted, "row").select("row", "owner", "text", "wanted").mapInArrow(_bytes, "row long, owner long, chunk int, body binary").withColumn("place", F.struct("owner", "row", "chunk")), "bodies")
     tidy(docs.sparkSession)
-    first = bodies.groupBy("body").agg(F.min("place").alias("first"))  # grouping by the bytes is the comparison
+    first = keep(bodies.groupBy("body").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1"), "first")  # grouping by the bytes is the comparison
     gone = bodies.join(first, "body").where("place <> first").groupBy("row").agg(F.collect_list("chunk").alias("gone"))
     return rows.select("id", "text", "row").join(gone, "row", "left").select("id", "text", "gone").mapInArrow(_strip, "id long, n_lines long, n_chunks long, n_removed_chunks long, n_removed_lines long, kept string, kept_sha256 string")

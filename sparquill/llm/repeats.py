@@ -4,7 +4,7 @@
    a third of all documents hold is pre-aggregated and its join can be split.
 2. An anchor with one context repeats as a whole. Of an anchor with several, contexts are counted by their own hash in the same way.
 3. Contexts that differ from others of their anchor are compared window by window by the operator's method, a bounded number of an anchor's contexts
-   at a time. Anchors with more than `MANY` contexts are dealt by hashes of their windows instead, so no task gathers them.
+   at a time. Anchors with more than `many` contexts are dealt by hashes of their windows instead, so no task gathers them.
 4. Ranges of repeated windows come back to their documents by one join on the row's number.
 
 Rows are numbered by the scan, so `docs` must be read from files (as any table is): each pass then gives the same numbers, on retries too.
@@ -24,20 +24,21 @@ from pyspark.sql import functions as F
 from .anchors import contexts
 from .common import keep, portions, raw, tidy
 
-MANY, CHUNK, SHAPE = 512, 2000, 1 << 12
+CHUNK, SHAPE = 2000, 1 << 12
 CONTEXT = "row long, owner long, first int, shape int, anchor long, context long"
 NONE = (1 << 63) - 1
 
 
 @dataclass
 class Kind:
-    """What tasks need. symbols: a text as an array; length, gram: of windows and grams; portion: bytes of text handled at once; compare: the method,
-    from pieces of whole anchors, with anchor, own, lead and count of each, to hits[piece, window]."""
+    """What tasks need. symbols: a text as an array; length, gram: of windows and grams; portion: bytes of text handled at once; many: the most
+    contexts of an anchor that a task compares together; compare: the method, from pieces of whole anchors, with anchor, own, lead and count of each, to hits[piece, window]."""
 
     symbols: Callable[[bytes], np.ndarray]
     length: int
     gram: int
     portion: int
+    many: int
     compare: Callable[..., np.ndarray]
 
 
@@ -133,7 +134,8 @@ def repeated(docs: DataFrame, kind: Kind, rule: Rule) -> DataFrame:
     """(row, ranges: array of half-open ranges of symbols that repeated windows cover) from docs (row, owner, text)."""
     dtype = kind.symbols(b"").dtype
     seen = docs.select("row", "owner", "text").mapInArrow(_scan(kind), CONTEXT).withColumn("own", rule.own)
-    anchors = seen.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high"), rule.merge("own").alias("all")).where("n > 1")
+    anchors = keep(seen.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high"), rule.merge("own").alias("all")).where("n > 1"), "anchors")  # read again, so that the join can split a hot anchor
+    tidy(docs.sparkSession)
     found = seen.join(anchors, "anchor").withColumn("several", F.col("low") != F.col("high")).where(F.col("several") | rule.repeats("all"))
     found = keep(found.select("row", "owner", "first", "shape", "anchor", "context", "own", "several"), "contexts")
     tidy(docs.sparkSession)
@@ -142,7 +144,7 @@ def repeated(docs: DataFrame, kind: Kind, rule: Rule) -> DataFrame:
 
     several = found.where("several").withColumn("mark", F.xxhash64("row", "first"))
     groups = several.groupBy("anchor", "context").agg(rule.merge("own").alias("all"), F.min("mark").alias("least"))
-    many = groups.groupBy("anchor").agg((F.count("*") > MANY).alias("many"))
+    many = groups.groupBy("anchor").agg((F.count("*") > kind.many).alias("many"))
     groups = groups.join(many, "anchor")
     judged = keep(several.join(groups, ["anchor", "context"]).withColumn("full", rule.repeats("all")), "judged")
     whole = judged.where("full").select("row", "first", last.alias("last"))

@@ -284,9 +284,9 @@ def brute_bytes(texts, length):
         yield len(t), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("many", [repeats.MANY, 1])
+@pytest.mark.parametrize("many", [suffixes.MANY, 1])
 def test_suffix_array(table, monkeypatch, many):
-    monkeypatch.setattr(repeats, "MANY", many)
+    monkeypatch.setattr(suffixes, "MANY", many)
     monkeypatch.setattr(repeats, "CHUNK", 7)
     rows = [r for r in corpus(n=40) if len(r[1] or "") < 60_000]
     r = random.Random(9)
@@ -311,9 +311,9 @@ def brute_words(rows, length=13):
         yield k, len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("many", [repeats.MANY, 1])
+@pytest.mark.parametrize("many", [automata.MANY, 1])
 def test_substrings(table, monkeypatch, many):
-    monkeypatch.setattr(repeats, "MANY", many)
+    monkeypatch.setattr(automata, "MANY", many)
     monkeypatch.setattr(repeats, "CHUNK", 7)
     rows = corpus()
     r = random.Random(9)
