@@ -48,7 +48,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_file(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the token file and return what it holds: doc_id, start, n_tokens, ids_crc32."""
     tokens.write(docs, path := new_path(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"))
-    return tokens.read(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    return tokens.read(spark, path, with_ids=False).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 STAGES = [("quality", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mix", source_mix), ("tokens", token_file)]

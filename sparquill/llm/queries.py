@@ -32,7 +32,7 @@ def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens.write(documents(spark, sf_dir), path := new_path(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"))
-    return tokens.read(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    return tokens.read(spark, path, with_ids=False).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,29 +19,29 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import raw
+from .common import portions, raw
 
-END, BLOCK_TOKENS, ROUNDS, RULES, LEAST = 1, 1_000_000, 4, 1024, 8
+END, PORTION, BLOCK_TOKENS, ROUNDS, RULES, LEAST = 1, 5_000_000, 1_000_000, 4, 1024, 8
 FILE = "shard int, block int, start long, n_tokens long, base int, doc_ids array<long>, lengths binary, offsets binary, left binary, right binary, spans binary, symbols binary"
-CACHED_WORDS = 500_000
-PLAIN = re.compile(r"[!-~¡-¬®-įı-ɏ]+")
-#: Marks that close a word in one token part. The tokenizer's own pattern treats an apostrophe otherwise, and < may begin a special token.
-MARKS_TEXT = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
-MARKS = MARKS_TEXT.encode()
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+CACHED_PARTS = 600_000
+#: Letters whose lower case is a letter of the same kind, and marks that form one part together; an apostrophe parts otherwise, and < may begin a special
+#: token.
+LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *(c for c in range(0xC0, 0x180) if c not in (0xD7, 0xF7, 0x130))]))
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
+PLAIN = "^[" + LETTERS + "]*[" + re.escape(MARKS) + "]*$"
 
 
 class Encoder:
-    """Whole texts to ids, word by word: white space always ends a token of this tokenizer, so words are encoded once and remembered.
+    """Whole texts to ids. White space always ends a token of this tokenizer, so texts are split at it, and each different word is encoded once.
 
-    Words of plain characters skip the library's normaliser: they are lower-cased and cut here by the tokenizer's own pattern, and its model encodes
-    the parts. All other words go through the whole tokenizer.
+    A plain word is letters, then marks: two parts by the tokenizer's own pattern. Its letters are lower-cased here, and the library's model encodes
+    each part, once while it is remembered. All other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -52,56 +52,52 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.first, self.count = array("i"), array("q"), array("q")
-        self.parts: dict[str, bytes] = {}
-
-    def part(self, piece: str) -> bytes:
-        """The ids of a part of a word, as the bytes of an array, which take less room than a list."""
-        if (own := self.parts.get(piece)) is None:
-            text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.table)
-            own = self.parts[piece] = array("i", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
-        return own
-
-    def word(self, word: bytes) -> bytes:
-        bare = word.rstrip(MARKS)
-        if bare.isalpha():  # ASCII letters, then marks
-            own = self.part(bare.decode("ascii").lower())
-            return own if len(bare) == len(word) else own + self.part(word[len(bare) :].decode("ascii"))
-        text = word.decode()
-        if not PLAIN.fullmatch(text) or "<|" in text or "İ" in text:
-            return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        letters = text.rstrip(MARKS_TEXT).lower()
-        if letters.isalpha():
-            return self.part(letters) + self.part(text[len(letters) :]) if len(letters) < len(text) else self.part(letters)
-        return b"".join(map(self.part, PIECES.findall(text.lower())))
-
-    def learn(self, word: bytes) -> int:
-        if (k := self.known.get(word)) is not None:
-            return k
-        ids = self.word(word)
-        self.first.append(len(self.ids)), self.count.append(len(ids) // self.ids.itemsize)
-        self.ids.frombytes(ids)
-        k = self.known[word] = len(self.known)
+        """Forget all parts but the empty one, which has place 0."""
+        self.known: dict[str, int] = {"": 0}
+        self.ids, self.first, self.count = array("i"), array("q", [0]), array("q", [0])
+
+    def _place(self, key: str, ids: list[int]) -> int:
+        self.first.append(len(self.ids)), self.count.append(len(ids))
+        self.ids.extend(ids)
+        k = self.known[key] = len(self.known)
         return k
 
-    def encode(self, text: bytes | None) -> np.ndarray:
-        words = (text or b"").split()
-        if len(self.known) > CACHED_WORDS:
+    def _part(self, piece: str) -> int:
+        text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.table)
+        return self._place(piece, [t.id for t in self.tokenizer.model.tokenize(text)])
+
+    def _whole(self, word: str) -> int:
+        return self._place(f" {word}", self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def _places(self, strings: pa.Array, prefix: str, learn) -> np.ndarray:
+        coded = strings.dictionary_encode()
+        known = ((self.known.get(prefix + t), t) for t in coded.dictionary.to_pylist())
+        return np.array([learn(t) if k is None else k for k, t in known], np.int64)[coded.indices.to_numpy()]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, and how many each has. A null text is an empty one."""
+        if len(self.known) > CACHED_PARTS:
             self.clear()
-        rows = list(map(self.known.get, words))
-        if None in rows:
-            learn = self.learn
-            rows = [learn(w) if k is None else k for k, w in zip(rows, words, strict=True)]
-        rows = np.array(rows, np.int64)
-        flat, first, count = (np.frombuffer(x, t) if len(x) else np.zeros(0, t) for x, t in ((self.ids, np.int32), (self.first, np.int64), (self.count, np.int64)))
-        first, count = first[rows], count[rows]
-        ends = np.cumsum(count)
-        total = int(ends[-1]) if len(ends) else 0
-        out = np.empty(total + 1, np.int32)
-        out[:total] = flat[np.repeat(first - ends + count, count) + np.arange(total)]
-        out[total] = END
-        return out
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        ends = np.asarray(split.offsets)[1:] - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        words, occurs = coded.dictionary, coded.indices.to_numpy()
+        plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False)
+        letters, marks = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        if plain.any():
+            simple = words.filter(pa.array(plain))
+            letters[plain] = self._places(pc.utf8_lower(pc.utf8_rtrim(simple, MARKS)), "", self._part)
+            marks[plain] = self._places(pc.utf8_ltrim(simple, LETTERS), "", self._part)
+        if not plain.all():
+            letters[~plain] = self._places(words.filter(pa.array(~plain)), " ", self._whole)
+        flat, first, count = (np.frombuffer(x, t) if len(x) else np.zeros(1, t) for x, t in ((self.ids, np.int32), (self.first, np.int64), (self.count, np.int64)))
+        parts = np.stack((letters, marks), axis=1)[occurs].ravel()
+        first, count = first[parts], count[parts]
+        upto = np.cumsum(count)
+        total = int(upto[-1]) if len(upto) else 0
+        ids = flat[np.repeat(first - upto + count, count) + np.arange(total)]
+        done = np.concatenate(([0], upto))[2 * ends]
+        return np.insert(ids, done, END), np.diff(done, prepend=0) + 1
 
 
 @lru_cache(1)
@@ -120,16 +116,15 @@ def repair(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = ROUNDS
         place = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
         place[last[:-1]] = bins
         counts = np.bincount(place, minlength=bins + 1)[:bins]
-        top = np.argpartition(counts, -rules)[-rules:]
-        top = top[counts[top] >= least]
+        top = np.flatnonzero(counts >= least)
         if not len(top):
             break
-        top = top[np.argsort(-counts[top], kind="stable")]
-        rank = np.full(bins + 1, -1, np.int64)
+        top = top[np.argsort(-counts[top], kind="stable")[:rules]]
+        rank = np.full(bins + 1, -1, np.int16)
         rank[top] = np.arange(len(top))
         own = rank[place]
         at = np.flatnonzero(own >= 0)
-        own, pairs = own[at], pair[at]
+        own, pairs = own[at].astype(np.int64), pair[at]
         chosen = np.zeros(len(top), np.int64)
         chosen[own] = pairs
         same = chosen[own] == pairs  # a bin may hold several pairs; one of them is taken
@@ -195,16 +190,19 @@ def _pack(path: str, block_tokens: int):
         ids, parts, held = [], [], 0
 
         def row() -> pa.RecordBatch:
-            lengths = np.array([len(p) for p in parts], np.int64)
-            found = repair(np.concatenate(parts), lengths, base)
+            lengths = np.concatenate([n for _, n in parts])
+            found = repair(np.concatenate([p for p, _ in parts]), lengths, base)
             values = [shard, block, start, held, base, ids, *(_narrow(x) for x in (lengths, *(found[c] for c in ("offsets", "left", "right", "spans", "symbols"))))]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 6]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], [c.split()[0] for c in FILE.split(", ")])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
-                ids.append(doc), parts.append(own.encode(text))
-                held += len(parts[-1])
+            texts = batch.column(1)
+            for a, b in portions(raw(texts), PORTION):
+                found, lengths = own.encode(texts[a:b])
+                ids += batch.column(0)[a:b].to_pylist()
+                parts.append((found, lengths))
+                held += len(found)
                 if held >= block_tokens:
                     yield row()
                     start, block, ids, parts, held = start + held, block + 1, [], [], 0
@@ -220,23 +218,29 @@ def write(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id", text:
     rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(_pack(tokenizer, block_tokens), FILE).write.parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32, ids) of each document of a token file. The prefix sums over shards have one row per shard."""
+def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """(id, start, n_tokens, ids_crc32 and, if asked for, ids) of each document of a token file. The prefix sums over shards have one row per shard."""
     blocks = spark.read.schema(FILE).parquet(path)
     order = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     before = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
-    return blocks.join(before, "shard").withColumn("start", F.col("start") + F.col("before")).drop("before", "shard", "block", "n_tokens").mapInArrow(_unpack, "id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
-
-
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            lengths = _wide(row["lengths"])
-            ids = expand(_wide(row["symbols"]), row["base"], _wide(row["left"]), _wide(row["right"])).astype("<u4")
-            ends = np.cumsum(lengths)
-            buffer = memoryview(ids).cast("B")
-            sums = [zlib.crc32(buffer[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-            for a in range(0, len(lengths), 2000):
-                b = min(a + 2000, len(lengths))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths[a:b]))), pa.int32()), pa.array(ids[ends[a] - lengths[a] : ends[b - 1]].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][a:b], pa.int64()), pa.array(row["start"] + ends[a:b] - lengths[a:b]), pa.array(lengths[a:b]), pa.array(sums[a:b], pa.int64()), lists], ["id", "start", "n_tokens", "ids_crc32", "ids"])
+    rows = blocks.join(before, "shard").withColumn("start", F.col("start") + F.col("before")).drop("before", "shard", "block", "n_tokens", "spans", "offsets")
+    return rows.mapInArrow(_unpack(with_ids), "id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+
+
+def _unpack(with_ids: bool):
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                lengths = _wide(row["lengths"])
+                ids = expand(_wide(row["symbols"]), row["base"], _wide(row["left"]), _wide(row["right"])).astype("<u4")
+                ends = np.cumsum(lengths)
+                buffer = memoryview(ids).cast("B")
+                sums = [zlib.crc32(buffer[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+                for a in range(0, len(lengths), 2000):
+                    b = min(a + 2000, len(lengths))
+                    columns = [pa.array(row["doc_ids"][a:b], pa.int64()), pa.array(row["start"] + ends[a:b] - lengths[a:b]), pa.array(lengths[a:b]), pa.array(sums[a:b], pa.int64())]
+                    if with_ids:
+                        columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths[a:b]))), pa.int32()), pa.array(ids[ends[a] - lengths[a] : ends[b - 1]].astype(np.int32))))
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
+
+    return unpack
