@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import embedded, numbers, text
 from ..functions.chunks import chunked
-from ..operators import clusters, evidence, graph, retrieval, simulation, statistics, trees
+from ..operators import clusters, evidence, graph, packing, retrieval, simulation, statistics, trees
 from ..sources import readers, sinks
-from ..sources.tables import table
+from ..sources.tables import stage_path, table
 from ..streaming import events as ev
 
 QUERIES: dict = {}
@@ -446,3 +446,31 @@ def event_outline(spark: SparkSession, d: str) -> DataFrame:
     """Events as an outline: signups above views above clicks above the rest."""
     level = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "view", 2).when(F.col("event_type") == "click", 3).otherwise(0)
     return trees.outline(table(spark, d, "events").withColumn("level", level), "user_id", "event_id", "level").select("event_id", F.coalesce("parent", F.lit(-1)).alias("parent"))
+
+
+@query("""WITH b AS (SELECT p_brand, p_retailprice AS v, p_size AS w, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS k FROM part WHERE p_size > 0),
+c AS (SELECT p_brand, v, w, (sum(w) OVER (PARTITION BY p_brand ORDER BY k ROWS UNBOUNDED PRECEDING) - w / 2.0) / sum(w) OVER (PARTITION BY p_brand) AS c FROM b),
+q AS (SELECT p_brand, q, max(c) FILTER (c <= q) AS ca, arg_max(v, c) FILTER (c <= q) AS va, min(c) FILTER (c > q) AS cb, arg_min(v, c) FILTER (c > q) AS vb FROM c, (VALUES (0.1), (0.5), (0.9)) t(q) GROUP BY ALL),
+r AS (SELECT p_brand, q, CASE WHEN ca IS NULL THEN vb WHEN cb IS NULL THEN va ELSE va + (vb - va) * (q - ca) / (cb - ca) END AS v FROM q),
+e AS (SELECT p_brand, max(v) FILTER (q = 0.1) AS a, max(v) FILTER (q = 0.5) AS m, max(v) FILTER (q = 0.9) AS z FROM r GROUP BY p_brand), n AS (SELECT p_brand, count(*) AS n, avg(w) AS mean FROM b GROUP BY p_brand)
+SELECT p_brand, n, round(CASE WHEN n = 1 THEN m / 1.5 WHEN z / a < 1.1 THEN m / 1.15 ELSE a END, 4) AS low, round(m, 4) AS median, round(CASE WHEN n = 1 THEN m * 1.5 WHEN z / a < 1.1 THEN m * 1.15 ELSE z END, 4) AS high, round(least(1, mean / 100 * (1 + 0.05 * (n - 1))), 6) AS confidence FROM e JOIN n USING (p_brand)""")
+def fused_estimates(spark: SparkSession, d: str) -> DataFrame:
+    found = statistics.fuse(table(spark, d, "part"), "p_brand", "p_retailprice", "p_size", "p_partkey")
+    return found.select("p_brand", "n", *(F.round(c, 4).alias(c) for c in ("low", "median", "high")), F.round("confidence", 6).alias("confidence"))
+
+
+@query("""SELECT user_id, event_type, count(*) AS n, max(event_id) AS last_seq, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def stream_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The event table read as a stream to its end; each micro-batch replaces the table of totals, so running one again changes nothing."""
+    rows = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")  # a pattern may name a file, too
+    totals = rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last_seq"), F.round(F.sum("value"), 4).alias("total"))
+    out, log = stage_path(spark), stage_path(spark)
+    write = totals.writeStream.outputMode("complete").option("checkpointLocation", log).trigger(availableNow=True)
+    write.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query()
+def context_groups(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return packing.packed(lines.select("doc_id", "pos", F.length("line").alias("size")), "doc_id", "pos", "size")

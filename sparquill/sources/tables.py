@@ -15,14 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write df to the folder that spark.checkpoint.dir names (a folder of our own where it is unset) and read it again."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def stage_path(spark: SparkSession) -> str:
+    """A new path in the folder that spark.checkpoint.dir names (in a folder of our own where it is unset)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="sparquill-stage-"))
         folder = _own[0]
-    path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it again, which cuts the lineage."""
+    path = stage_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparquill.functions import chunks, embedded
-from sparquill.operators import clusters, formula, simulation, trees
+from sparquill.operators import clusters, formula, packing, simulation, trees
 
 
 def test_overlapping_chunks():
@@ -91,3 +91,9 @@ def test_clusters(spark):
     claims = [(1, 1, None, "the price is ten dollars"), (1, 2, "k", "x"), (1, 3, None, "the price was ten dollars"), (1, 4, "k", "completely other"), (1, 5, None, "rain"), (2, 1, None, "the price is ten dollars")]
     got = {(r.job, r.id): r.cluster for r in clusters.greedy_claims(spark.createDataFrame(claims, "job int, id int, key string, text string"), "job", "id", "key", "text", "id").collect()}
     assert got == {(1, 1): 0, (1, 2): 1, (1, 3): 0, (1, 4): 1, (1, 5): 2, (2, 1): 0}
+
+
+def test_packing(spark):
+    assert packing.groups([5, 5, 5, 20, 1, 1, 1], 2, 10) == [0, 0, 1, 2, 3, 3, 4] and packing.groups([], 2, 10) == []
+    rows = spark.createDataFrame([(1, k, 4) for k in range(5)] + [(2, 0, None)], "d int, k int, n int")
+    assert {(r.d, r.k): r.group for r in packing.packed(rows, "d", "k", "n", 6, 8).collect()} == {(1, 0): 0, (1, 1): 0, (1, 2): 1, (1, 3): 1, (1, 4): 2, (2, 0): 0}
