@@ -20,16 +20,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one that gives it its id (of several rows of that id, the text of least hash, once).
+    """One document of each component stays: the one that gives it its id (the first row, where several rows have that id).
 
-    A document without an id goes if its component has one with an id; else it stays, once for each text.
+    A document without an id goes if its component has one with an id; else one stays of each fingerprint. Rows are numbered by the scan of docs.
     """
-    found = simhash.near_duplicates(docs)
-    named = found.where("doc_id = component").groupBy("doc_id").agg(F.min("mark").alias("mark"))
-    nameless = found.where("doc_id IS NULL AND component IS NULL").select("doc_id", "mark").distinct()
-    chosen = named.union(nameless).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
-    marked = docs.withColumn("_own", F.xxhash64("text"))
-    return marked.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark"))).dropDuplicates(["doc_id", "_own"]).select(docs.columns)
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    found = simhash.near_duplicates(rows, carry=("__row",))
+    named = found.where("doc_id = component").groupBy("doc_id").agg(F.min("__row").alias("__row"))
+    nameless = found.where("doc_id IS NULL AND component IS NULL").groupBy("print").agg(F.min("__row").alias("__row"))
+    return rows.join(named.select("__row").union(nameless.select("__row")), "__row", "left_semi").drop("__row")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

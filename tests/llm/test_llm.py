@@ -405,7 +405,7 @@ def test_pipeline_keeps_one_of_each_group(spark, table):
     rows = [(5, a), (5, a), (7, a), (5, b), (8, b), (None, b), (None, c), (None, c), (9, "x"), (9, "x"), (9, "y z")]
     docs = table(rows, "doc_id long, text string")
     found = Counter(tuple(r) for r in pipeline.near_duplicates(spark, docs, SF).collect())
-    one = [Counter([(5, t), (None, c), (9, s)]) for t in (a, b) for s in ("x", "y z")]  # rows of one id: the text of least hash
+    one = [Counter([(5, t), (None, c), (9, s)]) for t in (a, b) for s in ("x", "y z")]  # the first row of an id
     assert found in one
 
 
