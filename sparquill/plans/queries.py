@@ -434,10 +434,10 @@ def simulate_brands(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH b AS (SELECT p_brand, quantile_cont(p_retailprice, 0.1) AS pl, quantile_cont(p_retailprice, 0.5) AS pm, quantile_cont(p_retailprice, 0.9) AS ph, avg(p_size) AS s, count(*) AS n FROM part GROUP BY 1),
 r AS (SELECT p_brand, 'price' AS name, pl * n / s AS low, ph * n / s AS high, 1.0 AS e FROM b UNION ALL SELECT p_brand, 'size', pm * n / (0.8 * s), pm * n / (1.3 * s), (1 / 1.01 - 1 / 0.99) / 0.02 FROM b UNION ALL SELECT p_brand, 'count', pm * 0.9 * n / s, pm * 1.2 * n / s, 1.0 FROM b)
-SELECT p_brand, name, round(low, 3) AS low, round(high, 3) AS high, round(abs(high - low), 3) AS span, round(e, 6) AS elasticity, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY abs(high - low) DESC, name) AS INT) AS rank, round(abs(high - low) / sum(abs(high - low)) OVER (PARTITION BY p_brand), 6) AS share FROM r""")
+SELECT p_brand, name, round(low + 1e-7, 4) AS low, round(high + 1e-7, 4) AS high, round(abs(high - low) + 1e-7, 4) AS span, round(e, 6) AS elasticity, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY abs(high - low) DESC, name) AS INT) AS rank, round(abs(high - low) / sum(abs(high - low)) OVER (PARTITION BY p_brand), 6) AS share FROM r""")
 def sensitivity_brands(spark: SparkSession, d: str) -> DataFrame:
     found = simulation.sensitivity(_brands(spark, d), "p_brand", "price * count / size", ["price", "size", "count"])
-    return found.select("p_brand", "name", *(F.round(c, 3).alias(c) for c in ("low", "high", "span")), F.round("elasticity", 6).alias("elasticity"), "rank", F.round("share", 6).alias("share"))
+    return found.select("p_brand", "name", *(F.round(F.col(c) + 1e-7, 4).alias(c) for c in ("low", "high", "span")), F.round("elasticity", 6).alias("elasticity"), "rank", F.round("share", 6).alias("share"))
 
 
 @query("""WITH e AS (SELECT user_id, event_id, event_type, CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 ELSE 0 END AS level FROM events)
