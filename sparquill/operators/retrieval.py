@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.tables import stage
 
 K1, B, RRF = 1.5, 0.75, 60
 BLOCK = 2048
@@ -60,7 +61,8 @@ def fuse(lists: list[DataFrame], by: str = "question", id: str = "id") -> DataFr
 
 
 def hybrid(found: DataFrame) -> DataFrame:
-    """(question, id, rank, rrf) of the six best of BM25's and overlap's first twelve."""
+    """(question, id, rank, rrf) of the six best of BM25's and overlap's first twelve. The scores are written once and read for both lists."""
+    found = stage(found)
     lists = [top(found, ["question"], [F.desc(c), F.asc("id")], 12) for c in ("score", "overlap")]
     return top(fuse(lists), ["question"], [F.desc("rrf"), F.asc("id")], 6)
 
