@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import covered, raw
+from .common import covered, placed, raw
 from .repeats import NONE, Kind, Rule, repeated
 
 LENGTH, GRAM, MANY = 13, 4, 10_000
@@ -123,6 +123,6 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def strip_copied(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(id, n_words, n_removed, kept: remaining words, spans: removed word ranges, kept_sha256) for each row of docs, which is read from files."""
-    rows = docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text"), F.monotonically_increasing_id().alias("row"), F.coalesce(docs[id].cast("long"), F.lit(NONE)).alias("owner"))
+    rows = placed(docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text"))).withColumn("owner", F.coalesce("id", F.lit(NONE)))
     ranges = repeated(rows, kind(length), Rule(F.col("owner"), F.min, lambda merged: F.col("owner") > F.col(merged)))
     return rows.select("id", "text", "row").join(ranges, "row", "left").select("id", "text", "ranges").mapInArrow(_strip, "id long, n_words long, n_removed long, kept string, spans array<struct<first: int, last: int>>, kept_sha256 string")

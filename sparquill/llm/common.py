@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _own: list[str] = []
@@ -49,6 +50,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def placed(docs: DataFrame, name: str = "row") -> DataFrame:
+    """Adds a number of each row of a table of files, made of its file and its place there. Unlike a number of the scan, it doesn't follow how a job
+    splits the files, so several jobs, on whatever executors, give the same. The files' names go through the driver, as they do to plan a scan."""
+    rows = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    names = sorted(r[0] for r in rows.select("__file").distinct().collect())
+    files = docs.sparkSession.createDataFrame([(f, k << 40) for k, f in enumerate(names)], "__file string, __base long")
+    return rows.join(F.broadcast(files), "__file").withColumn(name, F.col("__base") + F.col("__at")).select(*docs.columns, name)
+
+
 def raw(column: pa.Array) -> list[bytes | None]:
     """The strings of an Arrow column as UTF-8 bytes, without decoding them."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -7,7 +7,8 @@ row and place) are removed.
 Counts by hash are aggregated before the shuffle and joined back; only repeated chunks carry their bytes.
 
 Defined results: a null text has no lines, an empty one has one empty line; a null id counts as larger than every other; repeated rows repeat each
-other; a document whose chunks all go keeps an empty text; other columns are not read. Rows are numbered by the scan of files.
+other; a document whose chunks all go keeps an empty text; other columns are not read. Rows are numbered by their place
+in their files.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, portions, raw, tidy
+from .common import keep, placed, portions, raw, tidy
 from .repeats import NONE
 
 REACH, MEAN, FACTOR = 3, 4, 31
@@ -79,8 +80,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def strip_chunks(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_lines, n_chunks, n_removed_chunks, n_removed_lines, kept, kept_sha256) for each row of docs, which is read from files."""
-    own = docs[id].cast("long")
-    rows = docs.select(own.alias("id"), docs[text].alias("text"), F.monotonically_increasing_id().alias("row"), F.coalesce(own, F.lit(NONE)).alias("owner"))
+    rows = placed(docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text"))).withColumn("owner", F.coalesce("id", F.lit(NONE)))
     keyed = rows.select("row", "owner", "text").mapInArrow(_keys, "row long, owner long, chunk int, key binary")
     again = keep(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")  # read again, so that the join can split a hot key
     wanted = keep(keyed.join(again, "key").groupBy("row").agg(F.collect_list("chunk").alias("wanted")), "chunks")

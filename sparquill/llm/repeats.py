@@ -7,7 +7,8 @@
    at a time. Anchors with more than `many` contexts are dealt by hashes of their windows instead, so no task gathers them.
 4. Ranges of repeated windows come back to their documents by one join on the row's number.
 
-Rows are numbered by the scan, so `docs` must be read from files (as any table is): each pass then gives the same numbers, on retries too.
+Rows are numbered by their place in their files (`placed`), so `docs` must be read from files (as any table is): each pass then gives the same numbers,
+however it splits the files, on retries too.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import covered, raw
+from .common import covered, placed, raw
 from .repeats import Kind, Rule, repeated
 
 LENGTH, GRAM, SHALLOW, SMALL, MANY = 200, 24, 6, 8, 50_000
@@ -150,6 +150,6 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def strip_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(id, n_bytes, n_removed, kept: remaining bytes, spans: removed byte ranges, kept_sha256) for each row of docs, which is read from files."""
-    rows = docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text"), F.monotonically_increasing_id().alias("row"), F.lit(0).cast("long").alias("owner"))
+    rows = placed(docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text"))).withColumn("owner", F.lit(0).cast("long"))
     ranges = repeated(rows, kind(length), Rule(F.lit(1).cast("long"), F.sum, lambda merged: F.col(merged) > 1))
     return rows.select("id", "text", "row").join(ranges, "row", "left").select("id", "text", "ranges").mapInArrow(_strip, "id long, n_bytes long, n_removed long, kept binary, spans array<struct<first: int, last: int>>, kept_sha256 string")

@@ -416,3 +416,30 @@ def test_pipeline_with_nulls(spark, table):
     for name, stage in pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() >= 0, name
+
+
+# rows
+
+
+def test_rows_keep_their_number_however_files_are_split(spark, table, tmp_path, monkeypatch):
+    import corpus_pipeline as pipeline
+
+    path, size = str(tmp_path / "parts"), "spark.sql.files.maxPartitionBytes"
+    docs = table(corpus(), SCHEMA)
+    docs.repartition(6, "text").write.parquet(path)
+    docs, before = spark.read.parquet(path), spark.conf.get(size)
+
+    def resplit(session, turn=[0]):
+        turn[0] += 1
+        session.conf.set(size, ("400", before)[turn[0] % 2])
+
+    runs = [lambda: lines.strip_chunks(docs).drop("id"), lambda: automata.strip_copied(docs), lambda: suffixes.strip_repeats(docs), lambda: pipeline.near_duplicates(spark, docs, SF).select("doc_id", "text")]
+    want = [Counter(map(repr, run().collect())) for run in runs]
+    kept = lambda of: lambda df, name: (of(df, name), resplit(df.sparkSession))[0]
+    for module in (lines, repeats, simhash, components):
+        monkeypatch.setattr(module, "keep", kept(module.keep))
+    try:
+        for run, whole in zip(runs, want, strict=True):
+            assert Counter(map(repr, run().collect())) == whole
+    finally:
+        spark.conf.set(size, before)
