@@ -415,7 +415,7 @@ def reprint_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def claim_clusters(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "system", "system").alias("key"), F.substring_index("text", "\n", 1).alias("claim"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "system", "system").alias("key"), F.col("text").alias("claim"))
     return clusters.greedy_claims(rows, "conv_id", "turn", "key", "claim", "turn")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparquill.functions import chunks, embedded
 from sparquill.operators import clusters, formula, packing, simulation, trees
+from sparquill.plans import queries
 
 
 def test_overlapping_chunks():
@@ -93,6 +94,24 @@ def test_clusters(spark):
     assert got == {(1, 1): 0, (1, 2): 1, (1, 3): 0, (1, 4): 1, (1, 5): 2, (2, 1): 0}
 
 
+def test_claims_are_compared_whole(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    a, b, c = "rain fell on the hills all day\n" * 3, "prices of copper rose by a tenth\n" * 3, "nobody saw the ferry leave at noon\n" * 3
+    turns = ["Hello\n" + a, "Hello\n" + b, "Good morning\n" + a, "Hello\n" + b + "now", None, "Hello", "Hello\n" + c, "Hello", ""]
+    rows = [(k, n, "user", t) for k in (1, 2) for n, t in enumerate(turns[k - 1 :])] + [(1, 50 + k, "system", t) for k, t in enumerate((a, b))]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    want, open_ = {}, {}
+    for conv, turn, role, text in rows:
+        groups = open_.setdefault(conv, [])
+        alike = lambda o: role == o[0] == "system" or "system" not in (role, o[0]) and text and o[1] and SequenceMatcher(None, text, o[1]).ratio() >= 0.75
+        own = next((k for k, g in enumerate(groups) if any(map(alike, g))), len(groups))
+        groups[own : own + 1] = [[*(groups[own] if own < len(groups) else []), (role, text)]]
+        want[conv, turn] = own
+    found = {(r.conv_id, r.turn): r.cluster for r in queries.QUERIES["claim_clusters"](spark, str(tmp_path)).collect()}
+    assert found == want and found[1, 0] == found[1, 2] != found[1, 1] == found[1, 3]
+
+
 def test_packing(spark):
     assert packing.groups([5, 5, 5, 20, 1, 1, 1], 2, 10) == [0, 0, 1, 2, 3, 3, 4] and packing.groups([], 2, 10) == []
     rows = spark.createDataFrame([(1, k, 4) for k in range(5)] + [(2, 0, None)], "d int, k int, n int")
