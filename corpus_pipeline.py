@@ -22,12 +22,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: the one that gives it its id (the first row, where several rows have that id).
 
-    A document without an id goes if its component has one with an id; else one stays of each fingerprint. Rows are numbered by their place in the files of docs.
+    A document without an id goes if its component has one with an id; of a component without ids the first row stays. Rows are numbered by their place in the files of docs.
     """
     rows = placed(docs, "__row")
     found = simhash.near_duplicates(rows, carry=("__row",))
     named = found.where("doc_id = component").groupBy("doc_id").agg(F.min("__row").alias("__row"))
-    nameless = found.where("doc_id IS NULL AND component IS NULL").groupBy("print").agg(F.min("__row").alias("__row"))
+    nameless = found.where("doc_id IS NULL AND component IS NULL").groupBy("part").agg(F.min("__row").alias("__row"))
     return rows.join(named.select("__row").union(nameless.select("__row")), "__row", "left_semi").drop("__row")
 
 

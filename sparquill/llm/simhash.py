@@ -129,11 +129,12 @@ def links(prints: DataFrame, radius: int = 2, blocks: int = BLOCKS) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3, blocks: int = BLOCKS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, print, component, and the columns to carry): one row for each row of docs. component is the least id reachable over links, itself included."""
+    """(id, print, part, component, and the columns to carry): one row for each row of docs. component is the least id reachable over links, itself
+    included; part is the least fingerprint, which tells components without ids apart."""
     own = keep(docs.select(F.col(id).alias("_id"), fingerprint(text, shingle).alias("print"), *carry), "prints")
     distinct = own.groupBy("print").agg(F.min("_id").alias("least"))
     parts = components(links(distinct.select("print"), radius, blocks))
     named = distinct.join(parts.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
     least = named.groupBy("component").agg(F.min("least").alias("least"))
-    of_print = named.select("print", "component").join(least, "component").select("print", F.col("least").alias("component"))
-    return own.join(of_print, "print").select(F.col("_id").alias(id), "print", "component", *carry)
+    of_print = named.select("print", "component").join(least, "component").select("print", F.col("component").alias("part"), F.col("least").alias("component"))
+    return own.join(of_print, "print").select(F.col("_id").alias(id), "print", "part", "component", *carry)

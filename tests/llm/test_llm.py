@@ -409,6 +409,18 @@ def test_pipeline_keeps_one_of_each_group(spark, table):
     assert found in one
 
 
+def test_pipeline_keeps_one_of_near_copies_without_ids(spark, table):
+    import corpus_pipeline as pipeline
+
+    words = [f"n{k}" for k in range(400)]
+    near = (" ".join([*words[:k], "new", *words[k + 1 :]]) for k in range(400))
+    text = " ".join(words)
+    copy = next(t for t in near if 0 < (slow_print(t) ^ slow_print(text)).bit_count() <= 2)
+    docs = table([(None, text), (None, copy), (None, "other words " * 30)], "doc_id long, text string")
+    kept = [r.text for r in pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert len(kept) == 2 and (text in kept) != (copy in kept)
+
+
 def test_pipeline_with_nulls(spark, table):
     import corpus_pipeline as pipeline
 
