@@ -36,7 +36,8 @@ def gram_hashes(symbols: np.ndarray, gram: int) -> np.ndarray:
 
 def contexts(symbols: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor in concatenated documents that end at `ends`: first window, number of windows, place of the anchor, its hash."""
-    assert len(symbols) < 1 << BITS
+    if len(symbols) >= 1 << BITS:
+        raise ValueError("cut longer sequences into segments that overlap by a window")
     none = np.zeros(0, np.int64)
     if len(symbols) < length:
         return none, none, none, none.astype(np.uint64)

@@ -11,6 +11,7 @@ remove nothing from each other; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import covered, placed, raw
 from .repeats import NONE, Kind, Rule, repeated
 
-LENGTH, GRAM, MANY = 13, 4, 10_000
+LENGTH, GRAM, MANY, PORTION = 13, 4, 10_000, 8_000_000
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 class Automaton:
@@ -97,14 +99,26 @@ def compare(pieces: list[np.ndarray], anchor: np.ndarray, own: np.ndarray, lead:
     return hits
 
 
+def _pieces(text: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """A text in pieces that end at white space."""
+    at = 0
+    while len(text) - at > most:
+        end = SPACE.search(text, at + most)
+        if not end:
+            break
+        yield text[at : end.start()]
+        at = end.end()
+    yield text[at:]
+
+
 def _words(text: bytes) -> np.ndarray:
-    words = text.split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    found = [[xxhash.xxh3_64_intdigest(w) for w in piece.split()] for piece in _pieces(text)]
+    return np.concatenate([np.array(x, np.uint64) for x in found])
 
 
 def kind(length: int = LENGTH) -> Kind:
     gram = min(GRAM, length)
-    return Kind(_words, length, gram, 8_000_000, MANY, lambda *a: compare(*a, length=length))
+    return Kind(_words, length, gram, PORTION, MANY, lambda *a: compare(*a, length=length))
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +17,12 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset a local session (tests) has a folder of its own; on a cluster, whose
+    machines would each write to their own disk, that is an error."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.conf.get("spark.master", "local").partition("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="sparquill-"))
     return _own[0]
@@ -30,20 +32,39 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sparquill/{name}-{uuid.uuid4().hex}"
 
 
+#: Lets Spark remove the shuffle files of a query when the query ends, not when the driver next happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str) -> None:
+    """Write df as Parquet, and free its shuffle files when that is done."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it again, so that lost executors cost no recomputation."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    write(df, path := new_path(df.sparkSession, name))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps now, not when the driver next happens to collect its garbage: the first round frees what
-    Python holds, the second what only that held in the JVM, and the cleaner gets a moment after each."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.4)
+def release(kept: DataFrame) -> None:
+    """Empty the files behind what `keep` returned (and columns were added to), when all that read them is written."""
+    if files := kept.inputFiles():
+        kept.sparkSession.range(0).write.mode("overwrite").parquet(files[0].rpartition("/")[0])
+
+
+def free(names: Iterable[str], wanted: str) -> str:
+    """A column name that is none of the names, whatever their case."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,11 +73,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def placed(docs: DataFrame, name: str = "row") -> DataFrame:
     """Adds a number of each row of a table of files, made of its file and its place there. Unlike a number of the scan, it doesn't follow how a job
-    splits the files, so several jobs, on whatever executors, give the same. The files' names go through the driver, as they do to plan a scan."""
-    rows = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
-    names = sorted(r[0] for r in rows.select("__file").distinct().collect())
-    files = docs.sparkSession.createDataFrame([(f, k << 40) for k, f in enumerate(names)], "__file string, __base long")
-    return rows.join(F.broadcast(files), "__file").withColumn(name, F.col("__base") + F.col("__at")).select(*docs.columns, name)
+    splits the files, so several jobs, on whatever executors, give the same. The files' names go through the driver, as they do to plan a scan. Rows
+    that don't come from files are written first."""
+    try:
+        docs.metadataColumn("_metadata")
+    except AnalysisException:
+        docs = keep(docs, "rows")
+    file, at, base = (free([*docs.columns, name], c) for c in ("__file", "__at", "__base"))
+    source = docs.metadataColumn("_metadata")
+    rows = docs.select("*", source["file_path"].alias(file), source["row_index"].alias(at))
+    names = sorted(r[0] for r in rows.select(file).distinct().collect())
+    files = docs.sparkSession.createDataFrame([(f, k << 40) for k, f in enumerate(names)], f"`{file}` string, `{base}` long")
+    return rows.join(F.broadcast(files), file).withColumn(name, F.col(base) + F.col(at)).select(*(f"`{c}`" for c in docs.columns), name)
 
 
 def raw(column: pa.Array) -> list[bytes | None]:

@@ -1,8 +1,9 @@
 """Benchmark decontamination: an Aho-Corasick automaton over the normalised windows of benchmark items, one scan of each text.
 
 Normalising lower-cases A-Z and keeps words of digits, letters and non-ASCII characters, so that byte offsets in the normalised words map to the
-original. An automaton holds windows of `BLOCK_CHARS` characters at most; a larger benchmark is a chain of such blocks, each broadcast on its own and
-scanned in the same stage, so no broadcast grows with the benchmark.
+original. A benchmark whose windows have up to `BLOCK_CHARS` characters is one automaton. A larger one is cut into such blocks, which are streamed over
+the driver one at a time and broadcast on their own, so that no broadcast grows with it; a text is read and normalised once, and its blocks' automata
+run over it in turn within one function.
 
 Defined results: a null or empty text has no words and is clean; an item without words has no window; a null item id counts as the empty string;
 items with one id are one item; repeated documents are judged alike; other columns are neither read nor changed.
@@ -12,21 +13,18 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import covered, raw
+from .common import covered, portions, raw
 
-WINDOW, BLOCK_CHARS = 10, 2_000_000
+WINDOW, BLOCK_CHARS, PORTION = 10, 2_000_000, 16_000_000
 #: Everything but digits, letters and non-ASCII bytes becomes a space; A-Z become a-z.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-#: A block that nothing matches, for a benchmark without words.
-NOTHING = {b" \x00 ": (1, [""])}
 KIND = "struct<n_words: bigint, ranges: array<struct<first: int, last: int>>, items: array<string>, spans: array<struct<first: int, last: int>>>"
 
 
@@ -57,13 +55,13 @@ def blocks(items: DataFrame, id: str, text: str, size: int, most: int) -> Iterat
 _built: dict[str, ahocorasick.Automaton] = {}
 
 
-def _automaton(key: str, block: dict[bytes, tuple[int, list[str]]]) -> ahocorasick.Automaton:
-    """Built once in a worker; two are held at most."""
+def _automaton(key: str, sent) -> ahocorasick.Automaton:
+    """Of a block that was sent by broadcast; the last two are held in a worker."""
     if key not in _built:
         while len(_built) > 1:
             _built.pop(next(iter(_built)))
         found = _built[key] = ahocorasick.Automaton()
-        for window, value in block.items():
+        for window, value in sent.value.items():
             found.add_word(window.decode("latin-1"), value)
         found.make_automaton()
     return _built[key]
@@ -77,26 +75,32 @@ def _byte_spans(text: bytes, ranges: list[tuple[int, int]]) -> list[dict]:
     return [{"first": int(first[a]), "last": int(last[b - 1])} for a, b in ranges]
 
 
-def _scan(spark: SparkSession, block: dict):
-    sent, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+def _found(text: bytes, joined: bytes, n_words: int, hits: list[tuple[int, tuple[int, list[str]]]]) -> dict:
+    """What a text's hits (last byte in the normalised text, and words and items of the window) come to."""
+    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    at = np.searchsorted(spaces, [end for end, _ in hits])
+    a, b = covered(at - np.array([n for _, (n, _) in hits]), at)
+    ranges = list(zip(a.tolist(), b.tolist(), strict=True))
+    items = sorted({i for _, (_, own) in hits for i in own})
+    return {"n_words": n_words, "ranges": [{"first": a, "last": b} for a, b in ranges], "items": items, "spans": _byte_spans(text, ranges)}
+
+
+def _scan(sent: list[tuple]):
+    """A function of texts over the automata of all blocks, which run over a portion of normalised texts one after another."""
 
     @F.arrow_udf(KIND)
-    def scan(texts: pa.Array, before: pa.Array) -> pa.Array:
-        machine, out = _automaton(key, sent.value), []
-        for text, old in zip(raw(texts), before.to_pylist(), strict=True):
-            words = (text or b"").translate(NORMAL).split()
-            joined = b" " + b" ".join(words) + b" "
-            hits = list(machine.iter(joined.decode("latin-1"))) if words else []
-            old = old or {"ranges": [], "items": [], "spans": []}
-            ranges, items, spans = [(r["first"], r["last"]) for r in old["ranges"]], old["items"], old["spans"]
-            if hits:
-                at = np.searchsorted(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), [end for end, _ in hits])
-                length = np.array([n for _, (n, _) in hits])
-                was = np.array(ranges, np.int64).reshape(-1, 2)
-                a, b = covered(np.concatenate((was[:, 0], at - length)), np.concatenate((was[:, 1], at)))
-                ranges, items = list(zip(a.tolist(), b.tolist(), strict=True)), sorted({*items, *(i for _, (_, own) in hits for i in own)})
-                spans = _byte_spans(text, ranges)
-            out.append({"n_words": len(words), "ranges": [{"first": a, "last": b} for a, b in ranges], "items": items, "spans": spans})
+    def scan(texts: pa.Array) -> pa.Array:
+        own, out = raw(texts), []
+        for first, last in portions(own, PORTION):
+            words = [(text or b"").translate(NORMAL).split() for text in own[first:last]]
+            joined = [b" " + b" ".join(w) + b" " for w in words]
+            hits: list[list] = [[] for _ in words]
+            for key, block in sent:
+                machine = _automaton(key, block)
+                for found, text in zip(hits, joined, strict=True):
+                    found += machine.iter(text.decode("latin-1"))
+            for text, w, line, found in zip(own[first:last], words, joined, hits, strict=True):
+                out.append(_found(text, line, len(w), found) if found else {"n_words": len(w), "ranges": [], "items": [], "spans": []})
         return pa.array(out, _arrow())
 
     return scan
@@ -109,11 +113,8 @@ def _arrow() -> pa.DataType:
 
 def contamination(docs: DataFrame, items: DataFrame, text: Column | str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> Column:
     """A struct for each text: n_words, ranges (of hit words, half open), items (sorted ids as strings) and spans (byte offsets of the ranges)."""
-    found, scanned = F.lit(None).cast(KIND), False
-    for block in chain.from_iterable((blocks(items, item_id, item_text, window, block_chars), [NOTHING])):
-        if block is not NOTHING or not scanned:
-            found, scanned = _scan(docs.sparkSession, block)(text, found), True
-    return found
+    context = docs.sparkSession.sparkContext
+    return _scan([(uuid.uuid4().hex, context.broadcast(block)) for block in blocks(items, item_id, item_text, window, block_chars)])(text)
 
 
 def n_hit(found: Column) -> Column:

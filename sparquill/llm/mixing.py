@@ -7,7 +7,8 @@ fractions at most; these meet in the next level's groups until a source has one
 nearest to the token total are taken. Nothing larger than a group is held in a task, and a source of any size is spread over its groups.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 take no words; groups, order and
-random numbers come from hashes of the rows, so reruns agree; repeated rows are drawn apart; other columns are carried along.
+random numbers come from hashes of id, source and text, so reruns agree; rows that are equal in all three are drawn apart by their place in the files;
+other columns are left alone.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from itertools import product
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from ..sources.tables import numbered
+from .common import free, keep, placed
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 GROUP, SEED, TINY = 1000, 42, 1e-9
@@ -31,17 +33,23 @@ def words(text: Column | str) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """(_source, _total, _n, _target) from rows (_source, _size). The windows are over one row per source."""
-    every = Window.partitionBy(F.lit(0))
-    own = sizes.groupBy("_source").agg(F.sum("_size").alias("_total"), F.count("*").alias("_n"))
-    place = F.row_number().over(every.orderBy(F.col("_source").asc_nulls_last())) - 1
-    own = own.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("double"))
-    own = own.withColumn("top", F.col("_total") * cap).withColumn("at", F.col("top") / F.col("w")).withColumn("budget", F.sum("_total").over(every) * share)
-    upward = every.orderBy("at", F.col("_source").asc_nulls_last())
-    own = own.withColumn("full", F.coalesce(F.sum("top").over(upward.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    own = own.withColumn("open", F.sum("w").over(upward.rowsBetween(0, Window.unboundedFollowing)))
-    own = own.withColumn("level", F.max(F.when(F.col("full") + F.col("at") * F.col("open") >= F.col("budget"), (F.col("budget") - F.col("full")) / F.col("open"))).over(every))
-    return own.select("_source", "_total", "_n", F.least("top", F.coalesce("level", "at") * F.col("w")).alias("_target"))
+    """(_source, _total, _n, _target) from rows (_source, _size).
+
+    Sources are numbered by a range sort, as they may be as many as hosts. The water level rises until no source is above its cap: each step adds up
+    what the sources full at the last level leave to the others, and stops when no further source is full.
+    """
+    own = keep(sizes.groupBy("_source").agg(F.sum("_size").alias("_total"), F.count("*").alias("_n")), "sources")
+    own = numbered(own.withColumn("_last", F.col("_source").isNull()), ["_last", "_source"], "_place")
+    own = own.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), ((F.col("_place") - 1) % len(weights) + 1).cast("int")).cast("double"))
+    own = keep(own.withColumn("top", F.col("_total") * F.lit(float(cap))), "weighed")
+    budget, level, before = own.agg(F.coalesce(F.sum("_total"), F.lit(0)) * F.lit(float(share))).first()[0], 0.0, None
+    while True:
+        full = F.col("top") <= F.col("w") * level
+        used, open_, n = own.agg(F.sum(F.when(full, F.col("top")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("w"))), F.count(F.when(full, 1))).first()
+        if n == before or not open_:
+            break
+        before, level = n, (budget - used) / open_
+    return own.select("_source", "_total", "_n", F.when(full, F.col("top")).otherwise(F.col("w") * level).alias("_target"))
 
 
 def flight(p: np.ndarray, size: np.ndarray, chance, land: bool) -> np.ndarray:
@@ -75,7 +83,7 @@ def flight(p: np.ndarray, size: np.ndarray, chance, land: bool) -> np.ndarray:
 
 
 def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["_size", "_order"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    pdf = pdf.sort_values(["_size", "_order", "_place"], ascending=[False, True, True]).reset_index(drop=True)
     state = [0]
     seed = f"{pdf['_group'].iat[0]}:{len(pdf)}:{int(pdf['_order'].iat[0])}".encode()
 
@@ -86,10 +94,15 @@ def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(_p=flight(pdf["_p"].to_numpy(), pdf["_size"].to_numpy(), chance, bool(pdf["_last"].iat[0])))
 
 
-def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, columns: tuple[str, ...] | None = None) -> DataFrame:
-    """Rows (_row: struct of `columns`, all by default; _size, _source_size, _target, _taken: words that the mix takes, a whole multiple of _size)."""
-    names = columns if columns is not None else tuple(docs.columns)
-    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in names)).alias("_row"), docs[source].cast("string").alias("_source"), words(docs[text]).alias("_size"), F.xxhash64(docs[id].cast("string"), docs[source].cast("string")).alias("_order"))
+def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, columns: tuple[str, ...] = (), place: str = "") -> DataFrame:
+    """Rows (_row: struct of `columns`; _place: the row's number, which column `place` of docs holds or `placed` gives; _size, _source_size, _target, _taken: words that the mix
+    takes, a whole multiple of _size). Texts stay behind: only keys and sizes are shuffled and flown."""
+    if not place:
+        place = free(docs.columns, "_place")
+        docs = placed(docs, place)
+    same = F.xxhash64(docs[id].cast("string"), docs[source].cast("string"), docs[text])
+    carried = F.struct(*(docs[c].alias(c) for c in columns)) if columns else F.struct(F.lit(None).cast("string").alias("_none"))
+    rows = keep(docs.select(carried.alias("_row"), docs[place].alias("_place"), docs[source].cast("string").alias("_source"), words(docs[text]).alias("_size"), same.alias("_order")), "sizes")
     shares = keep(targets(rows.select("_source", "_size"), weights, share, cap), "targets")
     rows = rows.join(shares.withColumnRenamed("_source", "_key"), F.col("_source").eqNullSafe(F.col("_key")), "left").drop("_key")
     rate = F.when(F.col("_total") > 0, F.col("_target") / F.col("_total")).otherwise(0.0)
@@ -97,9 +110,9 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     whole = F.floor(rate)
     rows = rows.withColumn("_p", F.when(F.col("_size") > 0, rate - whole).otherwise(0.0)).withColumn("_whole", whole)
     groups = F.ceil(F.col("_n") / GROUP)
-    done, level, fixed = None, 0, ["_row", "_source", "_size", "_order", "_total", "_target", "_whole", "_p"]
+    done, level, fixed = None, 0, ["_row", "_place", "_source", "_size", "_order", "_total", "_target", "_whole", "_p"]
     while True:
-        dealt = rows.withColumn("_group", F.pmod(F.xxhash64("_order", "_size", F.lit(level)), groups)).withColumn("_last", groups <= 1).drop("_n")
+        dealt = rows.withColumn("_group", F.pmod(F.xxhash64("_order", "_place", F.lit(level)), groups)).withColumn("_last", groups <= 1).drop("_n")
         flown = keep(dealt.groupBy("_source", "_group").applyInPandas(_fly, dealt.schema), f"mix{level}").select(fixed)
         open_ = (F.col("_p") > 0) & (F.col("_p") < 1)
         done = flown.where(~open_) if done is None else done.union(flown.where(~open_))
@@ -108,4 +121,14 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
             break
         counts = left.groupBy("_source").agg(F.count("*").alias("_n")).withColumnRenamed("_source", "_key")
         rows, level = left.join(counts, F.col("_source").eqNullSafe(F.col("_key"))).drop("_key"), level + 1
-    return done.select("_row", "_size", F.col("_total").alias("_source_size"), "_target", ((F.col("_whole") + F.col("_p")) * F.col("_size")).cast("long").alias("_taken"))
+    return done.select("_row", "_place", "_size", F.col("_total").alias("_source_size"), "_target", ((F.col("_whole") + F.col("_p")) * F.col("_size")).cast("long").alias("_taken"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it. Options as for `mix`."""
+    place, again = free(docs.columns, "_place"), free(docs.columns, "_again")
+    rows = placed(docs, place)
+    drawn = mix(rows, place=place, **options)
+    times = F.when(drawn["_size"] > 0, (drawn["_taken"] / drawn["_size"]).cast("int")).otherwise(0)
+    counts = drawn.where(times > 0).select(F.col("_place").alias(place), F.sequence(F.lit(1), times).alias(again))
+    return rows.join(counts, place).withColumn(again, F.explode(again)).select(*(f"`{c}`" for c in docs.columns))

@@ -94,15 +94,23 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha
 
 
 OP2 = r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL),
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(w) AS line, generate_subscripts(w, 1) AS k FROM d),
 h AS (SELECT *, CAST('0x' || md5(line)[1:8] AS BIGINT) AS h FROM l),
-b AS (SELECT *, (h + 31 * coalesce(lag(h) OVER w, 0) + 961 * coalesce(lag(h, 2) OVER w, 0)) % 4 = 0 AS e FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
-c AS (SELECT *, coalesce(sum(CAST(e AS INT)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM b),
-g AS (SELECT doc_id, chunk, count(*) AS n, string_agg(line, chr(10) ORDER BY k) AS body FROM c GROUP BY doc_id, chunk),
-f AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1 AS gone FROM g),
-s AS (SELECT doc_id, sum(n) AS n_lines, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed_chunks, sum(n) FILTER (gone) AS n_removed_lines, string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT gone) AS kept FROM f GROUP BY doc_id)
-SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_removed_chunks, 0) AS n_removed_chunks, CAST(coalesce(n_removed_lines, 0) AS BIGINT) AS n_removed_lines, sha256(coalesce(kept, '')) AS kept_sha256
-FROM documents LEFT JOIN s USING (doc_id)
+e AS (SELECT *, (h + 31 * coalesce(lag(h) OVER w, 0)) % 3 <> 0 AS e FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+n AS (SELECT *, coalesce(sum(CAST(e AS INT)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM e),
+c AS (SELECT doc_id, chunk, min(k) AS x, max(k) + 1 AS y FROM n GROUP BY doc_id, chunk),
+p AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY chunk) AS before FROM c),
+s AS (SELECT doc_id, x AS a, y AS b FROM p
+  UNION ALL SELECT doc_id, x - n, x + 1 FROM (SELECT *, unnest(range(1, least(8, x - before) + 1)) AS n FROM p WHERE before IS NOT NULL)
+  UNION ALL SELECT doc_id, x - 1, x + n FROM (SELECT *, unnest(range(2, least(8, y - x - 1) + 1)) AS n FROM p WHERE before IS NOT NULL)),
+f AS (SELECT doc_id, a, b, row_number() OVER (PARTITION BY array_to_string(w[a:b - 1], chr(10)) ORDER BY doc_id, a) > 1 AS gone FROM s JOIN d USING (doc_id)
+  WHERE len(list_filter(w[a:b - 1], lambda v: regexp_matches(v, '[^\x20\x09-\x0D]'))) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(a, b)) AS k FROM f WHERE gone),
+o AS (SELECT n.doc_id, count(*) AS n_lines, count(DISTINCT chunk) AS n_chunks, count(g.k) AS n_removed_lines, string_agg(line, chr(10) ORDER BY n.k) FILTER (WHERE g.k IS NULL) AS kept
+  FROM n LEFT JOIN g ON g.doc_id = n.doc_id AND g.k = n.k GROUP BY n.doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_removed_lines, 0) AS n_removed_lines, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN o USING (doc_id)
 """
 
 OP4 = r"""

@@ -5,7 +5,8 @@ population counts that differ by the radius at most (summed over the blocks), so
 fingerprints of the tiles that it is compared with; numpy takes exclusive-ors and counts bits for whole blocks of rows. Of the links a tile finds,
 it emits a spanning forest only, never all pairs of a group. Copies of a text have one fingerprint and are compared once.
 
-More blocks make smaller tiles that are met by more copies of each fingerprint: 4 blocks (21 copies) suit up to some 10**8 texts, 8 blocks more.
+More blocks make smaller tiles that are met by more copies of each fingerprint: 4 blocks (21 copies) while the largest tile stays under `TILE`
+fingerprints, as their number and the binomial law of population counts tell, else 8 (73 copies) or 16 (273); the links found are the same.
 
 Defined results: a null text has no words, and texts without words share fingerprint zero; a null id is kept and named last; repeated rows link.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import product
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +23,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, raw
+from .common import free, keep, placed, raw
 from .components import components
 
-SEED, BLOCKS, SIDE = 42, 4, 2048
+SEED, SIDE, TILE = 42, 2048, 200_000
 
 
 def fingerprint_of(text: bytes | None, shingle: int = 3) -> int:
@@ -122,19 +124,38 @@ def _compare(radius: int):
     return compare
 
 
-def links(prints: DataFrame, radius: int = 2, blocks: int = BLOCKS) -> DataFrame:
+def blocks_for(n: int) -> int:
+    """The least number of blocks for which n fingerprints make tiles of `TILE` at most, if their bits are as random as a hash's."""
+    for blocks in (4, 8):
+        width = 64 // blocks
+        if n * (comb(width, width // 2) / 2**width) ** blocks <= TILE:
+            return blocks
+    return 16
+
+
+def links(prints: DataFrame, radius: int = 2, blocks: int | None = None) -> DataFrame:
     """Links (u, v) that connect whatever distinct fingerprints (column print) are connected within the radius."""
+    blocks = blocks or blocks_for(prints.count())
     dealt = prints.mapInArrow(_deal(radius, blocks), "tile long, home boolean, print long")
     return dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(_compare(radius), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3, blocks: int = BLOCKS, carry: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3, blocks: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, print, part, component, and the columns to carry): one row for each row of docs. component is the least id reachable over links, itself
-    included; part is the least fingerprint, which tells components without ids apart."""
-    own = keep(docs.select(F.col(id).alias("_id"), fingerprint(text, shingle).alias("print"), *carry), "prints")
-    distinct = own.groupBy("print").agg(F.min("_id").alias("least"))
+    included; part is the least fingerprint of the component, which tells components apart whatever ids they have."""
+    own = keep(docs.select(docs[id].alias("_id"), fingerprint(docs[text], shingle).alias("print"), *carry), "prints")
+    distinct = keep(own.groupBy("print").agg(F.min("_id").alias("least")), "distinct")
     parts = components(links(distinct.select("print"), radius, blocks))
     named = distinct.join(parts.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
     least = named.groupBy("component").agg(F.min("least").alias("least"))
     of_print = named.select("print", "component").join(least, "component").select("print", F.col("component").alias("part"), F.col("least").alias("component"))
     return own.join(of_print, "print").select(F.col("_id").alias(id), "print", "part", "component", *carry)
+
+
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
+    """One row of each component of docs: the one of least id (nulls last), the first in its files where several have that id or none has one."""
+    row = free([*docs.columns, id, "print", "part", "component"], "_row")
+    rows = placed(docs, row)
+    found = near_duplicates(rows.select(rows[id].alias("_own"), rows[text].alias("_text"), row), "_own", "_text", radius, shingle, carry=(row,))
+    first = found.groupBy("part").agg(F.min(F.struct(F.col("_own").isNull(), "_own", row)).alias("first"))
+    return rows.join(first.select(F.col(f"first.{row}")), row, "left_semi").drop(row)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import covered, placed, raw
 from .repeats import Kind, Rule, repeated
 
-LENGTH, GRAM, SHALLOW, SMALL, MANY = 200, 24, 6, 8, 50_000
+LENGTH, GRAM, SHALLOW, SMALL, MANY, PORTION = 200, 24, 6, 8, 50_000, 2_000_000
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -131,7 +131,7 @@ def _bytes(text: bytes) -> np.ndarray:
 
 def kind(length: int = LENGTH) -> Kind:
     gram = min(GRAM, length)
-    return Kind(_bytes, length, gram, 2_000_000, MANY, lambda *a: compare(*a, length=length))
+    return Kind(_bytes, length, gram, PORTION, MANY, lambda *a: compare(*a, length=length))
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,8 @@
 """Token-ID output: shards of token ids under Re-Pair grammar compression.
 
 Texts are dealt to shards by range of id, so that shard order is document order. A task tokenises its shard, cuts it into blocks of about
-`BLOCK_TOKENS` ids at document ends, and compresses each block: the most frequent pairs of ids become nonterminals, round after round, most frequent
-first where occurrences overlap; a pair never crosses a document's end. A block is a row of a Parquet table with the rules (left and right symbol), the
+`BLOCK_TOKENS` ids at document ends, and compresses each block: the most frequent pairs of ids become nonterminals, round after round, until no pair
+occurs `LEAST` times; a pair never crosses a document's end. A block is a row of a Parquet table with the rules (left and right symbol), the
 expansion length of each nonterminal and each document's offset in the symbols, so that any document, or any position in it, is decoded on its own.
 
 Defined results: a null text is an empty one and has the end id alone; null ids come first; repeated ids are all kept, ordered by text; an empty table
@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import portions, raw
+from .common import write as save
 
-END, PORTION, BLOCK_TOKENS, ROUNDS, RULES, LEAST = 1, 5_000_000, 1_000_000, 4, 1024, 8
+END, PORTION, BLOCK_TOKENS, LEAST, SHARE = 1, 5_000_000, 1_000_000, 8, 0.05
 FILE = "shard int, block int, start long, n_tokens long, base int, doc_ids array<long>, lengths binary, offsets binary, left binary, right binary, spans binary, symbols binary"
-CACHED_PARTS = 600_000
+CACHED_PARTS = 200_000
 #: Letters whose lower case is a letter of the same kind, and marks that form one part together; an apostrophe parts otherwise, and < may begin a special
 #: token.
 LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *(c for c in range(0xC0, 0x180) if c not in (0xD7, 0xF7, 0x130))]))
@@ -105,48 +106,69 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def repair(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = ROUNDS, rules: int = RULES, least: int = LEAST) -> dict[str, np.ndarray]:
-    """Symbols and rules of ids. Symbols from `base` on are nonterminals; spans are their expansion lengths."""
-    seq, last = ids.astype(np.int64), np.zeros(len(ids), bool)
+def _sorted(left: np.ndarray, right: np.ndarray, packed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs in order (left and right symbols), and the places that they come from. Small symbols and places share a word, which sorts much faster."""
+    if packed:
+        key = np.sort((left << 44 | right << 24 | np.arange(len(left))).view(np.uint64))
+        return (key >> np.uint64(44)).view(np.int64), (key >> np.uint64(24)).view(np.int64) & 0xFFFFF, (key & np.uint64(0xFFFFFF)).view(np.int64)
+    order = np.lexsort((right, left))
+    return left[order], right[order], order
+
+
+def repair(ids: np.ndarray, lengths: np.ndarray, base: int, least: int = LEAST) -> dict[str, np.ndarray]:
+    """Symbols and rules of ids. Symbols from `base` on are nonterminals; spans are their expansion lengths. No pair of symbols is left that occurs
+    `least` times within documents, without overlap.
+
+    A round counts the pairs and takes those of `SHARE` of the top count or more, most frequent first where occurrences overlap; a pair that keeps fewer
+    than `least` occurrences waits for the next round. Only pairs whose hash bin is that full are counted one by one.
+    """
+    seq, last, packed = ids.astype(np.int64), np.zeros(len(ids), bool), len(ids) < 1 << 24 and base + len(ids) // least < 1 << 20
     last[np.cumsum(lengths)[lengths > 0] - 1] = True
-    left, right, spans = np.zeros(0, np.int64), np.zeros(0, np.int64), np.ones(base + rounds * rules, np.int64)
-    bins = 1 << 20
-    for _ in range(rounds):
-        pair = (seq[:-1] << 24) | seq[1:]
-        place = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        place[last[:-1]] = bins
-        counts = np.bincount(place, minlength=bins + 1)[:bins]
-        top = np.flatnonzero(counts >= least)
-        if not len(top):
+    left, right, made = [], [], 0
+    while len(seq) > 1:
+        free = ~last[:-1]
+        same = np.flatnonzero((seq[:-1] == seq[1:]) & free)
+        if len(same):  # in a run of one symbol every other pair counts
+            run = np.flatnonzero(np.diff(same, prepend=-2) != 1)
+            free[same[(same - np.repeat(same[run], np.diff(run, append=len(same)))) % 2 == 1]] = False
+        bits = min(22, max(12, len(seq).bit_length() + 1))
+        place = (((seq[:-1] << 31 | seq[1:]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+        place[~free] = 1 << bits
+        full = np.bincount(place, minlength=(1 << bits) + 1) >= least
+        full[1 << bits] = False
+        at = np.flatnonzero(full[place])
+        a, b, source = _sorted(seq[at], seq[at + 1], packed)
+        cut = np.flatnonzero(np.concatenate(([len(a) > 0], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        count = np.diff(cut, append=len(a))
+        if not len(cut) or count.max() < least:
             break
-        top = top[np.argsort(-counts[top], kind="stable")[:rules]]
-        rank = np.full(bins + 1, -1, np.int16)
-        rank[top] = np.arange(len(top))
-        own = rank[place]
-        at = np.flatnonzero(own >= 0)
-        own, pairs = own[at].astype(np.int64), pair[at]
-        chosen = np.zeros(len(top), np.int64)
-        chosen[own] = pairs
-        same = chosen[own] == pairs  # a bin may hold several pairs; one of them is taken
-        at, own = at[same], own[same]
-        touch = np.diff(at) == 1
-        free = np.ones(len(at), bool)
-        free[1:] &= ~(touch & (own[:-1] <= own[1:]))
-        free[:-1] &= ~(touch & (own[1:] < own[:-1]))
-        at, own = at[free], own[free]
-        fresh = base + len(left) + own
-        new = spans[chosen >> 24] + spans[chosen & 0xFFFFFF]
-        spans[base + len(left) : base + len(left) + len(chosen)] = new
-        left, right = np.concatenate((left, chosen >> 24)), np.concatenate((right, chosen & 0xFFFFFF))
-        seq[at] = fresh
+        taken = np.flatnonzero(count >= max(least, int(count.max() * SHARE)))
+        taken = taken[np.argsort(-count[taken], kind="stable")]
+        rank = np.full(len(cut), len(taken))
+        rank[taken] = np.arange(len(taken))
+        own = np.empty(len(at), np.int64)
+        own[source] = np.repeat(rank, count)
+        at, own = at[own < len(taken)], own[own < len(taken)]
+        touch, clear = np.diff(at) == 1, np.ones(len(at), bool)
+        clear[1:] &= ~(touch & (own[:-1] < own[1:]))
+        clear[:-1] &= ~(touch & (own[1:] < own[:-1]))
+        at, own = at[clear], own[clear]
+        use = np.bincount(own, minlength=len(taken)) >= least
+        at, own = at[use[own]], own[use[own]]
+        left.append(a[cut[taken[use]]]), right.append(b[cut[taken[use]]])
+        seq[at] = base + made + (np.cumsum(use) - 1)[own]
+        made += int(use.sum())
         last[at] = last[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq, last = seq[stay], last[stay]
-    ends = np.flatnonzero(last) + 1
+    spans = np.ones(base + made, np.int64)
+    for x, y, first in zip(left, right, base + np.cumsum([0, *map(len, left)]), strict=False):
+        spans[first : first + len(x)] = spans[x] + spans[y]
     offsets = np.zeros(len(lengths) + 1, np.int64)
-    offsets[1:][lengths > 0] = ends
-    return {"symbols": seq, "left": left, "right": right, "spans": spans[base : base + len(left)], "offsets": np.maximum.accumulate(offsets)}
+    offsets[1:][lengths > 0] = np.flatnonzero(last) + 1
+    rules = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right)]
+    return {"symbols": seq, "left": rules[0], "right": rules[1], "spans": spans[base:], "offsets": np.maximum.accumulate(offsets)}
 
 
 def expand(symbols: np.ndarray, base: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -206,6 +228,7 @@ def _pack(path: str, block_tokens: int):
                 if held >= block_tokens:
                     yield row()
                     start, block, ids, parts, held = start + held, block + 1, [], [], 0
+                    pa.default_memory_pool().release_unused()
         if parts:
             yield row()
 
@@ -215,7 +238,8 @@ def _pack(path: str, block_tokens: int):
 def write(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> None:
     """Write the token file of docs to path, in ascending order of id."""
     rows = docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text"))
-    rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(_pack(tokenizer, block_tokens), FILE).write.parquet(path)
+    blocks = rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(_pack(tokenizer, block_tokens), FILE)
+    save(blocks, path)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
