@@ -10,38 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparquill.llm import decontaminate, mixing, quality, simhash, tokens
-from sparquill.llm.common import documents, keep, new_path, placed
+from sparquill.llm.common import documents, free, keep, new_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or the trees go."""
-    trees = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.withColumn("_q", quality.verdict("text", trees)).where("_q.kept").drop("_q")
+    trees, judged = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), free(docs.columns, "_quality")
+    return docs.withColumn(judged, quality.verdict("text", trees)).where(F.col(judged)["kept"]).drop(judged)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one that gives it its id (the first row, where several rows have that id).
-
-    A document without an id goes if its component has one with an id; of a component without ids the first row stays. Rows are numbered by their place in the files of docs.
-    """
-    rows = placed(docs, "__row")
-    found = simhash.near_duplicates(rows, carry=("__row",))
-    named = found.where("doc_id = component").groupBy("doc_id").agg(F.min("__row").alias("__row"))
-    nameless = found.where("doc_id IS NULL AND component IS NULL").groupBy("part").agg(F.min("__row").alias("__row"))
-    return rows.join(named.select("__row").union(nameless.select("__row")), "__row", "left_semi").drop("__row")
+    """One document of each component of near copies stays: the one of least id (a row without an id only where none has one), the first in its files
+    where several rows have that id."""
+    return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.withColumn("_h", found).where(F.size("_h.ranges") == 0).drop("_h")
+    found, hits = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), free(docs.columns, "_hits")
+    return docs.withColumn(hits, found).where(F.size(F.col(hits)["ranges"]) == 0).drop(hits)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs)
-    times = F.when(mixed["_size"] > 0, (mixed["_taken"] / mixed["_size"]).cast("int")).otherwise(0)
-    return mixed.withColumn("_k", F.explode(F.array_repeat(F.lit(1), times))).select("_row.*")
+    return mixing.mixed(docs)
 
 
 def token_file(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
