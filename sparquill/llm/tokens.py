@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,9 +27,9 @@ from tokenizers import Tokenizer
 from .common import portions, raw
 from .common import write as save
 
-END, PORTION, BLOCK_TOKENS, LEAST, SHARE = 1, 5_000_000, 1_000_000, 8, 0.05
+END, PORTION, BLOCK_TOKENS, LEAST = 1, 5_000_000, 1_000_000, 8
 FILE = "shard int, block int, start long, n_tokens long, base int, doc_ids array<long>, lengths binary, offsets binary, left binary, right binary, spans binary, symbols binary"
-CACHED_PARTS = 200_000
+CACHED_PARTS = 500_000
 #: Letters whose lower case is a letter of the same kind, and marks that form one part together; an apostrophe parts otherwise, and < may begin a special
 #: token.
 LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *(c for c in range(0xC0, 0x180) if c not in (0xD7, 0xF7, 0x130))]))
@@ -38,11 +37,35 @@ MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 PLAIN = "^[" + LETTERS + "]*[" + re.escape(MARKS) + "]*$"
 
 
+class Parts:
+    """Parts of texts that were encoded before, and their ids: all in arrays. The empty part has place 0 and no ids."""
+
+    def __init__(self, learn):
+        self.learn = learn
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.ids, self.first, self.count = pa.array([""], pa.large_string()), np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def places(self, strings: pa.Array) -> np.ndarray:
+        """The place of each string; what isn't known is learnt together."""
+        coded = strings.dictionary_encode()
+        at = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.known), -1).to_numpy().astype(np.int64)
+        new = coded.dictionary.filter(pa.array(at < 0))
+        if len(new):
+            ids, count = self.learn(new)
+            ends = np.cumsum(count)
+            at[at < 0] = len(self.known) + np.arange(len(new))
+            self.first, self.count = np.concatenate((self.first, len(self.ids) + ends - count)), np.concatenate((self.count, count))
+            self.ids, self.known = np.concatenate((self.ids, ids)), pa.concat_arrays([self.known, new])
+        return at[coded.indices.to_numpy()]
+
+
 class Encoder:
     """Whole texts to ids. White space always ends a token of this tokenizer, so texts are split at it, and each different word is encoded once.
 
     A plain word is letters, then marks: two parts by the tokenizer's own pattern. Its letters are lower-cased here, and the library's model encodes
-    each part, once while it is remembered. All other words go through the whole tokenizer.
+    the parts that aren't remembered. All other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -50,50 +73,36 @@ class Encoder:
         # The model sees bytes as printable characters: those of Latin-1 stand for themselves, the others for 256 and up.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.table = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(shown))}
-        self.clear()
-
-    def clear(self) -> None:
-        """Forget all parts but the empty one, which has place 0."""
-        self.known: dict[str, int] = {"": 0}
-        self.ids, self.first, self.count = array("i"), array("q", [0]), array("q", [0])
+        self.parts, self.wholes = Parts(self._part), Parts(self._whole)
 
-    def _place(self, key: str, ids: list[int]) -> int:
-        self.first.append(len(self.ids)), self.count.append(len(ids))
-        self.ids.extend(ids)
-        k = self.known[key] = len(self.known)
-        return k
+    def _part(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split, table = self.tokenizer.model.tokenize, self.table
+        found = [split(p if p.isascii() else p.encode().decode("latin-1").translate(table)) for p in parts.to_pylist()]
+        return np.fromiter((t.id for tokens in found for t in tokens), np.int32), np.fromiter(map(len, found), np.int64, len(found))
 
-    def _part(self, piece: str) -> int:
-        text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.table)
-        return self._place(piece, [t.id for t in self.tokenizer.model.tokenize(text)])
-
-    def _whole(self, word: str) -> int:
-        return self._place(f" {word}", self.tokenizer.encode(word, add_special_tokens=False).ids)
-
-    def _places(self, strings: pa.Array, prefix: str, learn) -> np.ndarray:
-        coded = strings.dictionary_encode()
-        known = ((self.known.get(prefix + t), t) for t in coded.dictionary.to_pylist())
-        return np.array([learn(t) if k is None else k for k, t in known], np.int64)[coded.indices.to_numpy()]
+    def _whole(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words.to_pylist()]
+        return np.array([i for ids in found for i in ids], np.int32), np.array([len(ids) for ids in found], np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and how many each has. A null text is an empty one."""
-        if len(self.known) > CACHED_PARTS:
-            self.clear()
+        for memory in (self.parts, self.wholes):
+            if len(memory.known) > CACHED_PARTS:
+                memory.clear()
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         ends = np.asarray(split.offsets)[1:] - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
         words, occurs = coded.dictionary, coded.indices.to_numpy()
-        plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False)
-        letters, marks = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        if plain.any():
-            simple = words.filter(pa.array(plain))
-            letters[plain] = self._places(pc.utf8_lower(pc.utf8_rtrim(simple, MARKS)), "", self._part)
-            marks[plain] = self._places(pc.utf8_ltrim(simple, LETTERS), "", self._part)
-        if not plain.all():
-            letters[~plain] = self._places(words.filter(pa.array(~plain)), " ", self._whole)
-        flat, first, count = (np.frombuffer(x, t) if len(x) else np.zeros(1, t) for x, t in ((self.ids, np.int32), (self.first, np.int64), (self.count, np.int64)))
-        parts = np.stack((letters, marks), axis=1)[occurs].ravel()
-        first, count = first[parts], count[parts]
+        plain = pc.match_substring_regex(words, PLAIN)
+        simple, other = words.filter(plain), words.filter(pc.invert(plain))
+        letters, marks = self.parts.places(pc.utf8_lower(pc.utf8_rtrim(simple, MARKS))), self.parts.places(pc.utf8_ltrim(simple, LETTERS))
+        wholes, plain = self.wholes.places(other), plain.to_numpy(zero_copy_only=False)
+        flat = np.concatenate((self.parts.ids, self.wholes.ids))
+        first, count = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
+        for column, places in enumerate((letters, marks)):
+            first[plain, column], count[plain, column] = self.parts.first[places], self.parts.count[places]
+        first[~plain, 0], count[~plain, 0] = len(self.parts.ids) + self.wholes.first[wholes], self.wholes.count[wholes]
+        first, count = first[occurs].ravel(), count[occurs].ravel()
         upto = np.cumsum(count)
         total = int(upto[-1]) if len(upto) else 0
         ids = flat[np.repeat(first - upto + count, count) + np.arange(total)]
@@ -119,8 +128,8 @@ def repair(ids: np.ndarray, lengths: np.ndarray, base: int, least: int = LEAST)
     """Symbols and rules of ids. Symbols from `base` on are nonterminals; spans are their expansion lengths. No pair of symbols is left that occurs
     `least` times within documents, without overlap.
 
-    A round counts the pairs and takes those of `SHARE` of the top count or more, most frequent first where occurrences overlap; a pair that keeps fewer
-    than `least` occurrences waits for the next round. Only pairs whose hash bin is that full are counted one by one.
+    A round counts the pairs and takes those that occur so often, most frequent first where occurrences overlap; a pair that keeps fewer than `least`
+    occurrences waits for the next round. Only pairs whose hash bin is that full are counted one by one.
     """
     seq, last, packed = ids.astype(np.int64), np.zeros(len(ids), bool), len(ids) < 1 << 24 and base + len(ids) // least < 1 << 20
     last[np.cumsum(lengths)[lengths > 0] - 1] = True
@@ -142,7 +151,7 @@ def repair(ids: np.ndarray, lengths: np.ndarray, base: int, least: int = LEAST)
         count = np.diff(cut, append=len(a))
         if not len(cut) or count.max() < least:
             break
-        taken = np.flatnonzero(count >= max(least, int(count.max() * SHARE)))
+        taken = np.flatnonzero(count >= least)
         taken = taken[np.argsort(-count[taken], kind="stable")]
         rank = np.full(len(cut), len(taken))
         rank[taken] = np.arange(len(taken))
@@ -243,11 +252,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id", text:
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32 and, if asked for, ids) of each document of a token file. The prefix sums over shards have one row per shard."""
+    """(id, start, n_tokens, ids_crc32 and, if asked for, ids) of each document of a token file. The prefix sums have one row for each shard, of which
+    there are as many as the writing job had tasks, so they are broadcast."""
     blocks = spark.read.schema(FILE).parquet(path)
     order = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     before = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
-    rows = blocks.join(before, "shard").withColumn("start", F.col("start") + F.col("before")).drop("before", "shard", "block", "n_tokens", "spans", "offsets")
+    rows = blocks.join(F.broadcast(before), "shard").withColumn("start", F.col("start") + F.col("before")).drop("before", "shard", "block", "n_tokens", "spans", "offsets")
     return rows.mapInArrow(_unpack(with_ids), "id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
