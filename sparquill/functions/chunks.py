@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 SENTENCE = re.compile(r"(?<=[。．.!?！？])")
 
 
-def pieces(text: str, size: int) -> list[str]:
-    """Paragraphs; the sentences of those that are too long; of sentences that are too long, parts of the size."""
+def pieces(text: str, size: int, overlap: int) -> list[str]:
+    """Paragraphs; the sentences of those that are too long; of sentences that are too long, parts of the size that share the overlap."""
     out = []
     for paragraph in filter(None, map(str.strip, re.split(r"\n\s*\n", text))):
         for part in [paragraph] if len(paragraph) <= size else filter(None, map(str.strip, SENTENCE.split(paragraph))):
-            out += [part[k : k + size] for k in range(0, len(part), size)]
+            out += [part[k : k + size] for k in range(0, max(1, len(part) - overlap), size - overlap)]
     return out
 
 
@@ -26,16 +26,16 @@ def overlapping(text: str | None, size: int = 1200, overlap: int = 120) -> list[
     """Pieces filled up to the size, joined by newlines; each chunk begins with the end of the one before."""
     if overlap >= size:
         raise ValueError("the overlap must be smaller than the size")
-    text = (text or "").strip()
+    text = (text or "").replace("\r\n", "\n").strip()
     if len(text) <= size:
         return [text] if text else []
     out, buffer = [], ""
-    for piece in pieces(text, size):
+    for piece in pieces(text, size, overlap):
         if buffer and len(buffer) + 1 + len(piece) > size:
             out.append(buffer)
             buffer = buffer[-overlap:] if overlap else ""
         buffer = f"{buffer}\n{piece}" if buffer else piece
-    return [*out, buffer] if buffer else out
+    return [c for c in map(str.strip, [*out, buffer]) if c]
 
 
 def lines(text: str | None, size: int) -> list[str]:

@@ -32,7 +32,8 @@ def tokens(text: Column | str) -> Column:
     low = F.lower(F.coalesce(col(text), F.lit("")))
     runs = F.regexp_extract_all(low, F.lit(f"({CJK})"), 1)
     pairs = F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, 2))))
-    return F.concat(F.regexp_extract_all(low, F.lit("([a-z0-9_]+)"), 1), F.flatten(pairs))
+    words = F.regexp_extract_all(low, F.lit("([a-z0-9_]+)"), 1)
+    return F.when(low.rlike(CJK), F.concat(words, F.flatten(pairs))).otherwise(words)
 
 
 def lexical_terms(text: Column | str) -> Column:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..sources.tables import numbered
+from ..sources.tables import numbered, stage
 
 # Weights of sub-scores and penalties.
 WEIGHTS = {"source_authority": 0.18, "primaryness": 0.14, "parameter_directness": 0.18, "methodology_transparency": 0.12, "geography_fit": 0.08, "population_fit": 0.07, "time_fit": 0.08, "recency": 0.05, "independence": 0.05, "reproducibility": 0.05}
@@ -51,12 +48,16 @@ def representatives(rows: DataFrame, by: list[str], score: str, order: str) -> D
 def contradictions(reps: DataFrame, by: str, id: str, value: str, ratio: float = 2.0) -> DataFrame:
     """(by, a, b, ratio): pairs of positive representatives of a parameter whose values differ by more than a factor.
 
-    Values are dealt to powers of the factor: partners stand a power or more apart, and are joined on the equal group with that order.
+    Values are dealt to bands by powers of the factor. Partners are in different bands, so a pair is found where its two bands meet: the join is on
+    the group and both bands, which spreads a large group over as many tasks as it has pairs of bands.
     """
-    rows = reps.where(F.col(value) > 0).select(F.col(by).alias("by"), F.col(id).alias("id"), F.col(value).alias("v"))
-    a, b = rows.alias("a"), rows.alias("b")
-    joined = a.join(b, (F.col("a.by") == F.col("b.by")) & (F.col("a.v") > ratio * F.col("b.v")))
-    return joined.select(F.col("a.by").alias(by), F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), (F.col("a.v") / F.col("b.v")).alias("ratio"))
+    band = F.floor(F.log(F.col(value).cast("double")) / F.log(F.lit(float(ratio)))).cast("int")
+    rows = reps.where(F.col(value) > 0).select(F.col(by).alias("by"), F.col(id).alias("id"), F.col(value).alias("v"), band.alias("band"))
+    rows = rows.join(rows.groupBy("by").agg(F.collect_set("band").alias("bands")), "by")
+    high = rows.select("by", F.col("id").alias("p"), F.col("v").alias("x"), F.col("band").alias("upper"), F.explode(F.filter("bands", lambda k: k < F.col("band"))).alias("lower"))
+    low = rows.select("by", F.col("id").alias("q"), F.col("v").alias("y"), F.explode(F.filter("bands", lambda k: k > F.col("band"))).alias("upper"), F.col("band").alias("lower"))
+    found = high.join(low, ["by", "upper", "lower"]).where(F.col("x") > ratio * F.col("y"))
+    return found.select(F.col("by").alias(by), F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), (F.col("x") / F.col("y")).alias("ratio"))
 
 
 def compare(claims: DataFrame, cluster: str, engine: str, value: str, evidence: str, engines: int) -> DataFrame:
@@ -83,24 +84,17 @@ def registry(sources: DataFrame, key: str, engine: str) -> DataFrame:
 def skyline(points: DataFrame, a: str, b: str) -> DataFrame:
     """Points that no other is at least as good as in both and better in one (larger is better). Equal points stay together.
 
-    The best b for each a is pre-aggregated, and each task keeps its own front; running maxima over what is left give the front of all.
+    The best b for each a is pre-aggregated and dealt to ranges of a; the best b of all higher ranges (one row for each range) and the running best
+    within the range say what is dominated, so that a front as large as its table is spread as well.
     """
     best = points.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a).agg(F.max(b).alias(b))
-
-    def own(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for part in parts:
-            kept = part if kept is None else pd.concat([kept, part])
-            kept = kept.sort_values([a, b], ascending=False)
-            top = kept[b].cummax().shift(1)
-            kept = kept[top.isna() | (kept[b] > top)]
-        if kept is not None:
-            yield kept
-
-    best = best.mapInPandas(own, best.schema)
-    above = Window.orderBy(F.desc(a)).rowsBetween(Window.unboundedPreceding, -1)
-    front = best.withColumn("_top", F.max(b).over(above)).where(F.col("_top").isNull() | (F.col(b) > F.col("_top"))).drop("_top")
-    return points.join(front, [a, b], "left_semi")
+    placed = stage(best.repartitionByRange(F.desc(a)).withColumn("_range", F.spark_partition_id()))
+    higher = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = placed.groupBy("_range").agg(F.max(b).alias("_best")).select("_range", F.max("_best").over(higher).alias("_best"))
+    inside = Window.partitionBy("_range").orderBy(F.desc(a)).rowsBetween(Window.unboundedPreceding, -1)
+    front = placed.withColumn("_own", F.max(b).over(inside)).join(F.broadcast(tops), "_range")
+    top = F.greatest("_best", "_own")
+    return points.join(front.where(top.isNull() | (F.col(b) > top)).select(a, b), [a, b], "left_semi")
 
 
 def merge_entities(mentions: DataFrame, key: str, name: str, kind: str, description: str, order: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,34 +60,25 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node, community) by label propagation in order of nodes: each takes the heaviest label of its neighbours, the least on a tie.
+    """(node, community) by label propagation: each node takes the heaviest label of its neighbours, the least on a tie, until nothing moves or the
+    rounds are over.
 
-    Labels never leave a component, so components are independent; each is small enough for a task or is left to `components`.
+    A round moves one half of the nodes (by a digest of their name and the round), then the other, each from what the last step wrote: so neighbours can't
+    swap labels for ever, and no component is gathered in a task.
     """
-    named = components(edges)
-    own = edges.join(named, edges.src == named.node).select("component", "src", "dst", "weight")
-
-    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b, w in zip(pdf["src"], pdf["dst"], pdf["weight"], strict=True):
-            near.setdefault(a, []).append((b, w))
-            near.setdefault(b, []).append((a, w))
-        label = {n: n for n in near}
-        for _ in range(rounds):
-            moved = False
-            for n in sorted(near):
-                votes: dict = {}
-                for m, w in near[n]:
-                    votes[label[m]] = votes.get(label[m], 0.0) + w
-                best = min(votes, key=lambda k: (-votes[k], k))
-                moved |= best != label[n]
-                label[n] = best
-            if not moved:
-                break
-        return pd.DataFrame({"node": list(label), "community": list(label.values())})
-
-    kind = edges.schema["src"].dataType.simpleString()
-    return own.groupBy("component").applyInPandas(spread, f"node {kind}, community {kind}")
+    steps = stage(both_ways(edges))
+    labels = stage(steps.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
+    for k in range(rounds):
+        moved, first = 0, F.md5(F.concat(F.col("src").cast("string"), F.lit(f"/{k}"))) < "8"
+        for half in (first, ~first):
+            near = steps.where(half).join(labels, F.col("dst") == F.col("node")).groupBy("src", "label").agg(F.sum("weight").alias("w"))
+            best = near.groupBy("src").agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("best"))
+            after = stage(labels.join(best, labels.node == best.src, "left").select("node", F.coalesce("best", "label").alias("label"), (F.col("best") != F.col("label")).alias("moved")))
+            moved += after.where("moved").count()
+            labels = after.select("node", "label")
+        if not moved:
+            break
+    return labels.withColumnRenamed("label", "community")
 
 
 def community_order(members: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,33 +18,41 @@ BLOCK = 2048
 
 
 def frequencies(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(term, df, cf): documents and occurrences of each term, in one aggregation: repeats are marked within the document first."""
-    ordered = F.array_sort(tokens(text))
-    marked = F.transform("o", lambda t, i: F.struct(t.alias("term"), F.when(i == 0, 1).otherwise((F.get("o", i - 1) != t).cast("int")).alias("first")))
-    return docs.select(ordered.alias("o")).select(F.explode(marked).alias("t")).groupBy("t.term").agg(F.sum("t.first").alias("df"), F.count("*").alias("cf"))
+    """(term, df, cf): documents and occurrences of each term, in one aggregation: a document's words are sorted, and the first of each is marked."""
+    words = docs.select(F.sort_array(tokens(text)).alias("w"))
+    pairs = words.select(F.explode(F.arrays_zip(F.col("w").alias("term"), F.concat(F.array(F.lit(None).cast("string")), F.col("w")).alias("before"))).alias("t")).select("t.term", "t.before")
+    first = F.when(F.col("term").eqNullSafe(F.col("before")), 0).otherwise(1)
+    return pairs.where("term IS NOT NULL").groupBy("term").agg(F.sum(first).alias("df"), F.count("*").alias("cf"))
 
 
-def postings(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, size, term, tf)."""
-    words = docs.select(F.col(id).alias("id"), tokens(text).alias("w"))
-    return words.select("id", F.size("w").alias("size"), F.explode("w").alias("term")).groupBy("id", "size", "term").agg(F.count("*").alias("tf"))
+def tokenized(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, size, w: words), written once: counts read the sizes alone, postings the words."""
+    return stage(docs.select(F.col(id).alias("id"), tokens(text).alias("w")).select("id", F.size("w").alias("size"), "w"))
+
+
+def postings(words: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(id, size, term, tf) of `tokenized` rows, for the wanted terms (column term) if given."""
+    rows = words.select("id", "size", F.explode("w").alias("term"))
+    rows = rows if wanted is None else rows.join(wanted, "term", "left_semi")
+    return rows.groupBy("id", "size", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, questions: DataFrame, id: str = "doc_id", text: str = "text", question_id: str = "item_id", question: str = "text") -> DataFrame:
     """(question, id, score, overlap): BM25 over distinct question terms, and the share of them that the document has; positive scores only.
 
-    Only postings of terms that are asked for are shuffled; document frequencies come from the same postings.
+    Texts are tokenised once. Only postings of terms that are asked for leave their task, dealt by document, so that a document's scores add up where
+    its postings are; with `top` above it, each task then passes on its k best rows for a question only.
     """
     asked = questions.select(F.col(question_id).alias("question"), F.array_distinct(tokens(question)).alias("w"))
-    asked = asked.select("question", F.size("w").alias("terms"), F.explode("w").alias("term"))
-    words = docs.select(F.col(id).alias("id"), tokens(text).alias("w"))
-    n, mean = words.agg(F.count("*"), F.avg(F.size("w"))).first()
-    wanted = asked.select("term").distinct()
-    own = words.select("id", F.size("w").alias("size"), F.explode("w").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "size", "term").agg(F.count("*").alias("tf"))
-    df = own.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / (mean or 1.0)))
-    found = own.join(df, "term").withColumn("part", part).join(asked, "term").groupBy("question", "id").agg(F.round(F.sum("part"), 6).alias("score"), (F.count("*") / F.first("terms")).alias("overlap"))
+    asked = stage(asked.select("question", F.size("w").alias("terms"), F.explode("w").alias("term")))
+    words = tokenized(docs, id, text)
+    own = stage(postings(words, asked.select("term").distinct()))
+    size = words.agg(F.count("*").alias("n"), F.coalesce(F.avg("size"), F.lit(1.0)).alias("mean"))
+    df = own.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(size))  # one row
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = asked.join(df.select("term", idf.alias("idf"), "mean"), "term")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.when(F.col("mean") == 0, 1.0).otherwise(F.col("mean"))))
+    found = own.join(weighed, "term").groupBy("question", "id").agg(F.round(F.sum(part), 6).alias("score"), (F.count("*") / F.first("terms")).alias("overlap"))
     return found.where("score > 0")
 
 
@@ -70,40 +79,36 @@ def hybrid(found: DataFrame) -> DataFrame:
 def vector_top(rows: DataFrame, questions: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(question, id, similarity, rank): the k most similar other rows of each question by cosine, ties by id.
 
-    Questions are streamed in blocks of a bounded size, each of which is sent to the tasks and multiplied with their rows; a task keeps k rows for each.
+    Questions are numbered and cut into blocks of `BLOCK`; each block is a broadcast of bounded size that one scan of the rows multiplies with, and a
+    task keeps k rows for each question. A set of questions that grows with the rows belongs to an index, not here: the work is one product for each pair.
     """
-    spark, out = rows.sparkSession, None
-    block: list = []
-
-    def search(block: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), _unit([r[1] for r in block])))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, asked = sent.value
-            best = [np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))]
-            for batch in batches:
-                ids, own = batch.column(0).to_numpy(zero_copy_only=False), _unit(batch.column(1).to_pylist())
+    context, sent = rows.sparkSession.sparkContext, []
+    asked = questions.select(F.col(id).cast("long"), vector).where(F.col(vector).isNotNull()).toLocalIterator()
+    while block := list(islice(asked, BLOCK)):
+        sent.append(context.broadcast((np.array([r[0] for r in block], np.int64), _unit([r[1] for r in block]))))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {}
+        for batch in batches:
+            ids, own = batch.column(0).to_numpy(zero_copy_only=False), _unit(batch.column(1).to_pylist())
+            for n, block in enumerate(sent):
+                names, asked = block.value
                 if own.shape[1] != asked.shape[1]:
                     continue
                 score = np.round(asked @ own.T, 6)
                 score[names[:, None] == ids[None]] = -np.inf
-                every, scores = np.concatenate((best[0], np.broadcast_to(ids, score.shape)), axis=1), np.concatenate((best[1], score), axis=1)
-                order = np.lexsort((every, -scores), axis=1)[:, :k]
-                best = [np.take_along_axis(every, order, 1), np.take_along_axis(scores, order, 1)]
-            kept = np.isfinite(best[1])
-            asked_id = np.broadcast_to(names[:, None], kept.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(asked_id[kept]), pa.array(best[0][kept]), pa.array(best[1][kept])], ["question", "id", "similarity"])
-
-        return rows.select(F.col(id).cast("long"), vector).where(F.col(vector).isNotNull()).mapInArrow(scan, "question long, id long, similarity double")
-
-    for row in questions.select(F.col(id).cast("long"), vector).where(F.col(vector).isNotNull()).toLocalIterator():
-        block.append(row)
-        if len(block) == BLOCK:
-            out, block = search(block) if out is None else out.union(search(block)), []
-    if block or out is None:
-        found = search(block or [(-1, [0.0])])
-        out = found if out is None else out.union(found)
-    return top(out, ["question"], [F.desc("similarity"), F.asc("id")], k)
+                every = np.broadcast_to(ids, score.shape)
+                if n in best:
+                    every, score = np.concatenate((best[n][0], every), axis=1), np.concatenate((best[n][1], score), axis=1)
+                order = np.lexsort((every, -score), axis=1)[:, :k]
+                best[n] = np.take_along_axis(every, order, 1), np.take_along_axis(score, order, 1)
+        for n, (every, score) in best.items():
+            kept = np.isfinite(score)
+            asked_id = np.broadcast_to(sent[n].value[0][:, None], kept.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(asked_id[kept]), pa.array(every[kept]), pa.array(score[kept])], ["question", "id", "similarity"])
+
+    found = rows.select(F.col(id).cast("long"), vector).where(F.col(vector).isNotNull()).mapInArrow(scan, "question long, id long, similarity double")
+    return top(found, ["question"], [F.desc("similarity"), F.asc("id")], k)
 
 
 def _unit(vectors: list) -> np.ndarray:

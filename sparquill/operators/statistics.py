@@ -1,7 +1,8 @@
 """Exact quantiles, ranks, correlation and fusion of values in groups, without a group in one task.
 
-Values of a group are dealt to buckets between its minimum and maximum. Weights are summed by bucket, running sums over a group's buckets give where each
-bucket begins, and only within a bucket are values ordered.
+Equal values of a group are added up before anything else. Distinct values are dealt to ranges of their order that Spark balances from a sample, so
+that neither outliers nor a long tail nor one hot group gathers in a task; running sums over the ranges' totals (a few rows for each group) give where
+each range begins, and only within a range are values ordered.
 """
 
 from __future__ import annotations
@@ -9,42 +10,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+from ..sources.tables import stage
 
 
-def running(rows: DataFrame, by: list[str], value: str, weight: Column, order: list[str] = ()) -> DataFrame:
-    """Adds _w (weight), _before (weight of what comes before the row in order of value) and _all (weight of the group). Null values go."""
-    rows = rows.where(F.col(value).isNotNull()).withColumn("_w", weight.cast("double"))
-    ends = rows.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum("_w").alias("_all"))
-    spread = F.col("_high") - F.col("_low")
-    bucket = F.when(spread > 0, F.least(F.floor((F.col(value) - F.col("_low")) / spread * BUCKETS), F.lit(BUCKETS - 1))).otherwise(0)
-    dealt = rows.join(ends, by).withColumn("_bucket", bucket).drop("_low", "_high")
-    sums = dealt.groupBy(*by, "_bucket").agg(F.sum("_w").alias("_sum"))
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*by, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_start"))
-    inside = Window.partitionBy(*by, "_bucket").orderBy(value, *order).rowsBetween(Window.unboundedPreceding, -1)
-    return dealt.join(starts, [*by, "_bucket"]).withColumn("_before", F.col("_start") + F.coalesce(F.sum("_w").over(inside), F.lit(0.0))).drop("_start", "_bucket")
+def running(values: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
+    """Adds _before (weight of the smaller values of the group) and _all (weight of the group) to rows with distinct values of a group."""
+    placed = stage(values.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()))
+    sums = placed.groupBy(*by, "_range").agg(F.sum(weight).alias("_sum"))
+    ranges = Window.partitionBy(*by)
+    starts = sums.select(*by, "_range", F.coalesce(F.sum("_sum").over(ranges.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_start"), F.sum("_sum").over(ranges).alias("_all"))
+    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0.0)))
+    return placed.join(starts, [*by, "_range"]).withColumn("_before", F.col("_start") + F.col("_inside")).drop("_start", "_inside", "_range")
 
 
 def weighted_quantiles(rows: DataFrame, by: list[str], value: str, weight: str, at: dict[str, float], order: list[str]) -> DataFrame:
-    """Quantiles between the centres of weights: a value of weight w stands at (weight before it + w / 2) / all; in between they are linear, and the
-    ends hold beyond. Rows without a positive weight go."""
-    placed = running(rows.where(F.col(weight) > 0), by, value, F.col(weight), order).withColumn("_c", (F.col("_before") + F.col("_w") / 2) / F.col("_all"))
-    point = F.struct(F.col("_c"), F.col(value).alias("v"))
-    found = placed.groupBy(*by).agg(*(f for name, q in at.items() for f in (F.max(F.when(F.col("_c") <= q, point)).alias(f"{name}_a"), F.min(F.when(F.col("_c") > q, point)).alias(f"{name}_b"))))
+    """Quantiles between the centres of weights: a row of weight w stands at (weight before it + w / 2) / all; in between they are linear, and the
+    ends hold beyond. Of equal values the first and last row in order bound the step. Rows without a positive weight go."""
+    rows = rows.where((F.col(weight) > 0) & F.col(value).isNotNull())
+    ends = F.struct(*order)
+    w = F.col(weight).cast("double")
+    steps = rows.groupBy(*by, value).agg(F.sum(w).alias("_w"), F.min_by(w, ends).alias("_first"), F.max_by(w, ends).alias("_last"))
+    placed = running(steps, by, value, "_w")
+    placed = placed.withColumn("_a", (F.col("_before") + F.col("_first") / 2) / F.col("_all")).withColumn("_b", (F.col("_before") + F.col("_w") - F.col("_last") / 2) / F.col("_all"))
+    below, above = F.struct(F.col("_b").alias("c"), F.col(value).alias("v")), F.struct(F.col("_a").alias("c"), F.col(value).alias("v"))
+    found = placed.groupBy(*by).agg(
+        *(f for name, q in at.items() for f in (F.max(F.when(F.col("_b") <= q, below)).alias(f"{name}_a"), F.min(F.when(F.col("_a") > q, above)).alias(f"{name}_b"), F.max(F.when((F.col("_a") <= q) & (F.col("_b") > q), F.col(value))).alias(f"{name}_in")))
+    )
 
     def mix(name: str, q: float) -> Column:
         a, b = F.col(f"{name}_a"), F.col(f"{name}_b")
-        return F.when(a.isNull(), b["v"]).when(b.isNull(), a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * (q - a["_c"]) / (b["_c"] - a["_c"]))
+        between = F.when(a.isNull(), b["v"]).when(b.isNull(), a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * (q - a["c"]) / (b["c"] - a["c"]))
+        return F.coalesce(F.col(f"{name}_in").cast("double"), between)
 
     return found.select(*by, *(mix(n, q).alias(n) for n, q in at.items()))
 
 
 def quantiles(rows: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
     """Linear quantiles: at place q * (n - 1) of the ordered values."""
-    placed = running(rows, by, value, F.lit(1.0)).withColumn("_k", F.round("_before"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").cast("double").alias("_n"))
+    placed = running(counts, by, value, "_n")
     place = lambda q: F.col("_all") * q - q
-    found = placed.groupBy(*by).agg(F.first("_all").alias("_n"), *(f for name, q in at.items() for f in (F.max(F.when(F.col("_k") == F.floor(place(q) + 1e-9), F.col(value))).alias(f"{name}_a"), F.max(F.when(F.col("_k") == F.ceil(place(q) - 1e-9), F.col(value))).alias(f"{name}_b"))))
+    here = lambda k: F.max(F.when((F.col("_before") <= k) & (k < F.col("_before") + F.col("_n")), F.col(value)))
+    found = placed.groupBy(*by).agg(F.first("_all").alias("_n"), *(f for name, q in at.items() for f in (here(F.floor(place(q) + 1e-9)).alias(f"{name}_a"), here(F.ceil(place(q) - 1e-9)).alias(f"{name}_b"))))
 
     def mix(name: str, q: float) -> Column:
         at_ = F.col("_n") * q - q
@@ -55,9 +63,8 @@ def quantiles(rows: DataFrame, by: list[str], value: str, at: dict[str, float])
 
 def average_ranks(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """(by, value, name): the mean rank of each value among its group's."""
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    placed = running(counts, by, value, F.col("_n"))
-    return placed.select(*by, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").cast("double").alias("_n"))
+    return running(counts, by, value, "_n").select(*by, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
 
 
 def spearman(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
@@ -95,3 +102,22 @@ def fuse(evidence: DataFrame, by: str, value: str, weight: str, order: str) -> D
     high = F.when(F.col("n") == 1, F.col("median") * 1.5).when(narrow, F.col("median") * 1.15).otherwise(F.col("high"))
     confidence = F.least(F.lit(1.0), F.col("mean") / 100 * (1 + 0.05 * (F.col("n") - 1)))
     return q.join(base, by).select(by, "n", low.alias("low"), "median", high.alias("high"), confidence.alias("confidence"))
+
+
+def incompatible(geography: Column, wanted_geography: Column, period: Column, wanted_period: Column) -> Column:
+    """Why evidence can't be fused: 'geography' where both are known and neither holds the other, 'period' where both are known and differ, else null."""
+    a, b = F.trim(F.coalesce(geography, F.lit(""))), F.trim(F.coalesce(wanted_geography, F.lit("")))
+    apart = (a != "") & (b != "") & ~a.contains(b) & ~b.contains(a)
+    return F.when(apart, "geography").when((period != "") & (wanted_period != "") & (period != wanted_period), "period")
+
+
+def usable(evidence: DataFrame, by: str, score: str, accepted: str, reason: str, year: str, cluster: str, id: str, reference: int, least: float = 20.0, stale: int = 8, good: float = 50.0) -> DataFrame:
+    """Evidence that may be fused: accepted, compatible (reason is null) and with a score of `least`; where a parameter has good evidence of the last
+    `stale` years, older evidence goes (a year that is unknown stays); of each cluster the best one stays, the first on a tie."""
+    rows = evidence.where(F.col(accepted) & F.col(reason).isNull() & (F.col(score) >= least))
+    recent = (F.lit(reference) - F.col(year) <= stale) & (F.col(score) >= good)
+    marked = rows.join(rows.groupBy(by).agg(F.coalesce(F.bool_or(recent), F.lit(False)).alias("_recent"), F.count("*").alias("_n")), by)
+    kept = marked.where(~(F.col("_recent") & (F.col("_n") >= 2) & F.coalesce(F.lit(reference) - F.col(year) > stale, F.lit(False)))).drop("_recent", "_n")
+    own = F.coalesce(F.nullif(F.col(cluster).cast("string"), F.lit("")), F.concat(F.lit("#"), F.col(id).cast("string")))
+    rest = F.struct(*(c for c in evidence.columns if c != by))
+    return kept.groupBy(by, own.alias("_cluster")).agg(F.min_by(rest, F.struct(-F.col(score), F.col(id))).alias("_r")).select(by, "_r.*")

@@ -16,9 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stage_path(spark: SparkSession) -> str:
-    """A new path in the folder that spark.checkpoint.dir names (in a folder of our own where it is unset)."""
+    """A new path in the folder that spark.checkpoint.dir names. Where it is unset a local session has a folder of its own; on a cluster, whose machines
+    would each write to their own disk, that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.conf.get("spark.master", "local").partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="sparquill-stage-"))
         folder = _own[0]
