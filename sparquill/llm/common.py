@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -71,17 +71,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def placed(docs: DataFrame, name: str = "row") -> DataFrame:
-    """Adds a number of each row of a table of files, made of its file and its place there. Unlike a number of the scan, it doesn't follow how a job
-    splits the files, so several jobs, on whatever executors, give the same. The files' names go through the driver, as they do to plan a scan. Rows
-    that don't come from files are written first."""
+def located(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """docs, and for each row its file and its place there. Rows that don't come from files are written first."""
     try:
         docs.metadataColumn("_metadata")
     except AnalysisException:
         docs = keep(docs, "rows")
-    file, at, base = (free([*docs.columns, name], c) for c in ("__file", "__at", "__base"))
     source = docs.metadataColumn("_metadata")
-    rows = docs.select("*", source["file_path"].alias(file), source["row_index"].alias(at))
+    return docs, source["file_path"], source["row_index"]
+
+
+def placed(docs: DataFrame, name: str = "row") -> DataFrame:
+    """Adds a number of each row of a table of files, made of its file and its place there. Unlike a number of the scan, it doesn't follow how a job
+    splits the files, so several jobs, on whatever executors, give the same. The files' names go through the driver, as they do to plan a scan. A join
+    must be written before: its rows share their files' places."""
+    docs, path, index = located(docs)
+    file, at, base = (free([*docs.columns, name], c) for c in ("__file", "__at", "__base"))
+    rows = docs.select("*", path.alias(file), index.alias(at))
     names = sorted(r[0] for r in rows.select(file).distinct().collect())
     files = docs.sparkSession.createDataFrame([(f, k << 40) for k, f in enumerate(names)], f"`{file}` string, `{base}` long")
     return rows.join(F.broadcast(files), file).withColumn(name, F.col(base) + F.col(at)).select(*(f"`{c}`" for c in docs.columns), name)

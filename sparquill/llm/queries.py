@@ -114,27 +114,36 @@ FROM documents LEFT JOIN o USING (doc_id)
 """
 
 OP4 = r"""
-WITH t(licence, body) AS (VALUES $TEMPLATES),
-tt AS (SELECT licence, term, count(*) AS tf FROM (SELECT licence, unnest(regexp_extract_all(lower(body), '$WORDS')) AS term FROM t) GROUP BY ALL),
+WITH t(licence, passage, body) AS (VALUES $PASSAGES), stop AS (SELECT unnest([$COMMON]) AS term), apart(licence, must, never) AS (VALUES $APART),
+tt AS (SELECT licence, passage, term, count(*) AS tf FROM (SELECT licence, passage, unnest(regexp_extract_all(lower(body), '$WORDS')) AS term FROM t) WHERE term NOT IN (FROM stop) GROUP BY ALL),
 idf AS (SELECT term, ln((1.0 + $N) / (1.0 + count(*))) + 1.0 AS idf FROM tt GROUP BY term),
-w AS (SELECT licence, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY licence)) AS w FROM tt JOIN idf USING (term)),
+w AS (SELECT licence, passage, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY passage)) AS w FROM tt JOIN idf USING (term)),
 p AS (SELECT doc_id, text, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, concat_ws('/', source, lang) AS dir FROM documents),
-said AS (SELECT doc_id, row_number() OVER () AS place, body FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10))) AS body FROM p WHERE text IS NOT NULL) WHERE regexp_matches(body, '$SPEAKS')),
-tf AS (SELECT doc_id, place, term, count(*) AS tf FROM (SELECT doc_id, place, unnest(regexp_extract_all(lower(body), '$WORDS')) AS term FROM said) GROUP BY ALL),
+l AS (SELECT doc_id, string_split(lower(text), chr(10)) AS lines FROM p WHERE list_has_any(regexp_extract_all(lower(text), '$WORDS'), [$NEEDED])),
+i AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM l),
+said AS (SELECT row_number() OVER () AS place, * FROM (SELECT doc_id, i, 1 AS n, unnest(string_split(regexp_replace(lines[i], '([.!?])[ \t]+', '\1' || chr(1), 'g'), chr(1))) AS body FROM i
+  UNION ALL SELECT doc_id, i, n, array_to_string(lines[i:i + n - 1], ' ') FROM i, (SELECT unnest([$WINDOWS]) AS n) WHERE i + n - 1 <= len(lines)) WHERE list_has_any(regexp_extract_all(body, '$WORDS'), [$NEEDED])),
+tf AS (SELECT place, term, count(*) AS tf FROM (SELECT place, unnest(regexp_extract_all(body, '$WORDS')) AS term FROM said) WHERE term NOT IN (FROM stop) GROUP BY ALL),
 v AS (SELECT tf.*, tf * coalesce(idf, ln(1.0 + $N) + 1.0) AS v FROM tf LEFT JOIN idf USING (term)),
 n AS (SELECT place, sqrt(sum(v * v)) AS norm FROM v GROUP BY place),
-near AS (SELECT v.doc_id, place, licence, round(sum(v * w) / any_value(norm), 4) AS similarity FROM v JOIN w USING (term) JOIN n USING (place) GROUP BY v.doc_id, place, licence HAVING round(sum(v * w) / any_value(norm), 4) >= $LEAST),
-best AS (SELECT doc_id, similarity, licence FROM near QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, licence) = 1),
-own AS (SELECT p.*, similarity, licence AS own_licence FROM p LEFT JOIN best USING (doc_id)),
-files AS (SELECT dir, own_licence AS declared FROM own WHERE own_licence IS NOT NULL AND len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) <= $FILE QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, own_licence) = 1),
+near AS (SELECT place, licence, round(sum(v * w) / any_value(norm), 4) AS similarity FROM v JOIN w USING (term) JOIN n USING (place) GROUP BY place, licence, passage HAVING round(sum(v * w) / any_value(norm), 4) >= $LEAST),
+fit AS (SELECT s.doc_id, s.i, s.n, similarity, licence FROM near JOIN said s USING (place) LEFT JOIN apart USING (licence) WHERE (coalesce(must, '') = '' OR regexp_matches(s.body, must)) AND (coalesce(never, '') = '' OR NOT regexp_matches(s.body, never))),
+best AS (SELECT doc_id, max(similarity) AS similarity, arg_min(licence, (-similarity, licence)) AS top, list_distinct(list(licence)) AS every, list_distinct(flatten(list(range(i, i + n)))) AS hit FROM fit GROUP BY doc_id),
+own AS (SELECT p.*, similarity, CASE WHEN top = 'BSD-2-Clause' AND list_contains(every, 'BSD-3-Clause') THEN 'BSD-3-Clause' ELSE top END AS own_licence, hit FROM p LEFT JOIN best USING (doc_id)),
+sized AS (SELECT *, list_transform(string_split(text, chr(10)), lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS sizes FROM own WHERE own_licence IS NOT NULL),
+files AS (SELECT dir, own_licence AS declared FROM sized WHERE 2 * list_sum(list_transform(hit, lambda k: sizes[k])) >= list_sum(sizes) OR regexp_matches(regexp_replace(path, '^.*/', ''), '$NAMED') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, own_licence) = 1),
 found AS (SELECT own.doc_id, arg_max(files.dir, length(files.dir)) AS declared_in, arg_max(declared, length(files.dir)) AS declared FROM own JOIN files ON own.dir = files.dir OR starts_with(own.dir, files.dir || '/') OR files.dir = '' GROUP BY own.doc_id)
 SELECT doc_id, path, own_licence, similarity, coalesce(own_licence, declared) AS licence, CASE WHEN own_licence IS NULL THEN declared_in END AS declared_in FROM own LEFT JOIN found USING (doc_id)
 """
 
 
 def _op4() -> str:
-    values = {"TEMPLATES": ", ".join(f"('{k}', '{v}')" for k, v in licences.TEMPLATES.items()), "WORDS": licences.WORDS, "SPEAKS": licences.SPEAKS, "LEAST": licences.LEAST, "FILE": licences.FILE_WORDS, "N": len(licences.TEMPLATES)}
-    return Template(OP4).substitute(values)
+    said = lambda v: "'" + v.replace("'", "''") + "'"
+    passages = [(licence, body) for licence, bodies in licences.TEMPLATES.items() for body in bodies]
+    rows = ", ".join(f"({said(licence)}, {k}, {said(body)})" for k, (licence, body) in enumerate(passages))
+    apart = ", ".join(f"({said(licence)}, {said(must)}, {said(never)})" for licence, (must, never) in licences.APART.items())
+    values = {"PASSAGES": rows, "APART": apart, "COMMON": ", ".join(map(said, sorted(licences.COMMON))), "WINDOWS": ", ".join(map(str, licences.WINDOWS)), "NEEDED": ", ".join(map(said, licences.NEEDED))}
+    return Template(OP4).substitute(values, WORDS=licences.WORDS, NAMED=licences.NAMED, LEAST=licences.LEAST, N=len(passages))
 
 
 def oracle_sql() -> dict[str, str]:

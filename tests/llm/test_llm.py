@@ -173,14 +173,62 @@ def test_token_file_of_nothing(spark, table, tmp_path):
 # 4
 
 
-def test_licences(table):
-    notice = licences.TEMPLATES
-    data = [("a/LICENSE", notice["MIT"]), ("a/b/x", "plain"), ("a/b/c/x", "plain words " * 50), ("a/b/NOTICE", notice["GPL-3.0"]), ("a/b/GPL", notice["GPL-3.0"]), ("ab/x", "plain"), ("top", None), (None, ""), ("a/own", "Text.\n" + notice["Apache-2.0"] + "\n" + "word " * 100), ("a/own/x", "plain")]
+APACHE = """# Copyright 2020 The Authors
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+import os"""
+MIT = "\n\n".join(["MIT License", "Copyright (c) 2020 Someone", *licences.TEMPLATES["MIT"][3:6]])
+GPL3 = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version."""
+BSD = "\n".join([licences.REDISTRIBUTION, licences.SOURCE_FORM, licences.BINARY_FORM, *([licences.TEMPLATES["BSD-3-Clause"][0]]), licences.AS_IS])
+
+
+def scanned(docs):
+    return licences.scan(docs, F.col("doc_id"), F.col("path"), F.col("text"))
+
+
+def test_notices(table):
+    data = {
+        "Apache-2.0": [APACHE, "SPDX-License-Identifier: Apache-2.0"], "MIT": [MIT, "// SPDX-License-Identifier: MIT", "Text.\nReleased under the MIT License.\nMore."], "GPL-3.0": [GPL3, GPL3.replace("\n * ", " ")],
+        "GPL-2.0": [GPL3.replace("version 3", "version 2")], "AGPL-3.0": [GPL3.replace("GNU General", "GNU Affero General")], "LGPL-3.0": [GPL3.replace("GNU General", "GNU Lesser General").replace("program", "library")],
+        "LGPL-2.1": [GPL3.replace("GNU General", "GNU Lesser General").replace("program", "library").replace("version 3", "version 2.1")], "BSD-3-Clause": [BSD], "BSD-2-Clause": [BSD.replace(licences.TEMPLATES["BSD-3-Clause"][0], "")],
+        "MPL-2.0": ["/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"],
+        "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."], "CC-BY-4.0": ["Licensed under CC BY 4.0."], "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."], "ISC": [licences.TEMPLATES["ISC"][0]],
+        None: ["Mit.", "Er kam mit dem Zug.", "the license of a driver is needed to drive", "We released the version 2.0 of the program.", "", None],
+    }
+    rows = [(k, None, t, licence) for k, (licence, t) in enumerate((x, t) for x, own in data.items() for t in own)]
+    docs = table([r[:3] for r in rows], "doc_id long, path string, text string")
+    found = {r.id: r.own_licence for r in scanned(docs).collect()}
+    assert found == {k: licence for k, _, _, licence in rows}
+
+
+def test_licence_of_the_nearest_directory(table):
+    gpl = licences.TEMPLATES["GPL-3.0"][2]
+    data = [("a/LICENSE", MIT), ("a/b/x", "plain"), ("a/b/c/x", "plain words " * 50), ("a/b/NOTICE", gpl + "\n" + "word " * 99), ("a/b/GPL", gpl), ("ab/x", "plain"), ("top", None), (None, ""), ("a/own", "Text.\n" + APACHE + "\n" + "word " * 100), ("a/own/x", "plain")]
     docs = table([(k, p, t, 1) for k, (p, t) in enumerate(data)], "doc_id long, path string, text string, row long")
-    found = {r.id: r for r in licences.scan(docs, F.col("doc_id"), F.col("path"), F.col("text")).collect()}
+    found = {r.id: r for r in scanned(docs).collect()}
     assert [found[k].licence for k in range(10)] == ["MIT", "GPL-3.0", "GPL-3.0", "GPL-3.0", "GPL-3.0", None, None, None, "Apache-2.0", "MIT"]
     assert found[2].declared_in == "a/b" and found[9].declared_in == "a" and found[0].similarity == 1
-    assert licences.scan(docs.limit(0), F.col("doc_id"), F.col("path"), F.col("text")).count() == 0
+    assert scanned(docs.limit(0)).count() == 0
+
+
+def test_no_window_above_the_least_cosine_fails_the_gate():
+    r, needed = random.Random(1), set(licences.NEEDED)
+    passages = {}
+    for _, k, t, w in licences.WEIGHTS:
+        passages.setdefault(k, {})[t] = w
+    for k, own in passages.items():
+        for _ in range(200):
+            terms = [t for t in own if r.random() < 0.5] + ["zebra"] * r.randrange(3)
+            if terms and not needed & set(terms):
+                v = {t: n * licences.IDF.get(t, licences.UNKNOWN) for t, n in Counter(terms).items()}
+                assert sum(v[t] * own.get(t, 0) for t in v) / np.sqrt(sum(x * x for x in v.values())) < licences.LEAST
 
 
 # 5
