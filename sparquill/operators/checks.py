@@ -71,7 +71,7 @@ def confidence(parameters: DataFrame, by: str, own: str, central: str, severe: s
     sums = parameters.groupBy(by).agg(F.avg(own).alias("m"), F.count_if(F.col(central).isNull()).alias("missing"), F.sum(severe).alias("severe"), F.first(agreement).alias("agreement"))
     check = F.when(F.col("agreement") == "consistent", 0.05).when(F.col("agreement") == "discrepant", -0.15).otherwise(0.0)
     base = F.coalesce("m", F.lit(0.2)) - F.when(F.col("missing") > 0, 0.2).otherwise(0.0) - F.least(0.05 * F.col("severe"), F.lit(0.2)) + check
-    return sums.select(by, F.round(F.least(F.greatest(base, F.lit(0.05)), F.lit(0.95)), 2).alias("confidence"))
+    return sums.select(by, F.round(F.least(F.greatest(base, F.lit(0.05)), F.lit(0.95)) + 1e-9, 2).alias("confidence"))
 
 
 def model_scores(models: DataFrame, by: list[str], id: str) -> DataFrame:

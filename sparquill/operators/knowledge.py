@@ -42,13 +42,16 @@ def community_hits(top: DataFrame, members: DataFrame, most: int = 3) -> DataFra
 def mentions(questions: DataFrame, entities: DataFrame, question: str, asked: str, name: str) -> DataFrame:
     """(question, key): entities whose name of two characters or more is in the question, whatever the case.
 
-    Every start of the question is joined with the names by their first two characters, so that names meet only where they may stand.
+    Every start of the question is joined with the names by their first two characters, so that names meet only where they may stand. A start takes along
+    as much of the question as the longest name has.
     """
     low = F.lower(F.coalesce(asked, F.lit("")))
-    starts = questions.select(F.col(question).alias("question"), low.alias("q"), F.explode(F.when(F.length(low) > 1, F.sequence(F.lit(1), F.length(low) - 1)).otherwise(F.array().cast("array<int>"))).alias("at"))
-    starts = starts.select("question", "q", "at", F.substring("q", F.col("at"), F.lit(2)).alias("gram"))
     names = entities.select("key", F.lower(name).alias("n")).where(F.length("n") > 1).withColumn("gram", F.substring("n", 1, 2))
-    return starts.join(names, "gram").where(F.substring("q", F.col("at"), F.length("n")) == F.col("n")).select("question", "key").distinct()
+    longest = names.agg(F.max(F.length("n"))).first()[0] or 2
+    every = F.when(F.length(low) > 1, F.sequence(F.lit(1), F.length(low) - 1)).otherwise(F.array().cast("array<int>"))
+    starts = questions.select(F.col(question).alias("question"), F.explode(F.array_distinct(F.transform(every, lambda k: F.substring(low, k, F.lit(longest))))).alias("rest"))
+    found = starts.withColumn("gram", F.substring("rest", 1, 2)).join(names, "gram").where(F.startswith("rest", F.col("n")))
+    return found.select("question", "key").distinct()
 
 
 def routed(questions: DataFrame, found: DataFrame, question: str) -> DataFrame:
