@@ -95,7 +95,7 @@ class Encoder:
         words, occurs = coded.dictionary, coded.indices.to_numpy()
         plain = pc.match_substring_regex(words, PLAIN)
         simple, other = words.filter(plain), words.filter(pc.invert(plain))
-        letters, marks = self.parts.places(pc.utf8_lower(pc.utf8_rtrim(simple, MARKS))), self.parts.places(pc.utf8_ltrim(simple, LETTERS))
+        letters, marks = np.split(self.parts.places(pa.concat_arrays([pc.utf8_lower(pc.utf8_rtrim(simple, MARKS)), pc.utf8_ltrim(simple, LETTERS)])), 2)
         wholes, plain = self.wholes.places(other), plain.to_numpy(zero_copy_only=False)
         flat = np.concatenate((self.parts.ids, self.wholes.ids))
         first, count = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
@@ -129,29 +129,32 @@ def repair(ids: np.ndarray, lengths: np.ndarray, base: int, least: int = LEAST)
     `least` times within documents, without overlap.
 
     A round counts the pairs and takes those that occur so often, most frequent first where occurrences overlap; a pair that keeps fewer than `least`
-    occurrences waits for the next round. Only pairs whose hash bin is that full are counted one by one.
+    occurrences waits for the next round. A pair of given symbols never becomes more frequent, so only pairs that were frequent, and those with a new
+    symbol, are looked at again; and only those whose hash bin is that full are counted one by one.
     """
     seq, last, packed = ids.astype(np.int64), np.zeros(len(ids), bool), len(ids) < 1 << 24 and base + len(ids) // least < 1 << 20
     last[np.cumsum(lengths)[lengths > 0] - 1] = True
-    left, right, made = [], [], 0
-    while len(seq) > 1:
-        free = ~last[:-1]
-        same = np.flatnonzero((seq[:-1] == seq[1:]) & free)
+    left, right, made, live = [], [], 0, ~last
+    while len(at := np.flatnonzero(live)):
+        a, b = seq[at], seq[at + 1]
+        same = np.flatnonzero(a == b)
         if len(same):  # in a run of one symbol every other pair counts
-            run = np.flatnonzero(np.diff(same, prepend=-2) != 1)
-            free[same[(same - np.repeat(same[run], np.diff(run, append=len(same)))) % 2 == 1]] = False
-        bits = min(22, max(12, len(seq).bit_length() + 1))
-        place = (((seq[:-1] << 31 | seq[1:]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
-        place[~free] = 1 << bits
-        full = np.bincount(place, minlength=(1 << bits) + 1) >= least
-        full[1 << bits] = False
-        at = np.flatnonzero(full[place])
-        a, b, source = _sorted(seq[at], seq[at + 1], packed)
+            run = np.flatnonzero(np.diff(at[same], prepend=-2) != 1)
+            counted = np.ones(len(at), bool)
+            counted[same[(at[same] - np.repeat(at[same[run]], np.diff(run, append=len(same)))) % 2 == 1]] = False
+            at, a, b = at[counted], a[counted], b[counted]
+        bits = min(22, max(12, len(at).bit_length() + 1))
+        place = (((a << 31 | b).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+        full = (np.bincount(place, minlength=1 << bits) >= least)[place]
+        live[at[~full]] = False
+        at = at[full]
+        a, b, source = _sorted(a[full], b[full], packed)
         cut = np.flatnonzero(np.concatenate(([len(a) > 0], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
         count = np.diff(cut, append=len(a))
-        if not len(cut) or count.max() < least:
-            break
+        live[at[source[np.repeat(count < least, count)]]] = False
         taken = np.flatnonzero(count >= least)
+        if not len(taken):
+            break
         taken = taken[np.argsort(-count[taken], kind="stable")]
         rank = np.full(len(cut), len(taken))
         rank[taken] = np.arange(len(taken))
@@ -168,9 +171,12 @@ def repair(ids: np.ndarray, lengths: np.ndarray, base: int, least: int = LEAST)
         seq[at] = base + made + (np.cumsum(use) - 1)[own]
         made += int(use.sum())
         last[at] = last[at + 1]
+        live[at] = ~last[at]
+        before = at[at > 0] - 1
+        live[before] = ~last[before]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        seq, last = seq[stay], last[stay]
+        seq, last, live = seq[stay], last[stay], live[stay]
     spans = np.ones(base + made, np.int64)
     for x, y, first in zip(left, right, base + np.cumsum([0, *map(len, left)]), strict=False):
         spans[first : first + len(x)] = spans[x] + spans[y]
@@ -181,7 +187,7 @@ def repair(ids: np.ndarray, lengths: np.ndarray, base: int, least: int = LEAST)
 
 
 def expand(symbols: np.ndarray, base: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The ids that symbols stand for."""
+    """The ids that symbols stand for, one level of rules after another."""
     while (inner := symbols >= base).any():
         place = np.cumsum(1 + inner) - 1 - inner
         out = np.empty(len(symbols) + int(inner.sum()), symbols.dtype)
@@ -192,6 +198,25 @@ def expand(symbols: np.ndarray, base: int, left: np.ndarray, right: np.ndarray)
     return symbols
 
 
+def expand_all(symbols: np.ndarray, base: int, left: np.ndarray, right: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """As `expand`, for a whole block: each rule is expanded once, and symbols are copied from there."""
+    if spans.sum() > 4 * len(symbols):
+        return expand(symbols, base, left, right)
+    flat = expand(np.arange(base, base + len(left)), base, left, right)
+    inner = symbols >= base
+    rule = symbols[inner] - base
+    count = np.ones(len(symbols), np.int64)
+    count[inner] = spans[rule]
+    first = np.cumsum(spans) - spans
+    ends = np.cumsum(count)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+    out[ends[~inner] - 1] = symbols[~inner]
+    sizes = count[inner]
+    within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(ends[inner] - sizes, sizes) + within] = flat[np.repeat(first[rule], sizes) + within]
+    return out
+
+
 def _narrow(x: np.ndarray) -> bytes:
     """Little-endian unsigned integers: 16 bits with a leading 2, or 32 with a leading 4."""
     return b"\x02" + x.astype("<u2").tobytes() if not len(x) or x.max() < 65536 else b"\x04" + x.astype("<u4").tobytes()
@@ -257,7 +282,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     blocks = spark.read.schema(FILE).parquet(path)
     order = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     before = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
-    rows = blocks.join(F.broadcast(before), "shard").withColumn("start", F.col("start") + F.col("before")).drop("before", "shard", "block", "n_tokens", "spans", "offsets")
+    rows = blocks.join(F.broadcast(before), "shard").withColumn("start", F.col("start") + F.col("before")).drop("before", "shard", "block", "n_tokens", "offsets")
     return rows.mapInArrow(_unpack(with_ids), "id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
@@ -266,7 +291,7 @@ def _unpack(with_ids: bool):
         for batch in batches:
             for row in batch.to_pylist():
                 lengths = _wide(row["lengths"])
-                ids = expand(_wide(row["symbols"]), row["base"], _wide(row["left"]), _wide(row["right"])).astype("<u4")
+                ids = expand_all(_wide(row["symbols"]), row["base"], *(_wide(row[c]) for c in ("left", "right", "spans"))).astype("<u4")
                 ends = np.cumsum(lengths)
                 buffer = memoryview(ids).cast("B")
                 sums = [zlib.crc32(buffer[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]

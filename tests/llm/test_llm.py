@@ -154,6 +154,7 @@ def test_repair_leaves_no_frequent_pair(packed):
     ids, lengths, base = np.concatenate(docs), np.array([len(d) for d in docs]), 50 if packed else (1 << 20) - 5
     found = tokens.repair(ids, lengths, base, 3)
     assert (tokens.expand(found["symbols"], base, found["left"], found["right"]) == ids).all() and len(found["symbols"]) < len(ids) / 4
+    assert (tokens.expand_all(found["symbols"], base, found["left"], found["right"], found["spans"]) == ids).all()
     spans = [len(tokens.expand(np.array([base + k]), base, found["left"], found["right"])) for k in range(len(found["left"]))]
     assert found["spans"].tolist() == spans
     count = Counter()
