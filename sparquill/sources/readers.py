@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -128,3 +129,42 @@ def tables_of_pages(pages: DataFrame, id: str, html: str) -> DataFrame:
     head = F.get("rows", 0)
     header = (F.size("rows") > 1) & F.forall(head, lambda c: c != "") & (F.size(F.array_distinct(head)) == F.size(head))
     return found.withColumn("header", header)
+
+
+def collection_files(spark: SparkSession, root: str, suffixes: list[str], recursive: bool = True) -> DataFrame:
+    """(path, name, collection, tags): files of the wanted kinds below a folder; the collection's id is made of the folder's path, tags are sub-folders."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root).select("path")
+    inner = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + re.escape(re.sub(r"^[a-z]+:/*", "/", root.rstrip("/"))) + "/", "")
+    parts = F.split(inner, "/")
+    kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    return found.where(kind.isin(*suffixes)).select("path", F.element_at(parts, -1).alias("name"), F.lit(hashlib.md5(root.rstrip("/").encode()).hexdigest()[:10]).alias("collection"), F.slice(parts, 1, F.size(parts) - 1).alias("tags"))
+
+
+def indexes(spark: SparkSession, root: str) -> DataFrame:
+    """(folder, kind, units): folders with an index file: books by bookindex.json (its nodes), paged stores by docstore.json (its documents)."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "{bookindex,docstore}.json").text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    book = F.col("path").endswith("/bookindex.json")
+    units = F.when(book, F.json_array_length(F.get_json_object("value", "$.nodes"))).otherwise(F.json_array_length(F.get_json_object("value", "$.docs")))
+    return files.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.when(book, "book").otherwise("paged").alias("kind"), F.coalesce(units, F.lit(0)).alias("units"))
+
+
+def typed_blocks(docs: DataFrame, id: str, name: str, text: str) -> DataFrame:
+    """(id, block, type, level, content) by a document's kind: Markdown by its own marks, all else by paragraphs."""
+    marked = F.lower(F.col(name)).rlike(r"\.(md|markdown)$")
+    first = markdown_blocks(docs.where(marked), id, text).select("id", "block", "type", "level", "content")
+    rest = paragraph_blocks(docs.where(~F.coalesce(marked, F.lit(False))), id, text)
+    return first.unionByName(rest.select("id", "block", "type", F.when(F.col("type") == "Title", 1).otherwise(0).alias("level"), "content"))
+
+
+def table_views(spark: SparkSession, paths: dict[str, str]) -> list[str]:
+    """CSV files as views to query by name."""
+    for name, path in paths.items():
+        spark.read.option("header", "true").option("inferSchema", "true").csv(path).createOrReplaceTempView(name)
+    return list(paths)
+
+
+def page_tables(pages: DataFrame, doc: str, page: str, html: str) -> DataFrame:
+    """(doc, tables): the tables of a document's pages with their pages, in order."""
+    rows = pages.select(doc, page, F.explode(html_tables(html)).alias("rows"))
+    items = F.array_sort(F.collect_list(F.struct(F.col(page).alias("page"), "rows")))
+    return rows.groupBy(doc).agg(items.alias("tables"))

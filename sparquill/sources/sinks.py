@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_guard
+from .tables import numbered
 
 
 def upsert(old: DataFrame, new: DataFrame, id: str, order: str) -> DataFrame:
@@ -61,3 +62,84 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 def within_quota(artifacts: DataFrame, size: str, path: str) -> Column:
     return artifacts.where(F.col(path).isNotNull()).agg(F.coalesce(F.sum(size), F.lit(0)).alias("stored"))
+
+
+def replace_projects(new: DataFrame, path: str, project: str) -> None:
+    """Save projects: each one's rows go and its new ones come; other projects' stay. The table is partitioned by project and overwritten partition by
+    partition, so a save that is run again changes nothing, and one that was cut short leaves no half."""
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(project).parquet(path)
+
+
+def save_index(tables: dict[str, DataFrame], path: str, revision: int) -> None:
+    """An index as Parquet tables side by side, each with the revision of the corpus that it was made from."""
+    for name, rows in tables.items():
+        rows.withColumn("corpus_rev", F.lit(revision)).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def stale(index: DataFrame, revision: int) -> DataFrame:
+    """Rows of an index that was made from another revision."""
+    return index.where(F.col("corpus_rev") != revision)
+
+
+def tree_signature(tree: DataFrame, doc: str, node: str, kind: str, text: str) -> DataFrame:
+    """(doc, signature) of an outline: a checkpoint that was made for another signature is discarded."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(node).alias("n"), F.concat_ws(":", node, kind, F.length(text)).alias("s"))))
+    return tree.groupBy(doc).agg(F.substring(F.md5(F.array_join(F.transform(parts, lambda p: p["s"]), "|")), 1, 12).alias("signature"))
+
+
+def open_nodes(nodes: DataFrame, done: DataFrame, signatures: DataFrame, doc: str, node: str) -> DataFrame:
+    """Nodes that are still to be read: those without a good result (doc, node, signature, status) under the current signature."""
+    good = done.where("status = 'ok'").join(signatures, [doc, "signature"], "left_semi")
+    return nodes.join(good, [doc, node], "left_anti")
+
+
+def added(rows: DataFrame, known: DataFrame, id: str, title: str, text: str, order: str) -> DataFrame:
+    """New corpus rows: without empty texts; a title is the first line (40 characters) by default and 120 at most, a text 400,000; a row without an id
+    gets d and the next free number."""
+    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""))
+    first = F.substring(F.trim(F.substring_index(t, "\n", 1)), 1, 40)
+    kept = rows.where(t != "").select(id, order, F.substring(F.coalesce(F.nullif(F.trim(title), F.lit("")), first), 1, 120).alias(title), F.substring(t, 1, 400_000).alias(text))
+    last = known.select(F.coalesce(F.max(F.regexp_extract(id, r"^d(\d+)$", 1).try_cast("long")), F.lit(0)).alias("_last"))
+    free = numbered(kept.where(F.col(id).isNull()), [order], "_k").join(F.broadcast(last))  # one row
+    named = free.withColumn(id, F.concat(F.lit("d"), (F.col("_last") + F.col("_k")).cast("string"))).select(kept.columns)
+    return kept.where(F.col(id).isNotNull()).unionByName(named).drop(order)
+
+
+def set_enabled(feeds: DataFrame, id: str, chosen: list[str], value: bool) -> tuple[DataFrame, Column]:
+    """Feeds with the chosen ones switched, and a column that says which changed."""
+    hit = F.col(id).isin(*chosen)
+    return feeds.withColumn("enabled", F.when(hit, F.lit(value)).otherwise(F.col("enabled"))), hit & (F.col("enabled") == F.lit(value))
+
+
+def moved(members: DataFrame, collection: str, arriving: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The plan of a move of documents (doc_id, path) to new places of a collection: members (doc_id, collection, tags) that leave, and documents that
+    then are in no collection, with nobody's tags."""
+    there = members.where(F.col("collection") == collection)
+    leaving = there.join(arriving.select("doc_id"), "doc_id", "left_anti")
+    rest = members.join(leaving.select("doc_id", "collection"), ["doc_id", "collection"], "left_anti")
+    return leaving, leaving.select("doc_id").distinct().join(rest, "doc_id", "left_anti")
+
+
+def tag_union(members: DataFrame) -> DataFrame:
+    """(doc_id, tags): all tags of a document's memberships."""
+    return members.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"))
+
+
+def job_report(jobs: DataFrame, parts: dict[str, tuple[DataFrame, str, list[str]]], job: str) -> DataFrame:
+    """(job, json): a job with its results, claims and sources nested, in order, as JSON. parts: name to (rows, order, columns)."""
+    for name, (rows, order, columns) in parts.items():
+        items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*columns).alias("_c"))))
+        jobs = jobs.join(rows.groupBy(job).agg(F.transform(items, lambda r: r["_c"]).alias(name)), job, "left")
+    return jobs.select(job, F.to_json(F.struct(*jobs.columns)).alias("json"))
+
+
+def markdown_report(rows: DataFrame, by: str, order: str, title: str, body: str) -> DataFrame:
+    """(by, markdown): sections with their titles, in order."""
+    section = F.concat(F.lit("## "), F.col(title), F.lit("\n\n"), F.col(body))
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), section.alias("s"))))
+    return rows.groupBy(by).agg(F.array_join(F.transform(items, lambda r: r["s"]), "\n\n").alias("markdown"))
+
+
+def without_project(tables: dict[str, DataFrame], gone: DataFrame, project: str) -> dict[str, DataFrame]:
+    """All tables without the rows of projects that are deleted."""
+    return {name: rows.join(gone.select(project).distinct(), project, "left_anti") for name, rows in tables.items()}

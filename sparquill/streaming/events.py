@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -134,3 +134,21 @@ def append_new(batch: DataFrame, path: str, id: str) -> None:
         if "PATH_NOT_FOUND" not in str(e):
             raise
     new.write.mode("append").parquet(path)
+
+
+def replayed(spark: SparkSession, pattern: str, schema: str, seq: str, after: int, path: str, log: str, kept: int = 500) -> None:
+    """Replay an event log from a cursor: events of files read as a stream, those after the cursor appended once each; the checkpoint at `log` is the cursor
+    of the next call. A batch takes `kept` files at most."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", kept).parquet(pattern).where(F.col(seq) > after)
+    write = rows.writeStream.option("checkpointLocation", log).trigger(availableNow=True)
+    write.foreachBatch(lambda batch, _: append_new(batch, path, seq)).start().awaitTermination()
+
+
+def ingested(docs: DataFrame, path: str, log: str) -> None:
+    """Ingest a stream of documents: each micro-batch replaces its own partition of the table, so that one that was cut short and runs again leaves no half
+    and no double."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    docs.writeStream.option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
