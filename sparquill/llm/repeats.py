@@ -182,4 +182,7 @@ def repeated(docs: DataFrame, kind: Kind, rule: Rule) -> DataFrame:
     rest = split.join(totals, "window").withColumn("owner", F.col("own")).where(rule.repeats("all")).select(*KEY, "a", (F.col("a") + 1).alias("b"))
     parts = few.union(rest)
     fine = judged.where("NOT full").select("row", "first", *KEY).join(parts, KEY).select("row", (F.col("first") + F.col("a")).alias("first"), (F.col("first") + F.col("b") + (kind.length - 1)).alias("last"))
-    return plain.union(whole).union(fine).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    ranges = keep(plain.union(whole).union(fine).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "ranges")
+    for used in (found, judged, pieces):
+        release(used)
+    return ranges
