@@ -76,7 +76,7 @@ def confidence(parameters: DataFrame, by: str, own: str, central: str, severe: s
 
 def model_scores(models: DataFrame, by: list[str], id: str) -> DataFrame:
     """Adds score (the criteria's weighted sum, to three places) and use: primary for the best of a project, check for the next, else other."""
-    scored = models.withColumn("score", F.round(sum((F.lit(w) * F.col(c) for c, w in MODEL.items()), F.lit(0.0)), 3))
+    scored = models.withColumn("score", F.round(sum((F.lit(w) * F.col(c) for c, w in MODEL.items()), F.lit(0.0)) + 1e-9, 3))
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.asc(id)))
     return scored.withColumn("use", F.when(place == 1, "primary").when(place == 2, "check").otherwise("other"))
 

@@ -111,7 +111,7 @@ def confidence_rollup(spark: SparkSession, d: str) -> DataFrame:
     return checks.confidence(rows, "p_brand", "c", "central", "severe", "agreement")
 
 
-@query("""WITH s AS (SELECT p_brand, p_partkey, round(0.2e0 * (p_size / 50.0e0) + 0.2e0 * (p_partkey % 2) + 0.15e0 * 0.5e0 + 0.2e0 * (p_partkey % 3 / 2.0e0) + 0.1e0 * 0.7e0 + 0.05e0 * (p_partkey % 5 / 4.0e0) + 0.1e0, 3) AS score FROM part)
+@query("""WITH s AS (SELECT p_brand, p_partkey, round(0.2e0 * (p_size / 50.0e0) + 0.2e0 * (p_partkey % 2) + 0.15e0 * 0.5e0 + 0.2e0 * (p_partkey % 3 / 2.0e0) + 0.1e0 * 0.7e0 + 0.05e0 * (p_partkey % 5 / 4.0e0) + 0.1e0 + 1e-9, 3) AS score FROM part)
 SELECT *, CASE row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) WHEN 1 THEN 'primary' WHEN 2 THEN 'check' ELSE 'other' END AS use FROM s""")
 def model_scores(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
