@@ -11,6 +11,7 @@ gives an empty file; other columns are not written.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 from .common import portions, raw
 from .common import write as save
@@ -61,6 +63,12 @@ class Parts:
         return at[coded.indices.to_numpy()]
 
 
+def _gathered(flat: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of flat that begin at first, joined, and where each ends."""
+    upto = np.cumsum(count)
+    return flat[np.repeat(first - upto + count, count) + np.arange(int(upto[-1]) if len(upto) else 0)], upto
+
+
 class Encoder:
     """Whole texts to ids. White space always ends a token of this tokenizer, so texts are split at it, and each different word is encoded once.
 
@@ -70,13 +78,19 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        # The file's model again without its cache of words: each part is asked for once while it is remembered here.
+        with open(path, encoding="utf-8") as file:
+            own = json.load(file)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in own.pop("merges")]
+        options = {k: v for k, v in own.items() if v is not None and k not in ("type", "vocab")}
+        self.model = BPE(vocab=own["vocab"], merges=merges, cache_capacity=0, **options)
         # The model sees bytes as printable characters: those of Latin-1 stand for themselves, the others for 256 and up.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.table = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(shown))}
         self.parts, self.wholes = Parts(self._part), Parts(self._whole)
 
     def _part(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        split, table = self.tokenizer.model.tokenize, self.table
+        split, table = self.model.tokenize, self.table
         found = [split(p if p.isascii() else p.encode().decode("latin-1").translate(table)) for p in parts.to_pylist()]
         return np.fromiter((t.id for tokens in found for t in tokens), np.int32), np.fromiter(map(len, found), np.int64, len(found))
 
@@ -102,11 +116,10 @@ class Encoder:
         for column, places in enumerate((letters, marks)):
             first[plain, column], count[plain, column] = self.parts.first[places], self.parts.count[places]
         first[~plain, 0], count[~plain, 0] = len(self.parts.ids) + self.wholes.first[wholes], self.wholes.count[wholes]
-        first, count = first[occurs].ravel(), count[occurs].ravel()
-        upto = np.cumsum(count)
-        total = int(upto[-1]) if len(upto) else 0
-        ids = flat[np.repeat(first - upto + count, count) + np.arange(total)]
-        done = np.concatenate(([0], upto))[2 * ends]
+        ids, _ = _gathered(flat, first.ravel(), count.ravel())
+        count = count.sum(axis=1)
+        ids, upto = _gathered(ids, (np.cumsum(count) - count)[occurs], count[occurs])
+        done = np.concatenate(([0], upto))[ends]
         return np.insert(ids, done, END), np.diff(done, prepend=0) + 1
 
 
