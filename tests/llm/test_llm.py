@@ -565,7 +565,11 @@ def test_pipeline_stages(spark, tmp_path):
     taken = sum(len(WHITE.findall(r.text or "")) for r in kept[4].collect())
     assert abs(taken - 1.5 * words) < 0.1 * words
     out = pipeline.run(spark, SF).collect()
-    assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in kept[4].collect())
+    whole = tokens.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    coded = [(r.doc_id, np.array([*whole.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")) for r in kept[4].collect()]
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == Counter((k, len(ids), zlib.crc32(ids.tobytes())) for k, ids in coded)
+    out.sort(key=lambda r: r.start)
+    assert [r.start for r in out] == [0, *np.cumsum([r.n_tokens for r in out])[:-1]] and [r.doc_id for r in out] == sorted(r.doc_id for r in out)
 
 
 def test_pipeline_keeps_one_of_each_group(spark, table):
