@@ -94,21 +94,27 @@ def placed(docs: DataFrame, name: str = "row") -> DataFrame:
 
 
 def raw(column: pa.Array) -> list[bytes | None]:
-    """The strings of an Arrow column as UTF-8 bytes, without decoding them."""
+    """The strings of an Arrow column as UTF-8 bytes, without decoding them. What earlier batches left in Arrow's pool goes back first: workers are
+    used again by later stages."""
+    pa.default_memory_pool().release_unused()
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
 def portions(texts: list[bytes | None], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts have about `most` bytes together; a longer text is a range of its own."""
+    return portions_of([len(text or b"") for text in texts], most)
+
+
+def portions_of(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """The same, from the sizes of texts."""
     first, size = 0, 0
-    for i, text in enumerate(texts):
-        n = len(text or b"")
+    for i, n in enumerate(sizes):
         if size and size + n > most:
             yield first, i
             first, size = i, 0
         size += n
-    if first < len(texts):
-        yield first, len(texts)
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 def covered(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import covered, portions, raw
 
-WINDOW, BLOCK_CHARS, PORTION = 10, 2_000_000, 16_000_000
+WINDOW, BLOCK_CHARS, PORTION = 10, 2_000_000, 2_000_000
 #: Everything but digits, letters and non-ASCII bytes becomes a space; A-Z become a-z.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 KIND = "struct<n_words: bigint, ranges: array<struct<first: int, last: int>>, items: array<string>, spans: array<struct<first: int, last: int>>>"

@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from .common import portions, raw
+from .common import portions_of
 from .common import write as save
 
-END, PORTION, BLOCK_TOKENS, LEAST = 1, 5_000_000, 1_000_000, 8
+END, PORTION, BLOCK_TOKENS, LEAST = 1, 3_000_000, 1_000_000, 8
 FILE = "shard int, block int, start long, n_tokens long, base int, doc_ids array<long>, lengths binary, offsets binary, left binary, right binary, spans binary, symbols binary"
-CACHED_PARTS = 500_000
+CACHED_PARTS = 250_000
 #: Letters whose lower case is a letter of the same kind, and marks that form one part together; an apostrophe parts otherwise, and < may begin a special
 #: token.
 LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *(c for c in range(0xC0, 0x180) if c not in (0xD7, 0xF7, 0x130))]))
@@ -84,6 +84,7 @@ class Encoder:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in own.pop("merges")]
         options = {k: v for k, v in own.items() if v is not None and k not in ("type", "vocab")}
         self.model = BPE(vocab=own["vocab"], merges=merges, cache_capacity=0, **options)
+        del own, merges
         # The model sees bytes as printable characters: those of Latin-1 stand for themselves, the others for 256 and up.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.table = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(shown))}
@@ -267,15 +268,15 @@ def _pack(path: str, block_tokens: int):
 
         for batch in batches:
             texts = batch.column(1)
-            for a, b in portions(raw(texts), PORTION):
+            for a, b in portions_of(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), PORTION):
                 found, lengths = own.encode(texts[a:b])
                 ids += batch.column(0)[a:b].to_pylist()
-                parts.append((found, lengths))
+                parts.append((found.astype(np.int32), lengths))
                 held += len(found)
+                pa.default_memory_pool().release_unused()
                 if held >= block_tokens:
                     yield row()
                     start, block, ids, parts, held = start + held, block + 1, [], [], 0
-                    pa.default_memory_pool().release_unused()
         if parts:
             yield row()
 
