@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automata, decontaminate, licences, lines, mixing, quality, simhash, sitetree, suffixes, tokens
+from . import automata, bpe, decontaminate, licences, lines, mixing, quality, signatures, simhash, sitetree, suffixes, tokens, whitening
 from .common import documents, new_path
 
 
@@ -64,8 +64,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", quality.verdict("text", trees).alias("q")).select("doc_id", *(f"q.{c}" for c in quality.COUNTS), "q.base_failed", "q.kept")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signatures.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.Ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = documents(spark, sf_dir).select("doc_id", ranks.encoded("text").alias("ids"))
+    return coded.select("doc_id", bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(ranks.decoded("ids"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_line_chunks, op3_token_file, op4_licences, op5_mix, op6_site_tree, op7_simhash, op8_suffix_array, op9_substrings, op10_quality)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_line_chunks, op3_token_file, op4_licences, op5_mix, op6_site_tree, op7_simhash, op8_suffix_array, op9_substrings, op10_quality, op11_ranked_search, op12_whitening, op13_byte_bpe)}
 
 
 OP1 = r"""
@@ -137,6 +151,18 @@ SELECT doc_id, path, own_licence, similarity, coalesce(own_licence, declared) AS
 """
 
 
+OP11 = r"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY doc_id),
+s AS (SELECT count(*) AS docs, sum(n) AS l FROM n),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY term, docs),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+f AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // l)))) AS BIGINT) AS score FROM q JOIN tf USING (term) JOIN w USING (term) JOIN n USING (doc_id), s GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM f WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
 def _op4() -> str:
     said = lambda v: "'" + v.replace("'", "''") + "'"
     passages = [(licence, body) for licence, bodies in licences.TEMPLATES.items() for body in bodies]
@@ -147,4 +173,4 @@ def _op4() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op2_line_chunks": OP2, "op4_licences": _op4(), "op9_substrings": OP9}
+    return {"op1_decontaminate": OP1, "op2_line_chunks": OP2, "op4_licences": _op4(), "op9_substrings": OP9, "op11_ranked_search": OP11}
