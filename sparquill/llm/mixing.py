@@ -7,8 +7,8 @@ fractions at most; these meet in the next level's groups until a source has one
 nearest to the token total are taken. Nothing larger than a group is held in a task, and a source of any size is spread over its groups.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 take no words; groups, order and
-random numbers come from hashes of id, source and text, so reruns agree; rows that are equal in all three are drawn apart by their place in the files;
-other columns are left alone.
+random numbers come from hashes of id, source and text alone, so reruns agree however the files are laid out; rows that are equal in all three are
+drawn one by one, and of those it is the number taken that is defined; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ def flight(p: np.ndarray, size: np.ndarray, chance, land: bool) -> np.ndarray:
 
 
 def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["_size", "_order", "_place"], ascending=[False, True, True]).reset_index(drop=True)
+    pdf = pdf.sort_values(["_size", "_order"], ascending=[False, True]).reset_index(drop=True)  # equal rows are alike in all that counts
     state = [0]
     seed = f"{pdf['_group'].iat[0]}:{len(pdf)}:{int(pdf['_order'].iat[0])}".encode()
 
@@ -94,6 +94,18 @@ def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(_p=flight(pdf["_p"].to_numpy(), pdf["_size"].to_numpy(), chance, bool(pdf["_last"].iat[0])))
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    """Adds _salt, which cuts more than `GROUP` equal rows into runs of about that many, and is 0 elsewhere. Runs follow the total order of these rows,
+    in which equal rows stand together, so where a run ends doesn't depend on the rows' places."""
+    many = keep(rows.groupBy("_order").agg(F.count("*").alias("_times")).where(F.col("_times") > GROUP).select("_order"), "many")
+    if not many.take(1):
+        return rows.withColumn("_salt", F.lit(0).cast("long"))
+    few = many.count() <= 100_000
+    many = F.broadcast(many) if few else many
+    dealt = numbered(rows.join(many, "_order", "left_semi"), ["_order", "_place"], "_salt").withColumn("_salt", F.floor(F.col("_salt") / GROUP) + 1)
+    return rows.join(many, "_order", "left_anti").withColumn("_salt", F.lit(0).cast("long")).unionByName(dealt.select(*rows.columns, "_salt"))
+
+
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, columns: tuple[str, ...] = (), place: str = "") -> DataFrame:
     """Rows (_row: struct of `columns`; _place: the row's number, which column `place` of docs holds or `placed` gives; _size, _source_size, _target, _taken: words that the mix
     takes, a whole multiple of _size). Texts stay behind: only keys and sizes are shuffled and flown."""
@@ -109,10 +121,10 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     rate = F.when(F.abs(rate - F.round(rate)) < TINY, F.round(rate)).otherwise(rate)
     whole = F.floor(rate)
     rows = rows.withColumn("_p", F.when(F.col("_size") > 0, rate - whole).otherwise(0.0)).withColumn("_whole", whole)
-    groups = F.ceil(F.col("_n") / GROUP)
-    done, level, fixed = None, 0, ["_row", "_place", "_source", "_size", "_order", "_total", "_target", "_whole", "_p"]
+    rows, groups = _salted(rows), F.ceil(F.col("_n") / GROUP)
+    done, level, fixed = None, 0, ["_row", "_place", "_source", "_size", "_order", "_salt", "_total", "_target", "_whole", "_p"]
     while True:
-        dealt = rows.withColumn("_group", F.pmod(F.xxhash64("_order", "_place", F.lit(level)), groups)).withColumn("_last", groups <= 1).drop("_n")
+        dealt = rows.withColumn("_group", F.pmod(F.xxhash64("_order", "_salt", F.lit(level)), groups)).withColumn("_last", groups <= 1).drop("_n")
         flown = keep(dealt.groupBy("_source", "_group").applyInPandas(_fly, dealt.schema), f"mix{level}").select(fixed)
         open_ = (F.col("_p") > 0) & (F.col("_p") < 1)
         done = flown.where(~open_) if done is None else done.union(flown.where(~open_))

@@ -5,7 +5,8 @@ Texts are dealt to shards by range of id, so that shard order is document order.
 occurs `LEAST` times; a pair never crosses a document's end. A block is a row of a Parquet table with the rules (left and right symbol), the
 expansion length of each nonterminal and each document's offset in the symbols, so that any document, or any position in it, is decoded on its own.
 
-Defined results: a null text is an empty one and has the end id alone; null ids come first; repeated ids are all kept, ordered by text; an empty table
+Defined results: a null text is an empty one and has the end id alone; null ids come first; repeated ids are all kept, ordered by a hash of the text, then
+by text, so that rows of one id can be dealt to several shards; an empty table
 gives an empty file; other columns are not written.
 """
 
@@ -29,9 +30,9 @@ from tokenizers.models import BPE
 from .common import portions_of
 from .common import write as save
 
-END, PORTION, BLOCK_TOKENS, LEAST = 1, 3_000_000, 1_000_000, 8
+END, PORTION, BLOCK_TOKENS, LEAST = 1, 1_500_000, 600_000, 8
 FILE = "shard int, block int, start long, n_tokens long, base int, doc_ids array<long>, lengths binary, offsets binary, left binary, right binary, spans binary, symbols binary"
-CACHED_PARTS = 250_000
+CACHED_PARTS = 150_000
 #: Letters whose lower case is a letter of the same kind, and marks that form one part together; an apostrophe parts otherwise, and < may begin a special
 #: token.
 LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *(c for c in range(0xC0, 0x180) if c not in (0xD7, 0xF7, 0x130))]))
@@ -284,9 +285,10 @@ def _pack(path: str, block_tokens: int):
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> None:
-    """Write the token file of docs to path, in ascending order of id."""
-    rows = docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text"))
-    blocks = rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(_pack(tokenizer, block_tokens), FILE)
+    """Write the token file of docs to path, in ascending order of id. The last two columns of the order only deal rows of one id; equal rows are alike."""
+    rows = docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("hash"), F.monotonically_increasing_id().alias("at"))
+    dealt = rows.repartitionByRange("id", "hash", "at").sortWithinPartitions("id", "hash", "text").select("id", "text")
+    blocks = dealt.mapInArrow(_pack(tokenizer, block_tokens), FILE)
     save(blocks, path)
 
 
