@@ -21,6 +21,7 @@ from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix
 from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
 from pyspark.mllib.util import MLUtils
+from pyspark.storagelevel import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,8 +98,9 @@ def whiten(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", compo
     sums = dict(fit.select(F.posexplode("x").alias("at", "value")).groupBy("at").agg(F.sum(entry)).collect())
     n, sums = fit.count(), [int(sums[k]) for k in range(dimension)]
     mean = [s / n for s in sums]
-    fitted = matrix(fit, mean, total)
+    fitted = matrix(fit, mean, total).persist(StorageLevel.MEMORY_AND_DISK)  # its blocks' places, both factors of the scatter
     scatter = times(fitted.transpose(), fitted, max(1, -(-fitted.numRowBlocks // PAIRS))).toLocalMatrix().toArray()
+    fitted._java_matrix_wrapper.call("blocks").unpersist(False)
     values, vectors = axes(scatter / n, components)
     if not len(values):
         return rows.sparkSession.createDataFrame([], out)
@@ -106,12 +108,14 @@ def whiten(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", compo
     wide = min(dimension, COLUMNS)
     blocks = [((at // wide, 0), DenseMatrix(len(part), len(values), part.ravel(order="F").tolist())) for at in range(0, dimension, wide) for part in [white[at : at + wide]]]
     right = BlockMatrix(rows.sparkSession.sparkContext.parallelize(blocks, 1), wide, len(values), dimension, len(values))
-    product = times(matrix(own, mean, total), right).toIndexedRowMatrix()
+    left = matrix(own, mean, total).persist(StorageLevel.MEMORY_AND_DISK)
+    product = times(left, right).toIndexedRowMatrix()
     product = MLUtils.convertVectorColumnsToML(callMLlibFunc("getIndexedRows", product._java_matrix_wrapper._java_model), "vector")
     product = product.select("index", vector_to_array("vector").alias("z"))
     marked = own.select("id", "index", deviation("x", sums, n, int(largest)).alias("deviation"))
     marked = marked.join(fit.select("index", F.lit(True).alias("once")), "index", "left")
     done = keep(marked.join(product, "index"), "projected")
+    left._java_matrix_wrapper.call("blocks").unpersist(False)
     pairs = [(i, j) for i in range(len(values)) for j in range(i, len(values))]
     z = lambda i: F.element_at("z", i + 1)
     covariance = done.where("once").agg(*(F.covar_pop(z(i), z(j)) for i, j in pairs)).first()
