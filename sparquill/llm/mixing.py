@@ -143,4 +143,5 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     drawn = mix(rows, place=place, **options)
     times = F.when(drawn["_size"] > 0, (drawn["_taken"] / drawn["_size"]).cast("int")).otherwise(0)
     counts = drawn.where(times > 0).select(F.col("_place").alias(place), F.sequence(F.lit(1), times).alias(again))
-    return rows.join(counts, place).withColumn(again, F.explode(again)).select(*(f"`{c}`" for c in docs.columns))
+    # the same join at every size: the counts have a row for each document that is taken
+    return rows.join(counts.hint("merge"), place).withColumn(again, F.explode(again)).select(*(f"`{c}`" for c in docs.columns))
