@@ -30,9 +30,9 @@ from tokenizers.models import BPE
 from .common import portions_of
 from .common import write as save
 
-END, PORTION, BLOCK_TOKENS, LEAST = 1, 1_500_000, 600_000, 8
+END, PORTION, BLOCK_TOKENS, LEAST = 1, 3_000_000, 600_000, 8
 FILE = "shard int, block int, start long, n_tokens long, base int, doc_ids array<long>, lengths binary, offsets binary, left binary, right binary, spans binary, symbols binary"
-CACHED_PARTS = 150_000
+CACHED_PARTS = 250_000
 #: Letters whose lower case is a letter of the same kind, and marks that form one part together; an apostrophe parts otherwise, and < may begin a special
 #: token.
 LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *(c for c in range(0xC0, 0x180) if c not in (0xD7, 0xF7, 0x130))]))
