@@ -7,53 +7,111 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions.text import tokens
-from ..sources.tables import stage
+from ..sources.tables import spread, stage
 
 K1, B, RRF = 1.5, 0.75, 60
-BLOCK = 2048
+#: Questions of a vector search's block; terms of a lexical one's; documents that are scored together.
+BLOCK, ASKED, CHUNK = 2048, 50_000, 2048
 
 
 def frequencies(docs: DataFrame, id: str, text: str) -> DataFrame:
     """(term, df, cf): documents and occurrences of each term, in one aggregation: a document's words are sorted, and the first of each is marked."""
-    words = docs.select(F.sort_array(tokens(text)).alias("w"))
+    words = spread(docs.select(text)).select(F.sort_array(tokens(text)).alias("w"))
     pairs = words.select(F.explode(F.arrays_zip(F.col("w").alias("term"), F.concat(F.array(F.lit(None).cast("string")), F.col("w")).alias("before"))).alias("t")).select("t.term", "t.before")
     first = F.when(F.col("term").eqNullSafe(F.col("before")), 0).otherwise(1)
     return pairs.where("term IS NOT NULL").groupBy("term").agg(F.sum(first).alias("df"), F.count("*").alias("cf"))
 
 
-def tokenized(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, size, w: words), written once: counts read the sizes alone, postings the words."""
-    return stage(docs.select(F.col(id).alias("id"), tokens(text).alias("w")).select("id", F.size("w").alias("size"), "w"))
+class _Asked:
+    """A block of questions: distinct terms, which questions ask for each, and how many terms a question has."""
 
+    def __init__(self, rows: list[tuple]):
+        self.names, self.terms = [name for name, _ in rows], sorted({t for _, words in rows for t in words})
+        self.count, at = np.array([len(words) for _, words in rows]), {t: k for k, t in enumerate(self.terms)}
+        pairs = np.array(sorted((at[t], q) for q, (_, words) in enumerate(rows) for t in words), np.int64).reshape(-1, 2)
+        self.questions, self.first = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.terms) + 1))
 
-def postings(words: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(id, size, term, tf) of `tokenized` rows, for the wanted terms (column term) if given."""
-    rows = words.select("id", "size", F.explode("w").alias("term"))
-    rows = rows if wanted is None else rows.join(wanted, "term", "left_semi")
-    return rows.groupBy("id", "size", "term").agg(F.count("*").alias("tf"))
-
-
-def bm25(docs: DataFrame, questions: DataFrame, id: str = "doc_id", text: str = "text", question_id: str = "item_id", question: str = "text") -> DataFrame:
-    """(question, id, score, overlap): BM25 over distinct question terms, and the share of them that the document has; positive scores only.
-
-    Texts are tokenised once. Only postings of terms that are asked for leave their task, dealt by document, so that a document's scores add up where
-    its postings are; with `top` above it, each task then passes on its k best rows for a question only.
+    def postings(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, size, places of the asked terms that a document has, how often) from (id, words)."""
+        known = pa.array(self.terms, pa.string())
+        for batch in batches:
+            words = batch.column(1)
+            size = np.diff(np.asarray(words.offsets))
+            place = pc.index_in(words.flatten().cast(pa.string()), value_set=known)
+            here = np.asarray(pc.is_valid(place))
+            key, tf = np.unique(np.repeat(np.arange(len(size)), size)[here] * len(known) + np.asarray(place.drop_null(), np.int64), return_counts=True)
+            cuts = pa.array(np.searchsorted(key, np.arange(len(size) + 1) * len(known)), pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x, pa.int32())) for x in (key % max(len(known), 1), tf)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), *lists], ["id", "size", "place", "tf"])
+
+    def scored(self, idf: np.ndarray, mean: float, k: int | None):
+        """(q, id, score, overlap) from postings: all pairs that share a term, or those that `CHUNK` documents' k best by either may be among."""
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, len(batch), CHUNK):
+                    ids, size, place, tf = batch.slice(start, CHUNK).columns
+                    row = np.repeat(np.arange(len(ids)), np.diff(np.asarray(place.offsets)))
+                    at, tf = np.asarray(place.flatten(), np.int64), np.asarray(tf.flatten(), float)
+                    part = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.asarray(size)[row] / mean))
+                    times = self.first[at + 1] - self.first[at]
+                    asked = self.questions[np.repeat(self.first[at + 1] - np.cumsum(times), times) + np.arange(int(times.sum()))]
+                    cell, shape = np.repeat(row, times) * len(self.count) + asked, (len(ids), len(self.count))
+                    total = np.round(np.bincount(cell, np.repeat(part, times), len(ids) * len(self.count)), 6).reshape(shape)
+                    share = np.bincount(cell, minlength=len(ids) * len(self.count)).reshape(shape) / self.count
+                    kept = total > 0
+                    if k is not None and len(ids) > k:
+                        kept &= (total >= -np.partition(-total, k - 1, axis=0)[k - 1]) | (share >= -np.partition(-share, k - 1, axis=0)[k - 1])
+                    doc, q = np.nonzero(kept)
+                    yield pa.RecordBatch.from_arrays([pa.array(q), ids.take(pa.array(doc)), pa.array(total[doc, q]), pa.array(share[doc, q])], ["q", "id", "score", "overlap"])
+
+        return score
+
+
+def _blocks(questions: DataFrame, id: str, text: str) -> Iterator[_Asked]:
+    """Questions with their distinct terms, streamed over the driver and cut into blocks of at most `ASKED` terms, counted in each question."""
+    block, seen = [], 0
+    for name, words in questions.select(F.col(id), F.array_distinct(tokens(text))).toLocalIterator(prefetchPartitions=True):
+        if words:
+            if block and seen + len(words) > ASKED:
+                yield _Asked(block)
+                block, seen = [], 0
+            block.append((name, words))
+            seen += len(words)
+    if block:
+        yield _Asked(block)
+
+
+def bm25(docs: DataFrame, questions: DataFrame, id: str = "doc_id", text: str = "text", question_id: str = "item_id", question: str = "text", k: int | None = None) -> DataFrame:
+    """(question, id, score, overlap): BM25 over distinct question terms, and the share of them that the document has; positive scores only. With k, at
+    least the rows that are among a question's k best by either, so that pairs don't leave their task.
+
+    Questions go in blocks of bounded size. For a block, texts are tokenised once; what is written is one row a document with the asked terms it has, from
+    which document frequencies are added up and all of the block's questions are scored where the row is. No pair is shuffled.
     """
-    asked = questions.select(F.col(question_id).alias("question"), F.array_distinct(tokens(question)).alias("w"))
-    asked = stage(asked.select("question", F.size("w").alias("terms"), F.explode("w").alias("term")))
-    words = tokenized(docs, id, text)
-    own = stage(postings(words, asked.select("term").distinct()))
-    size = words.agg(F.count("*").alias("n"), F.coalesce(F.avg("size"), F.lit(1.0)).alias("mean"))
-    df = own.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(size))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = asked.join(df.select("term", idf.alias("idf"), "mean"), "term")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.when(F.col("mean") == 0, 1.0).otherwise(F.col("mean"))))
-    found = own.join(weighed, "term").groupBy("question", "id").agg(F.round(F.sum(part), 6).alias("score"), (F.count("*") / F.first("terms")).alias("overlap"))
-    return found.where("score > 0")
+    spark, kind = docs.sparkSession, docs.schema[id].dataType
+    words = spread(docs.select(F.col(id).alias("id"), F.col(text).alias("text"))).select("id", tokens("text").alias("w"))
+    rows = StructType([StructField("id", kind), StructField("size", LongType()), StructField("place", ArrayType(IntegerType())), StructField("tf", ArrayType(IntegerType()))])
+    pairs = StructType([StructField("q", LongType()), StructField("id", kind), StructField("score", DoubleType()), StructField("overlap", DoubleType())])
+    name = StructField("question", questions.schema[question_id].dataType)
+    found = spark.createDataFrame([], StructType([name, *pairs.fields[1:]]))
+    for n_block, asked in enumerate(_blocks(questions, question_id, question)):
+        own = stage(words.mapInArrow(lambda batches, asked=asked: asked.postings(batches), rows))
+        n, mean = own.agg(F.count("*"), F.avg("size")).first()
+        df = np.zeros(len(asked.terms))
+        for place, count in own.select(F.explode("place").alias("place")).groupBy("place").count().collect():
+            df[place] = count
+        scored = own.mapInArrow(asked.scored(np.log(1 + (n - df + 0.5) / (df + 0.5)), mean or 1.0, k), pairs)
+        names = spark.createDataFrame(list(enumerate(asked.names)), StructType([pairs.fields[0], name]))
+        block = scored.join(F.broadcast(names), "q").select("question", "id", "score", "overlap")
+        found = found.unionByName(block) if n_block else block
+    return found
 
 
 def top(ranked: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

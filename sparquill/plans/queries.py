@@ -44,13 +44,13 @@ f AS (SELECT item_id AS question, doc_id AS id, round(sum(ln(1 + (n - df + 0.5)
   FROM q JOIN p USING (term) JOIN df USING (term), s GROUP BY ALL HAVING score > 0)"""
 
 
-def _found(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"))
+def _found(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
+    return retrieval.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), k=k)
 
 
 @query(BM25 + " SELECT question, id, score, CAST(row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS INT) AS rank FROM f QUALIFY rank <= 6")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.top(_found(spark, d).drop("overlap"), ["question"], [F.desc("score"), F.asc("id")], 6)
+    return retrieval.top(_found(spark, d, 6).drop("overlap"), ["question"], [F.desc("score"), F.asc("id")], 6)
 
 
 @query(BM25 + """, l AS (SELECT question, id, row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 12
@@ -58,7 +58,7 @@ UNION ALL SELECT question, id, row_number() OVER (PARTITION BY question ORDER BY
 r AS (SELECT question, id, round(sum(1.0 / (60 + rank)), 9) AS rrf FROM l GROUP BY ALL)
 SELECT question, id, rrf, CAST(row_number() OVER (PARTITION BY question ORDER BY rrf DESC, id) AS INT) AS rank FROM r QUALIFY rank <= 6""")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.hybrid(_found(spark, d))
+    return retrieval.hybrid(_found(spark, d, 12))
 
 
 @query(BM25 + """, n AS (SELECT question, id, (score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0) AS v, (overlap - min(overlap) OVER w) / nullif(max(overlap) OVER w - min(overlap) OVER w, 0) AS l, overlap FROM f WINDOW w AS (PARTITION BY question))

@@ -35,6 +35,12 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of fewer files than the session has cores, dealt to all cores, for work that costs more than moving the rows; of more files, as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Adds a number from 1 in a total order. Rows are sorted by range in many tasks; only the counts of these ranges are added up in one."""
     placed = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
