@@ -5,9 +5,12 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from ..sources.tables import stage
 from .graph import components
 
 
@@ -19,6 +22,61 @@ def alike(a: str, b: str, least: float) -> bool:
     return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
 
 
+def _signs(text: Column) -> Column:
+    """The characters of a text, each with its number among its like, as code point * 2^32 + number. Two texts share as many of these as they share characters."""
+    letters = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
+    times = lambda c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    return F.flatten(F.transform(letters, lambda c: F.transform(F.sequence(F.lit(1), times(c)), lambda n: F.shiftleft(F.ascii(c).cast("long"), 32) + n)))
+
+
+@F.arrow_udf(DoubleType())
+def _ratio(left: pa.Array, right: pa.Array) -> pa.Array:
+    """2 * characters in matching blocks / characters of both, block by block from the longest on."""
+    return pa.array([SequenceMatcher(None, a, b).ratio() for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.float64())
+
+
+def similar_pairs(rows: DataFrame, by: list[str], text: str, least: float = 0.75) -> DataFrame:
+    """(the columns of by, a, b, most): distinct texts a < b of rows that agree in `by` (nulls apart) and share so many characters, `most`, that their
+    ratio can be `least`. No pair is missing: a ratio of `least` needs `least / 2` of both lengths in common characters, so at least one of a text's rarest
+    characters must be among the rarest of the other, as many as leave fewer than that. Pairs meet over these alone and only where their lengths fit, and
+    each is made once, at the first character that both have there. Empty texts are like nothing.
+    """
+    named = [F.col(c).alias(f"_k{k}") for k, c in enumerate(by)]
+    keys, fraction = [f"_k{k}" for k in range(len(by))], least / (2 - least)
+    own = rows.select(*named, F.col(text).alias("t")).dropna().where("t <> ''").distinct().withColumn("s", _signs(F.col("t"))).withColumn("n", F.size("s"))
+    own = stage(own)
+    common = own.select(F.explode("s").alias("sign")).groupBy("sign").agg(F.count("*").alias("times"))
+    spread = own.select(*keys, "t", "n", F.explode("s").alias("sign")).join(common, "sign")
+    ranked = spread.groupBy(*keys, "t", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("times", "sign"))), lambda x: x["sign"]).alias("s"))
+    first = F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * fraction - 1e-9) + 1).cast("int"))
+    ranked = stage(ranked.withColumn("first", first))
+    a, b = (ranked.select(*keys, *(F.col(c).alias(f"{c}_{x}") for c in ("t", "n", "s", "first")), F.explode("first").alias("sign")) for x in "ab")
+    pairs = a.join(b, [*keys, "sign"]).where("t_a < t_b").where((F.col("n_a") >= F.col("n_b") * fraction - 1e-9) & (F.col("n_b") >= F.col("n_a") * fraction - 1e-9))
+    pairs = pairs.where(F.get(F.array_intersect("first_a", "first_b"), F.lit(0)) == F.col("sign"))
+    most = F.round(2.0 * F.size(F.array_intersect("s_a", "s_b")) / (F.col("n_a") + F.col("n_b")), 9)
+    return pairs.withColumn("most", most).where(F.col("most") >= least - 1e-9).select(*(F.col(f"_k{k}").alias(c) for k, c in enumerate(by)), F.col("t_a").alias("a"), F.col("t_b").alias("b"), "most")
+
+
+def similar_links(rows: DataFrame, id: str, by: list[str], text: str, least: float = 0.75) -> DataFrame:
+    """(src, dst, weight) of rows that agree in `by` and whose texts are alike by a ratio of `least`: rows of one text are linked to the least of them, and
+    the least rows of two like texts to each other."""
+    named = rows.dropna(subset=[*by, text]).where(F.col(text) != "")
+    heads = named.groupBy(*by, text).agg(F.min(id).alias("head"))
+    copies = named.join(heads, [*by, text]).where(F.col(id) != F.col("head")).select(F.col("head").alias("src"), F.col(id).alias("dst"))
+    alike = similar_pairs(rows, by, text, least).where(_ratio("a", "b") >= least)
+    near = alike.join(heads.select(*by, F.col(text).alias("a"), F.col("head").alias("src")), [*by, "a"]).join(heads.select(*by, F.col(text).alias("b"), F.col("head").alias("dst")), [*by, "b"])
+    return copies.union(near.select("src", "dst")).withColumn("weight", F.lit(1.0))
+
+
+def evidence_clusters(rows: DataFrame, id: str, parameter: str, keys: list[str], value: list[str], title: str, least: float = 0.75) -> DataFrame:
+    """(id, cluster): items of one parameter that are the same source said again: they agree in a key (content, origin), or in all of `value` with titles
+    alike by `least`; directly or over others. The cluster is named for its least item. No parameter's items are gathered."""
+    within = rows.select(id, *(F.when(F.col(k).cast("string") != "", F.to_json(F.struct(F.col(parameter).alias("p"), F.col(k).alias("k")))).alias(k) for k in keys))
+    links = equal_links(within, id, keys).unionByName(similar_links(rows, id, [parameter, *value], title, least))
+    found = components(links)
+    return rows.select(id).distinct().join(found.withColumnRenamed("node", id), id, "left").select(id, F.coalesce("component", id).alias("cluster"))
+
+
 def equal_links(rows: DataFrame, id: str, keys: list[str]) -> DataFrame:
     """(src, dst, weight) of rows that agree in any of the keys: each value links its rows to the least of them, so copies make no pairs."""
     out = None

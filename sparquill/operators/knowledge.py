@@ -113,8 +113,9 @@ def graph_scores(picked: DataFrame, node_keys: DataFrame, relations: DataFrame,
     ranks = graph.pagerank(edges, seeds.join(keys.withColumnRenamed("key", "node"), "node", "left_semi"), rounds=rounds)
     sums = own.join(ranks, own.key == ranks["node"]).groupBy(own["node"]).agg(F.sum("rank").alias("score"))
     every = picked.select("node").distinct().join(sums, "node", "left").na.fill(0.0, ["score"])
-    low, high = F.min("score").over(Window.partitionBy()), F.max("score").over(Window.partitionBy())
-    return every.select("node", F.when(high - low < 1e-12, 0.0).otherwise((F.col("score") - low) / (high - low)).alias("score"))
+    ends = every.agg(F.min("score").alias("low"), F.max("score").alias("high"))  # one row
+    scaled = (F.col("score") - F.col("low")) / (F.col("high") - F.col("low"))
+    return every.join(F.broadcast(ends)).select("node", F.when(F.col("high") - F.col("low") < 1e-12, 0.0).otherwise(scaled).alias("score"))
 
 
 def best_points(points: DataFrame, least: int = 2, most: int = 12) -> DataFrame:

@@ -134,8 +134,16 @@ def hybrid(found: DataFrame) -> DataFrame:
     return top(fuse(lists), ["question"], [F.desc("rrf"), F.asc("id")], 6)
 
 
-def vector_top(rows: DataFrame, questions: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(question, id, similarity, rank): the k most similar other rows of each question by cosine, ties by id.
+def both_ways(vectors: DataFrame, lexical: DataFrame, each: int = 12, k: int = 6) -> DataFrame:
+    """(question, id, rank, rrf): the k best of a vector list (question, id, similarity) and a lexical list (question, id, score), fused by their ranks. Each
+    list gives its `each` best rows that are above 0; a question that has one list only is ranked by it."""
+    lists = [top(rows.where(F.col(c) > 0), ["question"], [F.desc(c), F.asc("id")], each) for rows, c in ((vectors, "similarity"), (lexical, "score"))]
+    return top(fuse(lists), ["question"], [F.desc("rrf"), F.asc("id")], k)
+
+
+def vector_top(rows: DataFrame, questions: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding", itself: bool = False) -> DataFrame:
+    """(question, id, similarity, rank): the k most similar other rows of each question by cosine, ties by id. Where questions are named apart from rows,
+    `itself` lets a row of the same id in.
 
     Questions are numbered and cut into blocks of `BLOCK`; each block is a broadcast of bounded size that one scan of the rows multiplies with, and a
     task keeps k rows for each question. A set of questions that grows with the rows belongs to an index, not here: the work is one product for each pair.
@@ -154,7 +162,8 @@ def vector_top(rows: DataFrame, questions: DataFrame, k: int, id: str = "vec_id"
                 if own.shape[1] != asked.shape[1]:
                     continue
                 score = np.round(asked @ own.T, 6)
-                score[names[:, None] == ids[None]] = -np.inf
+                if not itself:
+                    score[names[:, None] == ids[None]] = -np.inf
                 every = np.broadcast_to(ids, score.shape)
                 if n in best:
                     every, score = np.concatenate((best[n][0], every), axis=1), np.concatenate((best[n][1], score), axis=1)
@@ -165,7 +174,7 @@ def vector_top(rows: DataFrame, questions: DataFrame, k: int, id: str = "vec_id"
             asked_id = np.broadcast_to(sent[n].value[0][:, None], kept.shape)
             yield pa.RecordBatch.from_arrays([pa.array(asked_id[kept]), pa.array(every[kept]), pa.array(score[kept])], ["question", "id", "similarity"])
 
-    found = rows.select(F.col(id).cast("long"), vector).where(F.col(vector).isNotNull()).mapInArrow(scan, "question long, id long, similarity double")
+    found = spread(rows.select(F.col(id).cast("long"), vector).where(F.col(vector).isNotNull())).mapInArrow(scan, "question long, id long, similarity double")
     return top(found, ["question"], [F.desc("similarity"), F.asc("id")], k)
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import checks, retrieval, search
+from ..operators import checks, clusters, retrieval, search
 from ..sources.tables import stage, table
-from .queries import query
+from .queries import BM25, query
 
 TERMS = "list_distinct(list_filter(list_transform(regexp_extract_all({}, '([A-Za-z0-9][A-Za-z0-9\\-_.]+|[0-9０-９]+(?:\\.[0-9０-９]+)*)', 1), lambda t: rtrim(lower(t), '.-_')), lambda t: length(t) >= 2))"
 
@@ -130,3 +130,36 @@ def fallback_strategies(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT item_id, CASE WHEN regexp_matches(lower(text), 'sum|average|mean|count|total|max|min') THEN 'table' ELSE 'rag' END AS route FROM benchmark""")
 def table_route(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", checks.table_route(F.col("text")).alias("route"))
+
+
+@query(f"""WITH t AS (SELECT DISTINCT lang, title FROM (SELECT lang, split_part(text, chr(10), 1) AS title FROM documents WHERE lang IS NOT NULL) WHERE title <> ''),
+c AS (SELECT lang, title, len(title) AS n, map_from_entries(list_transform(list_distinct(string_split(title, '')), lambda x: (x, len(list_filter(string_split(title, ''), lambda y: y = x))))) AS bag FROM t WHERE len(title) BETWEEN 1 AND 60),
+p AS (SELECT a.lang, a.title AS a, b.title AS b, 2.0 * list_sum(list_transform(map_keys(a.bag), lambda k: least(a.bag[k], coalesce(b.bag[k], 0)))) / (a.n + b.n) AS most FROM c a JOIN c b ON a.lang = b.lang AND a.title < b.title)
+SELECT lang, a, b, round(most, 9) AS most FROM p WHERE most >= 0.8 - 1e-9""")
+def similar_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of headings (first lines of up to 60 characters) of one language that could be alike by a ratio of 0.8."""
+    rows = table(spark, d, "documents").select("lang", F.substring_index("text", "\n", 1).alias("title")).where(F.length("title").between(1, 60))
+    return clusters.similar_pairs(rows, ["lang"], "title", 0.8)
+
+
+@query()
+def evidence_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of a source as evidence: the same when their text is, or when they have one length and headings (first lines of up to 200 characters) alike; brute force
+    in tests/test_clusters.py."""
+    line = F.substring_index("text", "\n", 1)
+    rows = table(spark, d, "documents").select("doc_id", "source", "n_chars", F.md5("text").alias("hash"), F.when(F.length(line) <= 200, line).alias("title"))
+    return clusters.evidence_clusters(rows, "doc_id", "source", ["hash"], ["n_chars"], "title")
+
+
+@query(BM25 + """, u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), n AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM u),
+c AS (SELECT a.vec_id AS question, b.vec_id AS id, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])), 6) AS s FROM n a JOIN benchmark ON a.vec_id = item_id, n b),
+l AS (SELECT question, id, row_number() OVER (PARTITION BY question ORDER BY s DESC, id) AS rank FROM c WHERE s > 0 QUALIFY rank <= 12
+UNION ALL SELECT question, id, row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 12),
+r AS (SELECT question, id, round(sum(1.0 / (60 + rank)), 9) AS rrf FROM l GROUP BY ALL)
+SELECT question, id, rrf, CAST(row_number() OVER (PARTITION BY question ORDER BY rrf DESC, id) AS INT) AS rank FROM r QUALIFY rank <= 6""")
+def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
+    """Vector and BM25 lists of each benchmark item, fused; an item's vector is the embedding of its number, a document's that of its own."""
+    items, vectors = table(spark, d, "benchmark"), table(spark, d, "embeddings")
+    lexical = retrieval.bm25(table(spark, d, "documents"), items, k=12)
+    near = retrieval.vector_top(vectors, vectors.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi"), 12, itself=True)
+    return retrieval.both_ways(near, lexical)
