@@ -67,8 +67,8 @@ def counter_evidence(parameters: DataFrame, found: DataFrame, ratio: float = 2.0
 
 def confidence(parameters: DataFrame, by: str, own: str, central: str, severe: str, agreement: str) -> DataFrame:
     """(by, confidence): the mean of the parameters' confidence (0.2 without any), less 0.2 if a value is missing, less 0.05 for each severe open
-    critique up to 0.2, and 0.05 more or 0.15 less as a second model agrees or not; within 0.05 and 0.95."""
-    sums = parameters.groupBy(by).agg(F.avg(own).alias("m"), F.count_if(F.col(central).isNull()).alias("missing"), F.sum(severe).alias("severe"), F.first(agreement).alias("agreement"))
+    critique up to 0.2, and 0.05 more or 0.15 less as a second model agrees or not (it doesn't if any row says so); within 0.05 and 0.95."""
+    sums = parameters.groupBy(by).agg(F.avg(own).alias("m"), F.count_if(F.col(central).isNull()).alias("missing"), F.sum(severe).alias("severe"), F.max(F.when(F.col(agreement).isin("consistent", "discrepant"), F.col(agreement))).alias("agreement"))
     check = F.when(F.col("agreement") == "consistent", 0.05).when(F.col("agreement") == "discrepant", -0.15).otherwise(0.0)
     base = F.coalesce("m", F.lit(0.2)) - F.when(F.col("missing") > 0, 0.2).otherwise(0.0) - F.least(0.05 * F.col("severe"), F.lit(0.2)) + check
     return sums.select(by, F.round(F.least(F.greatest(base, F.lit(0.05)), F.lit(0.95)) + 1e-9, 2).alias("confidence"))

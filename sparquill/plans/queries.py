@@ -195,10 +195,10 @@ def spearman(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT p_brand, p_size, p_partkey, p_retailprice, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_retailprice DESC, p_partkey) AS k FROM part), p AS (SELECT * FROM r WHERE k = 1 AND p_retailprice > 0)
-SELECT a.p_brand, least(a.p_partkey, b.p_partkey) AS a, greatest(a.p_partkey, b.p_partkey) AS b, round(a.p_retailprice / b.p_retailprice, 6) AS ratio FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_retailprice > 1.2 * b.p_retailprice""")
+SELECT a.p_brand, least(a.p_partkey, b.p_partkey) AS a, greatest(a.p_partkey, b.p_partkey) AS b, round(a.p_retailprice / b.p_retailprice, 6) AS ratio FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_retailprice > 1.05 * b.p_retailprice""")
 def contradiction_pairs(spark: SparkSession, d: str) -> DataFrame:
     reps = evidence.representatives(table(spark, d, "part"), ["p_brand", "p_size"], "p_retailprice", "p_partkey")
-    return evidence.contradictions(reps, "p_brand", "p_partkey", "p_retailprice", 1.2).withColumn("ratio", F.round("ratio", 6))
+    return evidence.contradictions(reps, "p_brand", "p_partkey", "p_retailprice", 1.05).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("""WITH s AS (SELECT md5(text) AS k, list_distinct(list(lang)) AS own FROM documents GROUP BY 1), e AS (SELECT unnest(own) AS lang, len(own) AS k FROM s)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,41 +40,44 @@ def fold(events: DataFrame, by: str, seq: str, kind: str, value: str, counted: l
 
 
 class Reducer(StatefulProcessor):
-    """The same fold over a stream, per key: replayed seqs are ignored, a status of a lower seq than the last one is late and only counted, and the last
-    `keep` seqs are held as a log."""
+    """The same fold over a stream, per key: replayed seqs are ignored, and a status of a lower seq than the last one is late and only counted. The highest
+    `keep` seqs are held, whatever number of events a key has; once so many are held, a seq below all of them counts as replayed."""
 
-    def __init__(self, keep: int = 50):
+    def __init__(self, keep: int = 1000):
         self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "last_seq long, status string, last_value double, value_seq long, events long")
-        self.seen = handle.getMapState("seen", "seq long", "one boolean")
+        self.state = handle.getValueState("state", "last_seq long, status string, last_value double, value_seq long, events long, seen array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, status, value, value_seq, n = self.state.get() if self.state.exists() else (-1, None, None, -1, 0)
+        last, status, value, value_seq, n, seen = self.state.get() if self.state.exists() else (-1, None, None, -1, 0, [])
+        ring, held = sorted(seen), set(seen)
         for pdf in rows:
             for seq, kind, v in zip(pdf["seq"].tolist(), pdf["kind"].tolist(), pdf["value"].tolist(), strict=True):
-                if self.seen.containsKey((seq,)):
+                if seq in held or len(ring) == self.keep and seq < ring[0]:
                     continue
-                self.seen.updateValue((seq,), (True,))
+                insort(ring, seq)
+                held.add(seq)
+                if len(ring) > self.keep:
+                    held.discard(ring.pop(0))
                 n += 1
                 if seq > last:
                     last, status = seq, kind
                 if v == v and v is not None and seq > value_seq:
                     value, value_seq = v, seq
-        self.state.update((last, status, value, value_seq, n))
-        yield pd.DataFrame({"key": [key[0]], "last_seq": [last], "status": [status], "last_value": [value], "events": [n]})
+        self.state.update((last, status, value, value_seq, n, ring))
+        yield pd.DataFrame({"key": [key[0]], "last_seq": [last], "status": [status], "last_value": [value], "events": [n], "held": [len(ring)]})
 
     def close(self) -> None:
         pass
 
 
-FOLDED = "key long, last_seq long, status string, last_value double, events long"
+FOLDED = "key long, last_seq long, status string, last_value double, events long, held int"
 
 
-def fold_stream(events: DataFrame) -> DataFrame:
-    """A stream of (key, seq, kind, value) to the state of each key, whenever it changes."""
-    return events.groupBy("key").transformWithStateInPandas(statefulProcessor=Reducer(), outputStructType=FOLDED, outputMode="Update", timeMode="None")
+def fold_stream(events: DataFrame, keep: int = 1000) -> DataFrame:
+    """A stream of (key, seq, kind, value) to the state of each key, whenever it changes; `held` is how many seqs the state holds."""
+    return events.groupBy("key").transformWithStateInPandas(statefulProcessor=Reducer(keep), outputStructType=FOLDED, outputMode="Update", timeMode="None")
 
 
 def violations(events: DataFrame, by: str, order: list[str], status: str, allowed: dict[str, list[str]]) -> DataFrame:

@@ -229,6 +229,21 @@ def test_stream_fold_equals_batch(spark, tmp_path):
     assert got == {0: (3, "click", 7.0, 3), 1: (5, "view", 2.0, 2)}
 
 
+def test_state_of_a_stream_is_bounded(spark, tmp_path):
+    kind = "key long, seq long, kind string, value double"
+    for k in range(3):  # three batches of shuffled, partly replayed events
+        rows = [(0, (7 * s) % 60 + 40 * k, f"e{(7 * s) % 60 + 40 * k}", float(s)) for s in range(60)]
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = ev.fold_stream(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), keep=30)
+    q = stream.writeStream.format("memory").queryName("bounded").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = spark.table("bounded").collect()
+    assert len(got) == 3 and max(r.held for r in got) == 30
+    last = max(got, key=lambda r: r.last_seq)
+    assert (last.last_seq, last.status) == (139, "e139")
+
+
 def test_append_new_is_idempotent(spark, tmp_path):
     batch = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "id int, v string")
     for _ in range(2):
