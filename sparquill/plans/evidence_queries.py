@@ -299,11 +299,30 @@ def chunk_citations(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", c.alias("c")).select("conv_id", "turn", "c.*")
 
 
-@query()
+@query("""SELECT doc_id, n_chars, CAST(n_chars AS DOUBLE) AS value, 'event' AS unit, CASE WHEN n_chars BETWEEN 1 AND 90000 THEN 1.0 END AS low, CASE WHEN n_chars BETWEEN 1 AND 90000 THEN 90000.0 END AS high FROM documents""")
 def numbers_near(spark: SparkSession, d: str) -> DataFrame:
     """The number next to a document's length in a text that is given one; the rest of the text has its own numbers."""
     text = F.concat(F.coalesce("text", F.lit("")), F.lit("\nthe total length is 約"), "n_chars", F.lit("件 (range 1 - 90000)"))
-    near = extraction.number_near(text, F.array(F.lit("total length")), F.array(F.lit("event")))
-    return table(spark, d, "documents").select("doc_id", "n_chars", near.alias("n")).select("doc_id", "n_chars", "n.value", "n.unit", "n.low", "n.high")
-
-
+    docs = table(spark, d, "documents").select("doc_id", "n_chars", text.alias("text"))
+    asked = spark.createDataFrame([("length", ["total length"], ["event"])], "parameter string, aliases array<string>, expected array<string>")
+    near = extraction.numbers_by_alias(docs, asked, "doc_id", "text")
+    return docs.select("doc_id", "n_chars").join(near, "doc_id", "left").select("doc_id", "n_chars", "value", "unit", "low", "high")
+
+
+@query("""WITH t AS (SELECT doc_id, doc_id % 3 = 0 AS tabled, length(text) AS n FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, 'size' AS parameter, CAST(n AS DOUBLE) AS value, 'item' AS unit, 'table' AS method, 1 AS row, 2 AS "column", NULL::DOUBLE AS low, NULL::DOUBLE AS high FROM t WHERE tabled
+UNION ALL SELECT doc_id, 'size', n + 1.0, 'item', 'text', 0, 0, NULL, NULL FROM t WHERE NOT tabled
+UNION ALL SELECT doc_id, 'homes', n * 10000.0 + 2000, 'household', 'text', 0, 0, NULL, NULL FROM t WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id, 'share', 2.5, '', 'text', 0, 0, 1.5, 4.0 FROM t WHERE doc_id % 5 = 0""")
+def document_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Parameters that documents name, in a table or behind their texts; a labelled line of the source and numbers of other units don't count."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL").withColumn("n", F.length("text"))
+    said = F.concat(F.lit("\n" + "." * 150 + "\nstored pieces count "), (F.col("n") + 1).cast("string"), F.lit("台 in 7 days\n"))
+    homes = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("." * 150 + "\n世帯数は3件以上、"), F.col("n").cast("string"), F.lit("万2千世帯\n調査方法: 世帯数 99世帯\n"))).otherwise("")
+    share = F.when(F.col("doc_id") % 5 == 0, "." * 150 + "\nLoanword ratio 2.5 (1.5 - 4.0)").otherwise("")
+    header = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("年"), F.lit("stored pieces")))
+    rows = F.when(F.col("doc_id") % 3 == 0, F.array(F.array(F.lit("2024"), F.concat(F.col("n").cast("string"), F.lit("台")))))
+    docs = docs.select("doc_id", F.concat("text", said, homes, share).alias("text"), header.alias("header"), rows.alias("rows"))
+    asked = [("size", ["stored pieces", "pieces"], ["item"]), ("homes", ["世帯数"], ["household"]), ("share", ["loanword ratio"], [""]), ("none", ["unheard-of parameter"], ["day"])]
+    found = extraction.evidence(docs, spark.createDataFrame(asked, "parameter string, aliases array<string>, expected array<string>"), "doc_id")
+    return found.drop("at", "excerpt").fillna(0, ["row", "column"])

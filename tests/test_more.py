@@ -1,6 +1,7 @@
 """Operators whose results SQL doesn't hold, against brute force or hand-made cases."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -70,12 +71,61 @@ def test_lexical_score_of_japanese_runs(spark):
     assert [(round(r.score, 3), r.strong) for r in search.lexical(part, asked.where("q = 8"), "id", "text", "q", "text").collect()] == [(0.5, False)]
 
 
-def test_numbers_near_an_alias():
-    near = lambda text, expected: extraction.nearest(text, ["世帯数", "growth"], expected)
-    assert near("世帯数は3件以上、7万2千世帯です。", {"household"}) == {"value": 72000.0, "unit": "household", "at": 9, "low": None, "high": None}
-    assert near("growth was 1.5 (range 1.0 - 2.0) in 2020", {"percent", ""})["high"] == 2.0
-    assert near("growth: 1.5〜2.0", {""}) == {"value": 1.5, "unit": "", "at": 8, "low": 1.5, "high": 2.0}
-    assert near("Xgrowths 5%", {"percent"}) is None and near("growth 5% 未満", {"person"}) is None
+ASKED = "parameter string, aliases array<string>, expected array<string>"
+
+
+def test_numbers_near_an_alias(spark):
+    def near(text, expected):
+        asked = spark.createDataFrame([("p", ["世帯数", "growth"], expected)], ASKED)
+        found = extraction.numbers_by_alias(spark.createDataFrame([(1, text)], "id int, text string"), asked, "id", "text").collect()
+        return tuple(found[0])[2:7] if found else None
+
+    assert near("世帯数は3件以上、7万2千世帯です。", ["household"]) == (72000.0, "household", 9, None, None)
+    assert near("growth was 1.5 (range 1.0 - 2.0) in 2020", ["percent", ""])[4] == 2.0
+    assert near("growth: 1.5〜2.0", [""]) == (1.5, "", 8, 1.5, 2.0)
+    assert near("Xgrowths 5%", ["percent"]) is None and near("growth 5% 未満", ["person"]) is None and near(None, [""]) is None and near("5%", []) is None
+
+
+def test_numbers_by_alias_equal_all_pairs(spark):
+    """Random texts against every document and every parameter, in plain Python."""
+    rng = random.Random(3)
+    aliases = {"a": (["rate", "Total Rate"], ["percent", ""]), "b": (["件数", "数"], ["event"]), "c": (["GDP比"], ["percent"]), "d": (["%"], ["percent"]), "e": ([], ["day"]), "f": (["rate"], ["day"])}
+    bits = ["rate", "total rate", "RATE", "件数", "数", "GDP比", " ", "。", "1.5", "12%", "3件", "7 days", "4千", "未満", "以上", "x" * 30, "é", "_", "\n", "2,000", "10 - 20%"]
+    docs = [(i, "".join(rng.choices(bits, k=rng.randint(0, 60)))) for i in range(120)] + [(900, None), (901, ""), (902, "rate " * 3000 + "5%" + "数 3件 " * 3000)]
+
+    units = extraction.UNITS
+    one = re.compile(rf"({extraction.RUN})\s*({extraction.WRITTEN})?", re.I)
+
+    def want(text, names, expected):
+        options = []
+        numbers = [(m.start(), m[1], m[2], text[m.end() : m.end() + 2]) for m in one.finditer(text)]
+        for name in names:
+            if not re.search(r"[a-z0-9]|[^\x00-\x7f]", name, re.I):
+                continue
+            for p in re.finditer(rf"\b{name}\b" if name.isascii() else name, text, re.I if name.isascii() else 0):
+                for at, run, written, after in numbers:
+                    inside, far = p.start() <= at < p.end(), not p.start() - 40 <= at < p.end() + 120
+                    unit = units[written.lower()] if written else ""
+                    fits = unit in expected if unit else "" in expected and "." in run or not written and re.search("[兆億万千]", run)
+                    if fits and not inside and not far and after[:1] not in ("以", "超") and after != "未満":
+                        options.append((unit == "", abs(at - p.start()), at, unit))
+        return min(options, default=None)
+
+    asked = spark.createDataFrame([(k, *v) for k, v in aliases.items()], ASKED)
+    found = extraction.numbers_by_alias(spark.createDataFrame(docs, "id int, text string"), asked, "id", "text").collect()
+    got = {(r.id, r.parameter): (r.at, r.unit) for r in found}
+    every = {(i, k): want(t or "", *v) for i, t in docs if i < 902 for k, v in aliases.items()}
+    assert {k: v for k, v in got.items() if k[0] < 902} == {k: v[2:] for k, v in every.items() if v}
+    assert len(got) == len(found) and (902, "a") in got and (902, "b") in got
+
+
+def test_evidence_takes_tables_first(spark):
+    schema = "id int, text string, header array<string>, rows array<array<string>>"
+    docs = [(1, "piano count 9台", ["年", "piano count"], [["2020", "5台"]]), (2, "piano count 9台", ["年", "other"], [["2020", "5 days"]]), (3, None, None, None), (4, "調査方法: piano count 9台", None, None), (5, "x", [], [])]
+    asked = spark.createDataFrame([("p", ["piano count"], ["item"])], ASKED)
+    found = extraction.evidence(spark.createDataFrame(docs, schema), asked).collect()
+    assert sorted((r.id, r.method, r.value, r.row, r["column"]) for r in found) == [(1, "table", 5.0, 1, 2), (2, "text", 9.0, None, None)]
+    assert extraction.evidence(spark.createDataFrame([], schema), asked).count() == 0
 
 
 def test_extraction_checks(spark):
