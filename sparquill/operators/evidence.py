@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,3 +116,38 @@ def merge_relations(rows: DataFrame, a: str, b: str, strength: str, order: str)
     """(source, target, strength, n): one row for each unordered pair, in the direction of the first, with the greatest strength."""
     first = F.min_by(F.struct(F.col(a).alias("source"), F.col(b).alias("target")), order).alias("r")
     return rows.groupBy(F.least(a, b).alias("_a"), F.greatest(a, b).alias("_b")).agg(first, F.max(strength).alias("strength"), F.count("*").alias("n")).select("r.*", "strength", "n")
+
+
+def front(points: DataFrame, axes: list[str], tolerance: float = 1e-9, cells: int = 1024) -> DataFrame:
+    """Points that no other dominates over any number of axes (larger is better): at least as good in all, less the tolerance, and better by more than it in
+    one. Equal points stay together; a point with a null or NaN in an axis isn't in the front and dominates none.
+
+    Quantiles cut the first ten axes into at most `cells` cells. The best point by sum of each cell is broadcast (at most `cells` rows) and drops what is no
+    better than it in any axis and worse by more than the tolerance in one; such a point dominates nothing that its better doesn't. Of the others only cells
+    meet whose bounds allow it, and only whether a dominating point exists is asked, so anti-correlated points, which are all in the front, are spread.
+    """
+    known = reduce(lambda x, y: x & y, [F.col(a).isNotNull() & ~F.isnan(F.col(a).cast("double")) for a in axes])
+    values = stage(points.where(known).select(*(F.col(a).cast("double").alias(f"_{i}") for i, a in enumerate(axes))).distinct())
+    names = values.columns
+    gridded = names[:10]
+    cuts = max(1, int(cells ** (1 / len(gridded)) + 1e-9) - 1)
+    shares = [(i + 1) / (cuts + 1) for i in range(cuts)]
+    at = values.agg(*(F.percentile_approx(c, shares, 1000).alias(c) for c in gridded)).first()
+    step = lambda c: sum((F.when(F.col(c) >= v, 1).otherwise(0) for v in at[c] or []), F.lit(0))
+    placed = values.withColumn("_cell", F.concat_ws(",", *(step(c).cast("string") for c in gridded)))
+
+    every = lambda f: reduce(lambda x, y: x & y, map(f, names))
+    some = lambda f: reduce(lambda x, y: x | y, map(f, names))
+    of = lambda side, c: F.col(f"{side}.{c}")
+    better = some(lambda c: of("a", c) > of("b", c) + tolerance)
+    total = reduce(lambda x, y: x + y, map(F.col, names))
+    tops = placed.groupBy("_cell").agg(F.max_by(F.struct(*names), F.struct(total, *names)).alias("t")).select("t.*")
+    kept = stage(placed.alias("b").join(F.broadcast(tops.alias("a")), every(lambda c: of("a", c) >= of("b", c)) & better, "left_anti"))
+    bounds = kept.groupBy("_cell").agg(*(f(c).alias(f"{c}{n}") for c in names for f, n in ((F.max, "high"), (F.min, "low"))))
+    may = every(lambda c: of("a", f"{c}high") >= of("b", f"{c}low") - tolerance) & some(lambda c: of("a", f"{c}high") > of("b", f"{c}low") + tolerance)
+    meets = stage(F.broadcast(bounds.alias("a")).join(bounds.alias("b"), may).select(of("a", "_cell").alias("_by"), of("b", "_cell").alias("_cell")))
+    asked = kept.join(meets, "_cell").alias("b")
+    beaten = asked.join(kept.alias("a"), (F.col("b._by") == F.col("a._cell")) & every(lambda c: of("a", c) >= of("b", c) - tolerance) & better, "left_semi")
+    found = kept.select(*names).join(beaten.select(*names).distinct(), names, "left_anti")
+    keyed = points.where(known).withColumns({f"_{i}": F.col(a).cast("double") for i, a in enumerate(axes)})
+    return keyed.join(found, names, "left_semi").select(*points.columns)
