@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import units
+
 MOST_CHARS, MOST_NODES, MOST_EXPONENT = 2000, 200, 8
-#: Units by their dimensions and factor.
-UNITS = {"": ({}, 1.0), "percent": ({}, 0.01), "item": ({"item": 1}, 1.0), "person": ({"person": 1}, 1.0), "household": ({"household": 1}, 1.0), "event": ({"event": 1}, 1.0), "year": ({"time": 1}, 1.0), "month": ({"time": 1}, 1 / 12), "day": ({"time": 1}, 1 / 365)}
+UNITS = {"": ({}, 1.0), **units.DEFINED}
 
 
 def parse(formula: str) -> ast.expr:
@@ -77,14 +78,14 @@ def _times(a: tuple, b: tuple, sign: int) -> tuple[dict[str, int], float]:
     return {k: v for k, v in dims.items() if v}, a[1] * b[1] ** sign
 
 
-def unit_of(formula: str, units: dict[str, str]) -> tuple[dict[str, int], float]:
+def unit_of(formula: str, named: dict[str, str]) -> tuple[dict[str, int], float]:
     """Dimensions and factor of a formula's result; sums need equal ones."""
 
     def build(n: ast.expr) -> tuple[dict[str, int], float]:
         if isinstance(n, ast.Constant):
             return {}, 1.0
         if isinstance(n, ast.Name):
-            return unit(units[n.id])
+            return unit(named[n.id])
         if isinstance(n, ast.UnaryOp):
             return build(n.operand)
         a = build(n.left)
@@ -100,6 +101,6 @@ def unit_of(formula: str, units: dict[str, str]) -> tuple[dict[str, int], float]
     return build(parse(formula))
 
 
-def same_unit(formula: str, units: dict[str, str], wanted: str) -> bool:
-    a, b = unit_of(formula, units), unit(wanted)
+def same_unit(formula: str, named: dict[str, str], wanted: str) -> bool:
+    a, b = unit_of(formula, named), unit(wanted)
     return a[0] == b[0] and abs(a[1] / b[1] - 1) <= 1e-6

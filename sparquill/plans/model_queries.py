@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evidence, nested
+from ..operators import evidence, nested, rewriting, units
 from ..sources.tables import table
 from .queries import query
 
@@ -34,3 +34,36 @@ def nested_metrics(spark: SparkSession, d: str) -> DataFrame:
     fields = {"tokens_in": ("input_tokens", "prompt_tokens"), "tokens_out": ("output_tokens", "completion_tokens")}
     sums = nested.totals(events, "event_id", "json", "usage_metadata", fields)
     return sums.join(nested.first_under(events, "event_id", "json", "k").withColumnRenamed("value", "report"), "event_id", "left")
+
+
+@query("""WITH u(k, unit, wanted, factor, dims) AS (VALUES (0, '件/(台*年)', 'event/item/day', 1 / 365.25, 'item:-1,event:1,time:-1'), (1, '億円/社', 'man_yen/company', 10000.0, 'JPY:1,company:-1'), (2, 'km**2', 'm*m', 1e6, 'length:2'),
+(3, 'percent', '割', 0.1, ''), (4, 'item/person', 'item/household', NULL, 'person:-1,item:1'), (5, 'parsec', 'km', NULL, NULL), (6, 'JPY/(person·month)^-1', 'person*month*yen', 1.0, 'person:1,JPY:1,time:1'))
+SELECT event_id, CAST(round(value * factor, 9) AS DOUBLE) AS converted, dims AS dimensions, coalesce(k IN (6), false) AS directly FROM events JOIN u ON event_id % 7 = k""")
+def converted_values(spark: SparkSession, d: str) -> DataFrame:
+    """Events' values in compound units, converted, with their dimensions; some units are unknown or of another kind."""
+    pairs = [("件/(台*年)", "event/item/day"), ("億円/社", "man_yen/company"), ("km**2", "m*m"), ("percent", "割"), ("item/person", "item/household"), ("parsec", "km"), ("JPY/(person·month)^-1", "person*month*yen")]
+    kind = (F.col("event_id") % len(pairs)).cast("int")
+    unit, wanted = (F.get(F.array(*(F.lit(p[k]) for p in pairs)), kind) for k in (0, 1))
+    events = table(spark, d, "events").select("event_id", "value", unit.alias("unit"), wanted.alias("wanted"))
+    own, other = units.vector(F.col("unit")), units.vector(F.col("wanted"))
+    value = F.round(units.converted(F.col("value"), F.col("unit"), F.col("wanted")), 9)
+    return events.select("event_id", value.alias("converted"), units.dimension_text(own).alias("dimensions"), F.coalesce(units.same(own, other), F.lit(False)).alias("directly"))
+
+
+@query("""WITH m AS (SELECT p_partkey AS model, p_partkey % 6 AS k, CAST(p_size AS VARCHAR) AS n FROM part)
+SELECT model, CASE k WHEN 0 THEN n || ' * (boxes * pieces) * (price - rebate)' WHEN 1 THEN n || ' * (boxes + pieces) * (price - rebate)' WHEN 4 THEN '-(price - rebate) * pieces / ' || n || ' ** 2' ELSE n || ' * sold * (price - rebate)' END AS formula,
+k IN (0, 4, 5) AS accepted, CASE k WHEN 1 THEN NULL WHEN 2 THEN 'other scale' WHEN 3 THEN 'no formula' END AS reason FROM m WHERE k <> 1
+UNION ALL SELECT model, n || ' * sold * (price - rebate)', false, 'units of a sum differ' FROM m WHERE k = 1""")
+def rewritten_models(spark: SparkSession, d: str) -> DataFrame:
+    """A revenue formula for each part, whose sold pieces are replaced by another formula; wrong units, scales and texts are refused."""
+    kind = (F.col("p_partkey") % 6).cast("int")
+    n = F.col("p_size").cast("string")
+    base = F.concat(n, F.lit("*sold*(price - rebate)"))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("model"), kind.alias("k"), F.when(kind == 4, F.concat(F.lit("-(price-rebate)*sold/"), n, F.lit("**2"))).otherwise(base).alias("formula"), F.lit("JPY/day").alias("wanted"))
+    shapes = {0: "boxes*pieces", 1: "boxes + pieces", 2: "yearly", 3: "boxes **", 4: "pieces"}
+    given = F.create_map(*(F.lit(x) for p in shapes.items() for x in p))
+    put = parts.select("model", F.lit("sold").alias("name"), F.try_element_at(given, F.col("k")).alias("formula"), "k").where("formula IS NOT NULL")
+    said = {"price": "円/台", "rebate": "yen/item", "sold": "item/day", "yearly": "item/year", "boxes": "event/day", "pieces": "item/event"}
+    named = parts.select("model", "k", F.explode(F.create_map(*(F.lit(x) for p in said.items() for x in p))).alias("name", "unit"))
+    named = named.withColumn("unit", F.when((F.col("k") == 4) & (F.col("name") == "pieces"), "item/day").otherwise(F.col("unit"))).drop("k")
+    return rewriting.rewritten(parts.drop("k"), put.drop("k"), named)

@@ -1,9 +1,12 @@
 """Fronts, nested JSON, units and formulas as rows against plain Python."""
 
+import ast
 import json
 import random
 
-from sparquill.operators import evidence, nested
+from pyspark.sql import functions as F
+
+from sparquill.operators import evidence, formula, nested, rewriting, units
 
 
 def test_front_equals_all_pairs(spark):
@@ -57,3 +60,53 @@ def test_nested_values_equal_recursion(spark):
     assert len(sums) == len(docs) and all(sums[i] is None for i in (900, 901, 902))
     assert all((sums[i] is None) if not total(t) else abs(sums[i] - sum(total(t))) < 1e-9 for i, t in enumerate(trees))
     assert any(total(t) for t in trees)
+
+
+def test_unit_vectors(spark):
+    cases = {"": ("", 1.0), "1/year": ("time:-1", 1 / 365.25), "a": None, "person//day": None, "(person": None, "person/(day/hour)": ("person:1", 1 / 24), "km^-2": ("length:-2", 1e-6), "((day))": None, "*day": None, " 円 / 件 ": ("JPY:1,event:-1", 1.0)}
+    df = spark.createDataFrame([(u,) for u in cases], "u string").select("u", units.vector(F.col("u")).alias("v"))
+    for r in df.select("u", "v.factor", units.dimension_text(F.col("v")).alias("d")).collect():
+        assert (r.factor is None) if cases[r.u] is None else (r.d == cases[r.u][0] and abs(r.factor / cases[r.u][1] - 1) < 1e-12), r
+    assert spark.range(1).select(units.converted(F.lit(5), F.lit(None).cast("string"), F.lit("%")).alias("v")).first().v == 500.0
+
+
+def _random_formula(rng, depth):
+    if depth == 0 or rng.random() < 0.2:
+        return rng.choice(["a", "b", "c", "2", "1.5", "1000000"])
+    kind = rng.choice(["+", "-", "*", "/", "**", "neg"])
+    if kind == "neg":
+        return f"-({_random_formula(rng, depth - 1)})"
+    right = rng.choice("23") if kind == "**" else _random_formula(rng, depth - 1)
+    return f"({_random_formula(rng, depth - 1)}){kind}({right})"
+
+
+def test_formulas_come_back_and_units_agree(spark):
+    """Written out and parsed again a tree is the same; vectors equal those of the recursion over one formula."""
+    rng = random.Random(11)
+    given = {i: _random_formula(rng, 4) for i in range(60)} | {900: "+".join("abc" * 12), 901: "import os", 902: None, 903: ""}
+    said = {"a": "item/day", "b": "day", "c": "dimensionless"}
+    models = spark.createDataFrame(list(given.items()), "model int, formula string")
+    named = spark.createDataFrame([(i, n, u) for i in given for n, u in said.items()], "model int, name string, unit string")
+    found = {r.model: r for r in rewriting.folded(rewriting.trees(models), named).withColumn("d", units.dimension_text(F.col("vector"))).collect()}
+    assert found.keys() == given.keys() - {901, 902, 903}
+    refused = 0
+    for i, r in found.items():
+        assert ast.dump(ast.parse(r.text, mode="eval")) == ast.dump(ast.parse(given[i], mode="eval"))
+        try:
+            dims, factor = formula.unit_of(given[i], said)
+        except ValueError:
+            refused += 1
+            assert r.problem == "units of a sum differ"
+        else:
+            assert r.problem is None and abs(r.vector.factor / factor - 1) < 1e-9
+            assert r.d == ",".join(f"{d}:{dims[d]}" for d in units.DIMENSIONS if d in dims)
+    assert 0 < refused < len(found)
+
+
+def test_rewrites(spark):
+    models = spark.createDataFrame([(1, "a*b", "item"), (2, "a*b", "item"), (3, "a*a", "item"), (4, "x +", "item"), (5, "a - b", "item")], "model int, formula string, wanted string")
+    parts = spark.createDataFrame([(1, "a", "c - d"), (2, "a", "b"), (3, "a", "e**2"), (5, "b", "c")], "model int, name string, formula string")
+    named = spark.createDataFrame([(m, n, u) for m in range(1, 6) for n, u in (("a", "item/day"), ("b", "day"), ("c", "item/day"), ("d", "item/day"))], "model int, name string, unit string")
+    found = {r.model: tuple(r)[1:] for r in rewriting.rewritten(models, parts, named).collect()}
+    assert found == {1: ("(c - d) * b", True, None), 2: ("a * b", False, "other dimensions"), 3: ("a * a", False, "no unit of e"), 4: ("x +", False, "no formula"), 5: ("a - b", False, "other dimensions")}
+    assert rewriting.rewritten(models.where("model < 0"), parts, named).count() == 0
