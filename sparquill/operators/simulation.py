@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,3 +115,29 @@ def agreement(a_low: Column, a_mid: Column, a_high: Column, b_low: Column, b_mid
     shared = overlap(a_low, a_high, b_low, b_high)
     verdict = F.when((ratio <= 1.8) & (shared >= 0.3), "consistent").when(ratio <= 3, "moderate").otherwise("discrepant")
     return F.struct(ratio.alias("ratio"), shared.alias("overlap"), verdict.alias("verdict"))
+
+
+def scenarios(models: DataFrame, key: str, text: str, names: list[str], results: DataFrame | None = None, custom: dict[str, Column] | None = None) -> DataFrame:
+    """(key, kind, value): bear, base and bull are P10, P50 and P90 of `results` (summary's rows); extreme_low and extreme_high put every parameter at the
+    end that lowers or raises the result, which a run with that parameter alone at each end tells, so a divisor's high end lowers; custom takes values for
+    some parameters and the middle of the others.
+
+    Ends that are missing are the middle. Where a run has no result the two extremes are left out; other kinds without one are null. All is one row a model,
+    without a shuffle but for joining `results`.
+    """
+    middle = {n: F.col(f"{n}_mid").cast("double") for n in names}
+    low, high = ({n: F.coalesce(F.col(f"{n}_{end}").cast("double"), middle[n]) for n in names} for end in ("low", "high"))
+    runs = {n: (formula.column(text, middle | {n: low[n]}), formula.column(text, middle | {n: high[n]})) for n in names}
+    rising = models.withColumns({f"_{n}": a <= b for n, (a, b) in runs.items()} | {"_runs": F.lit(True) if not runs else reduce(lambda x, y: x & y, [a.isNotNull() & b.isNotNull() for a, b in runs.values()])})
+    worst = {n: F.when(F.col(f"_{n}"), low[n]).otherwise(high[n]) for n in names}
+    best = {n: F.when(F.col(f"_{n}"), high[n]).otherwise(low[n]) for n in names}
+    kinds = {}
+    if results is not None:
+        rising = rising.join(results.select(key, F.col("p10").alias("_p10"), F.col("p50").alias("_p50"), F.col("p90").alias("_p90")), key, "left")
+        kinds |= {"bear": F.col("_p10"), "base": F.col("_p50"), "bull": F.col("_p90")}
+    kinds |= {"extreme_low": formula.column(text, worst), "extreme_high": formula.column(text, best)}
+    if custom:
+        kinds["custom"] = formula.column(text, middle | custom)
+    rows = rising.select(key, "_runs", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()))))
+    extreme = F.col("kind").startswith("extreme")
+    return rows.where(~extreme | F.col("_runs") & F.col("value").isNotNull()).select(key, "kind", "value")

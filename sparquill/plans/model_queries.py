@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evidence, nested, rewriting, units
-from ..sources.tables import table
-from .queries import query
+from ..functions import questions
+from ..operators import evidence, nested, rewriting, simulation, statistics, units
+from ..sources import versions
+from ..sources.tables import stage_path, table
+from .queries import _brands, query
 
 DOMINATED = " AND ".join(f"a.{x} >= b.{x} - 1e-9" for x in "wxyz"), " OR ".join(f"a.{x} > b.{x} + 1e-9" for x in "wxyz")
 
@@ -67,3 +69,46 @@ def rewritten_models(spark: SparkSession, d: str) -> DataFrame:
     named = parts.select("model", "k", F.explode(F.create_map(*(F.lit(x) for p in said.items() for x in p))).alias("name", "unit"))
     named = named.withColumn("unit", F.when((F.col("k") == 4) & (F.col("name") == "pieces"), "item/day").otherwise(F.col("unit"))).drop("k")
     return rewriting.rewritten(parts.drop("k"), put.drop("k"), named)
+
+
+@query("""WITH b AS (SELECT p_brand, quantile_cont(p_retailprice, 0.1) AS pl, quantile_cont(p_retailprice, 0.5) AS pm, quantile_cont(p_retailprice, 0.9) AS ph, avg(p_size) AS s, count(*) AS n, quantile_cont(p_retailprice / p_size, 0.1) AS q1, quantile_cont(p_retailprice / p_size, 0.5) AS q5, quantile_cont(p_retailprice / p_size, 0.9) AS q9 FROM part GROUP BY 1),
+r AS (SELECT p_brand, unnest(['bear', 'base', 'bull', 'extreme_low', 'extreme_high', 'custom']) AS kind, unnest([q1, q5, q9, pl * 0.9 * n / (1.3 * s), ph * 1.2 * n / (0.8 * s), 2 * pm * n / s]) AS value FROM b) SELECT p_brand, kind, round(value + 1e-7, 4) AS value FROM r""")
+def brand_scenarios(spark: SparkSession, d: str) -> DataFrame:
+    """Scenarios of a brand's price * count / size: quantiles of the parts' own prices by size, extremes by direction, and a doubled price."""
+    parts = table(spark, d, "part").withColumn("y", F.try_divide("p_retailprice", "p_size"))
+    results = statistics.quantiles(parts, ["p_brand"], "y", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    found = simulation.scenarios(_brands(spark, d), "p_brand", "price * count / size", ["price", "size", "count"], results, {"price": F.col("price_mid") * 2})
+    return found.withColumn("value", F.round(F.col("value") + 1e-7, 4))
+
+
+@query("""WITH q(k, place, period, kind, unit, assumed) AS (VALUES (0, '東京都', '', 'stock', 'person', ''), (1, '日本', '1年間', 'flow', 'JPY', 'place'), (2, '日本', '1日', 'flow', 'event', 'unit'), (3, '横浜市', '', 'stock', 'item', ''), (4, '日本', '', 'stock', 'event', 'place,year,kind,unit'))
+SELECT event_id, place, CASE WHEN k = 4 THEN '2026' ELSE CAST(1990 + user_id % 30 AS VARCHAR) END AS year, period, kind, unit, assumed FROM events JOIN q ON event_id % 5 = k""")
+def asked_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Questions about events' users, what they ask for, and what has to be assumed."""
+    year = (1990 + F.col("user_id") % 30).cast("string")
+    shapes = [F.concat(year, F.lit("年の東京都にピアノ調律師は何人いる?")), F.concat(year, F.lit("年の傘の年間売上はいくら")), F.concat(F.lit("全国で1日に捨てられる傘は、"), year, F.lit("年")), F.concat(F.lit("横浜市の車の台数は"), year, F.lit("年")), F.col("event_type")]
+    question = F.get(F.array(*shapes), (F.col("event_id") % 5).cast("int"))
+    asked = table(spark, d, "events").select("event_id", questions.asked(question).alias("a"))
+    return asked.select("event_id", "a.place", "a.year", "a.period", "a.kind", "a.unit", F.array_join("a.assumed", ",").alias("assumed"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'second' ELSE 'first' END AS run, CASE WHEN doc_id % 2 = 0 THEN source END AS summary,
+CASE WHEN doc_id % 5 = 0 THEN 1 ELSE len(string_split(text, chr(10))) END AS pieces, CAST(length(text) - CASE WHEN doc_id % 5 = 0 THEN 0 ELSE len(string_split(text, chr(10))) - 1 END AS BIGINT) AS chars,
+coalesce((SELECT count(*) FROM embeddings WHERE vec_id = doc_id AND embedding IS NOT NULL), 0) AS vectors FROM documents WHERE text IS NOT NULL""")
+def published_ingests(spark: SparkSession, d: str) -> DataFrame:
+    """Documents taken in as lines, every fifth again as a whole without its summary, every third once more by a run that is cut short and cleaned up."""
+    path = stage_path(spark)
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    lines = lambda rows, sep: rows.select("doc_id", F.posexplode(F.split("text", sep)).alias("place", "text"))
+    vectors = table(spark, d, "embeddings").where("embedding IS NOT NULL").withColumnRenamed("vec_id", "doc_id").drop("label")
+    summary = F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("summary")
+    names = [versions.HEADS, "pieces", "vectors"]
+    for run, rows, sep, said in (("first", docs, "\n", summary), ("second", docs.where("doc_id % 5 = 0"), "(?!)", F.lit(None).cast("string").alias("summary")), ("third", docs.where("doc_id % 3 = 0"), " ", summary)):
+        versions.write({versions.HEADS: rows.select("doc_id", said), "pieces": lines(rows, sep), "vectors": vectors.join(rows.select("doc_id"), "doc_id", "left_semi")}, path, run)
+        if run != "third":
+            versions.publish(spark, path, run, names)
+    versions.clean_up(spark, path, names)
+    heads = versions.read(spark, path, versions.HEADS, "doc_id", keep=["summary"])
+    pieces = versions.read(spark, path, "pieces", "doc_id").groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum(F.length("text")).alias("chars"))
+    counted = versions.read(spark, path, "vectors", "doc_id").groupBy("doc_id").agg(F.count("*").alias("vectors"))
+    return heads.join(pieces, "doc_id", "left").join(counted, "doc_id", "left").fillna(0, ["vectors"])

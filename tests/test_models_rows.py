@@ -6,7 +6,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from sparquill.operators import evidence, formula, nested, rewriting, units
+from sparquill.functions import questions
+from sparquill.operators import evidence, formula, nested, rewriting, simulation, units
+from sparquill.sources import versions
 
 
 def test_front_equals_all_pairs(spark):
@@ -110,3 +112,35 @@ def test_rewrites(spark):
     found = {r.model: tuple(r)[1:] for r in rewriting.rewritten(models, parts, named).collect()}
     assert found == {1: ("(c - d) * b", True, None), 2: ("a * b", False, "other dimensions"), 3: ("a * a", False, "no unit of e"), 4: ("x +", False, "no formula"), 5: ("a - b", False, "other dimensions")}
     assert rewriting.rewritten(models.where("model < 0"), parts, named).count() == 0
+
+
+def test_a_run_cut_between_two_writes_is_not_seen(spark, tmp_path):
+    path, names = str(tmp_path / "store"), ["heads", "chunks", "vectors"]
+    of = lambda ids, word, summary=None: {"heads": spark.createDataFrame([(i, summary) for i in ids], "id int, summary string"), "chunks": spark.createDataFrame([(i, f"{word}{k}") for i in ids for k in range(2)], "id int, text string"), "vectors": spark.createDataFrame([(i, [1.0]) for i in ids], "id int, v array<double>")}
+    seen = lambda: sorted((r.id, r.text) for r in versions.read(spark, path, "chunks", "id").collect())
+    versions.write(of([1, 2], "a", "kept"), path, "r1")
+    assert seen() == [] and versions.publish(spark, path, "r1", names) == 1
+    first = seen()
+    assert first == [(1, "a0"), (1, "a1"), (2, "a0"), (2, "a1")]
+    cut = of([2, 3], "b")
+    cut["chunks"].write.parquet(f"{path}/chunks/run=r2")  # ends before vectors and heads are written
+    assert seen() == first and versions.clean_up(spark, path, names, active=["r2"]) == []
+    assert versions.clean_up(spark, path, names) == [("chunks", "r2", 4)] and versions.clean_up(spark, path, names) == []
+    versions.write(cut, path, "r2")  # the run begins anew
+    assert seen() == first and versions.publish(spark, path, "r2", names) == 2 and versions.publish(spark, path, "r2", names) == 2
+    assert seen() == [(1, "a0"), (1, "a1"), (2, "b0"), (2, "b1"), (3, "b0"), (3, "b1")]
+    heads = {r.id: r.summary for r in versions.read(spark, path, "heads", "id", keep=["summary"]).collect()}
+    assert heads == {1: "kept", 2: "kept", 3: None}
+
+
+def test_extremes_without_a_run_are_left_out(spark):
+    m = spark.createDataFrame([(1, 1.0, 2.0, None, 1.0, 2.0, 4.0), (2, 1.0, 2.0, 3.0, 0.0, 2.0, 4.0)], "k int, a_low double, a_mid double, a_high double, b_low double, b_mid double, b_high double")
+    found = {(r.k, r.kind): r.value for r in simulation.scenarios(m, "k", "a / b", ["a", "b"], custom={"b": F.lit(0.0)}).collect()}
+    assert found == {(1, "extreme_low"): 0.25, (1, "extreme_high"): 2.0, (1, "custom"): None, (2, "custom"): None}
+
+
+def test_questions(spark):
+    ask = lambda q, **hints: spark.range(1).select(questions.asked(F.lit(q).cast("string"), **{k: F.lit(v) for k, v in hints.items()}).alias("a")).first().a
+    assert tuple(ask(None)) == ("日本", "2026", "", "stock", "event", "件", ["place", "year", "kind", "unit"])
+    assert tuple(ask("全国の車は何台ある", year="2020", unit="本")) == ("日本", "2020", "", "stock", "item", "本", [])
+    assert ask("京都市場の件数は").place == "日本" and ask("2021年の人数").period == "" and ask("月間何回").period == "1か月" and ask("x", unit="tons").assumed[-1] == "unit"
