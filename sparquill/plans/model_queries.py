@@ -9,6 +9,7 @@ from ..functions import questions
 from ..operators import evidence, nested, rewriting, simulation, statistics, units
 from ..sources import versions
 from ..sources.tables import stage_path, table
+from ..streaming import events
 from .queries import _brands, query
 
 DOMINATED = " AND ".join(f"a.{x} >= b.{x} - 1e-9" for x in "wxyz"), " OR ".join(f"a.{x} > b.{x} + 1e-9" for x in "wxyz")
@@ -32,10 +33,10 @@ def nested_metrics(spark: SparkSession, d: str) -> DataFrame:
     report = F.when(kind == 0, F.format_string('"k": "top %s", ', "event_type")).otherwise('"k": null, ')
     deep = F.when(kind == 3, F.concat(F.lit('[[[[[[[{"v": '), "props", F.lit("}]]]]]]]"))).otherwise(F.concat(F.lit('{"z": ['), "props", F.lit(', {"k": "later"}]}')))
     json = F.concat(F.lit("{"), report, F.lit('"deep": '), deep, F.lit(', "messages": [1, null, '), F.coalesce(used, F.lit('"none"')), F.lit("]}"))
-    events = table(spark, d, "events").select("event_id", json.alias("json"))
+    rows = table(spark, d, "events").select("event_id", json.alias("json"))
     fields = {"tokens_in": ("input_tokens", "prompt_tokens"), "tokens_out": ("output_tokens", "completion_tokens")}
-    sums = nested.totals(events, "event_id", "json", "usage_metadata", fields)
-    return sums.join(nested.first_under(events, "event_id", "json", "k").withColumnRenamed("value", "report"), "event_id", "left")
+    sums = nested.totals(rows, "event_id", "json", "usage_metadata", fields)
+    return sums.join(nested.first_under(rows, "event_id", "json", "k").withColumnRenamed("value", "report"), "event_id", "left")
 
 
 @query("""WITH u(k, unit, wanted, factor, dims) AS (VALUES (0, '件/(台*年)', 'event/item/day', 1 / 365.25, 'item:-1,event:1,time:-1'), (1, '億円/社', 'man_yen/company', 10000.0, 'JPY:1,company:-1'), (2, 'km**2', 'm*m', 1e6, 'length:2'),
@@ -46,10 +47,10 @@ def converted_values(spark: SparkSession, d: str) -> DataFrame:
     pairs = [("件/(台*年)", "event/item/day"), ("億円/社", "man_yen/company"), ("km**2", "m*m"), ("percent", "割"), ("item/person", "item/household"), ("parsec", "km"), ("JPY/(person·month)^-1", "person*month*yen")]
     kind = (F.col("event_id") % len(pairs)).cast("int")
     unit, wanted = (F.get(F.array(*(F.lit(p[k]) for p in pairs)), kind) for k in (0, 1))
-    events = table(spark, d, "events").select("event_id", "value", unit.alias("unit"), wanted.alias("wanted"))
+    rows = table(spark, d, "events").select("event_id", "value", unit.alias("unit"), wanted.alias("wanted"))
     own, other = units.vector(F.col("unit")), units.vector(F.col("wanted"))
     value = F.round(units.converted(F.col("value"), F.col("unit"), F.col("wanted")), 9)
-    return events.select("event_id", value.alias("converted"), units.dimension_text(own).alias("dimensions"), F.coalesce(units.same(own, other), F.lit(False)).alias("directly"))
+    return rows.select("event_id", value.alias("converted"), units.dimension_text(own).alias("dimensions"), F.coalesce(units.same(own, other), F.lit(False)).alias("directly"))
 
 
 @query("""WITH m AS (SELECT p_partkey AS model, p_partkey % 6 AS k, CAST(p_size AS VARCHAR) AS n FROM part)
@@ -112,3 +113,11 @@ def published_ingests(spark: SparkSession, d: str) -> DataFrame:
     pieces = versions.read(spark, path, "pieces", "doc_id").groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum(F.length("text")).alias("chars"))
     counted = versions.read(spark, path, "vectors", "doc_id").groupBy("doc_id").agg(F.count("*").alias("vectors"))
     return heads.join(pieces, "doc_id", "left").join(counted, "doc_id", "left").fillna(0, ["vectors"])
+
+
+@query("""WITH s AS (SELECT DISTINCT user_id AS key, epoch_ms(ts) AS last FROM events), w AS (SELECT *, lead(last) OVER (PARTITION BY key ORDER BY last) AS n, max(last) OVER () - 600000 AS mark FROM s)
+SELECT key, make_timestamp(last * 1000) AS last FROM w WHERE (n IS NULL OR n - last > 43200000) AND last + 43200000 < mark""")
+def silent_users(spark: SparkSession, d: str) -> DataFrame:
+    """Times after which a user gave no sign for half a day."""
+    beats = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("time"))
+    return events.silences_in(beats, 43200, 600).withColumn("last", F.timestamp_millis("last").cast("timestamp_ntz"))

@@ -156,3 +156,66 @@ def ingested(docs: DataFrame, path: str, log: str) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     docs.writeStream.option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
+
+
+class Watch(StatefulProcessor):
+    """Signs of life of a key as milliseconds. A sign is dropped once another follows within `limit` and no earlier one can come; one that none follows is
+    told as soon as the watermark has passed its time by `limit`. So the state holds what lies within the lateness, and nothing of a key that is told."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "signs array<long>")
+
+    def _told(self, key, signs: list[int], watermark: int) -> Iterator[pd.DataFrame]:
+        following = [*signs[1:], None]
+        alive = [n is not None and n - t <= self.limit for t, n in zip(signs, following, strict=True)]
+        silent = [t for t, ok in zip(signs, alive, strict=True) if not ok and t + self.limit < watermark]
+        kept = [t for t, ok in zip(signs, alive, strict=True) if (t >= watermark if ok else t + self.limit >= watermark)]
+        if kept:
+            self.state.update((kept,))
+            waiting = [t for t, ok in zip(signs, alive, strict=True) if not ok and t + self.limit >= watermark]
+            if waiting:
+                self.handle.registerTimer(waiting[0] + self.limit + 1)
+        else:
+            self.state.clear()
+        if silent:
+            yield pd.DataFrame({"key": [key[0]] * len(silent), "last": silent, "held": [len(kept)] * len(silent)})
+
+    def _signs(self) -> set[int]:
+        return set(self.state.get()[0]) if self.state.exists() else set()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        signs = self._signs()
+        for pdf in rows:
+            signs.update(pdf["ms"].tolist())
+        yield from self._told(key, sorted(signs), timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._told(key, sorted(self._signs()), timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def silences(beats: DataFrame, seconds: int, late: str) -> DataFrame:
+    """A stream of (key, time) to (key, last in milliseconds, held): each sign of life that no other follows within `seconds`, once the watermark, which
+    stays `late` behind the newest time, has passed that time. Signs that come later than that are dropped; order and repeats of the others don't matter."""
+    marked = beats.where(F.col("key").isNotNull() & F.col("time").isNotNull()).withWatermark("time", late).select("key", "time", F.unix_millis(F.col("time").cast("timestamp")).alias("ms"))
+    return marked.groupBy("key").transformWithStateInPandas(statefulProcessor=Watch(seconds * 1000), outputStructType="key long, last long, held int", outputMode="Append", timeMode="EventTime")
+
+
+def silences_in(beats: DataFrame, seconds: int, late: int) -> DataFrame:
+    """The same of a table at its end: (key, last in milliseconds), with the lateness in seconds."""
+    signs = beats.where(F.col("key").isNotNull() & F.col("time").isNotNull()).select("key", F.unix_millis(F.col("time").cast("timestamp")).alias("last")).distinct()
+    mark = signs.agg((F.max("last") - late * 1000).alias("_mark"))
+    then = F.lead("last").over(Window.partitionBy("key").orderBy("last"))
+    ended = signs.withColumn("_next", then).where(F.col("_next").isNull() | (F.col("_next") - F.col("last") > seconds * 1000))
+    return ended.join(F.broadcast(mark), F.col("last") + seconds * 1000 < F.col("_mark")).select("key", "last")
+
+
+def once_within(events: DataFrame, id: str, time: str, late: str) -> DataFrame:
+    """A stream in which each idempotency key passes once; a key's state is dropped when the watermark, `late` behind the newest time, has passed it."""
+    return events.withWatermark(time, late).dropDuplicatesWithinWatermark([id])
