@@ -115,7 +115,7 @@ def published_ingests(spark: SparkSession, d: str) -> DataFrame:
     return heads.join(pieces, "doc_id", "left").join(counted, "doc_id", "left").fillna(0, ["vectors"])
 
 
-@query("""WITH s AS (SELECT DISTINCT user_id AS key, epoch_ms(ts) AS last FROM events), w AS (SELECT *, lead(last) OVER (PARTITION BY key ORDER BY last) AS n, max(last) OVER () - 600000 AS mark FROM s)
+@query("""WITH s AS (SELECT DISTINCT user_id AS key, epoch_us(ts) // 1000 AS last FROM events), w AS (SELECT *, lead(last) OVER (PARTITION BY key ORDER BY last) AS n, max(last) OVER () - 600000 AS mark FROM s)
 SELECT key, make_timestamp(last * 1000) AS last FROM w WHERE (n IS NULL OR n - last > 43200000) AND last + 43200000 < mark""")
 def silent_users(spark: SparkSession, d: str) -> DataFrame:
     """Times after which a user gave no sign for half a day."""
