@@ -121,3 +121,37 @@ def usable(evidence: DataFrame, by: str, score: str, accepted: str, reason: str,
     own = F.coalesce(F.nullif(F.col(cluster).cast("string"), F.lit("")), F.concat(F.lit("#"), F.col(id).cast("string")))
     rest = F.struct(*(c for c in evidence.columns if c != by))
     return kept.groupBy(by, own.alias("_cluster")).agg(F.min_by(rest, F.struct(-F.col(score), F.col(id))).alias("_r")).select(by, "_r.*")
+
+
+def estimates(parameters: DataFrame, evidence: DataFrame, by: str, value: str, weight: str, order: str, low: str, high: str, reach: float = 3.0) -> DataFrame:
+    """(by, n, low, central, high, distribution, confidence) of every parameter from evidence that may be fused (see usable), with its own ends `low` and
+    `high` or nulls; one without evidence has n 0 and nulls, and no value is made up.
+
+    Outliers on logarithms go first. A single value keeps its own range where both ends are there, else gets half as much again each way (where it isn't
+    positive, half its size each way, or 1). Of several the weighted median with P10 and P90, on logarithms where all are positive, and 15 % each way where
+    they lie within 10 %. Values that aren't all positive are triangular, a range of over ten times is log-uniform, others are log-normal.
+    """
+    fences = log_fences(evidence.where(F.col(value).isNotNull() & (F.col(weight) > 0)), [by], value, reach).select(by, F.col("low").alias("_least"), F.col("high").alias("_most"))
+    kept = evidence.where(F.col(value).isNotNull() & (F.col(weight) > 0)).join(fences, by, "left")
+    kept = stage(kept.where(F.col("_least").isNull() | F.col(value).between(F.col("_least"), F.col("_most"))).drop("_least", "_most"))
+    one = F.min_by(F.struct(F.col(value).cast("double").alias("v"), F.col(low).cast("double").alias("low"), F.col(high).cast("double").alias("high")), order)
+    groups = kept.groupBy(by).agg(F.count("*").alias("n"), F.avg(weight).alias("_mean"), (F.min(value) > 0).alias("_positive"), one.alias("_one"))
+    logs = kept.join(groups.select(by, (F.col("_positive") & (F.col("n") > 1)).alias("_log")), by)
+    logs = logs.withColumn("_x", F.when(F.col("_log"), F.log(value)).otherwise(F.col(value)))
+    q = weighted_quantiles(logs, [by], "_x", weight, {"_low": 0.1, "_mid": 0.5, "_high": 0.9}, [order]).join(groups, by)
+    back = {c: F.when(F.col("_positive") & (F.col("n") > 1), F.exp(c)).otherwise(F.col(c)) for c in ("_low", "_mid", "_high")}
+    q = q.withColumns(back)
+    mid, single, positive = F.col("_mid"), F.col("n") == 1, F.col("_positive")
+    own = single & F.col("_one.low").isNotNull() & F.col("_one.high").isNotNull()
+    half = F.when(mid == 0, 1.0).otherwise(F.abs(mid) * 0.5)
+    narrow = positive & (F.col("_high") / F.col("_low") < 1.1)
+    ends = {
+        "low": F.when(own, F.col("_one.low")).when(single & positive, mid / 1.5).when(single, mid - half).when(narrow, mid / 1.15).otherwise(F.col("_low")),
+        "high": F.when(own, F.col("_one.high")).when(single & positive, mid * 1.5).when(single, mid + half).when(narrow, mid * 1.15).otherwise(F.col("_high")),
+    }
+    told = q.select(by, "n", ends["low"].alias("low"), mid.alias("central"), ends["high"].alias("high"), "_positive", "_mean")
+    wide = (F.col("low") > 0) & (F.col("high") / F.col("low") > 10)
+    kind = F.when(~F.col("_positive"), "triangular").when(wide, "loguniform").otherwise("lognormal")
+    sure = F.round(F.least(F.lit(1.0), F.col("_mean") / 100 * (1 + 0.05 * (F.col("n") - 1))), 3)
+    told = told.select(by, "n", "low", "central", "high", kind.alias("distribution"), sure.alias("confidence"))
+    return parameters.select(by).distinct().join(told, by, "left").fillna(0, ["n"])

@@ -121,3 +121,26 @@ def silent_users(spark: SparkSession, d: str) -> DataFrame:
     """Times after which a user gave no sign for half a day."""
     beats = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("time"))
     return events.silences_in(beats, 43200, 600).withColumn("last", F.timestamp_millis("last").cast("timestamp_ntz"))
+
+
+@query("""WITH e AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 9 = 0 THEN 'one/' || p_partkey ELSE p_brand || '/' || p_size % 8 END AS parameter, CASE WHEN p_partkey % 36 = 0 OR p_partkey % 61 = 0 THEN -p_retailprice WHEN p_partkey % 13 = 0 THEN p_retailprice * 100 ELSE p_retailprice END AS value, 30 + p_partkey % 60 AS w FROM part),
+u AS (SELECT *, CASE WHEN id % 2 = 0 THEN value - 50 END AS lo, CASE WHEN id % 2 = 0 THEN value + 20000 END AS hi FROM e WHERE id % 5 <> 1),
+f AS (SELECT parameter, quantile_cont(ln(value), 0.25) AS a, quantile_cont(ln(value), 0.75) AS b FROM u GROUP BY 1 HAVING count(*) >= 4 AND min(value) > 0),
+k AS (SELECT u.*, count(*) OVER p AS n, min(value) OVER p > 0 AS positive, avg(w) OVER p AS mean FROM u LEFT JOIN f USING (parameter) WHERE a IS NULL OR value BETWEEN exp(a - 3 * (b - a)) AND exp(b + 3 * (b - a)) WINDOW p AS (PARTITION BY parameter)),
+x AS (SELECT *, CASE WHEN positive AND n > 1 THEN ln(value) ELSE value END AS x FROM k),
+c AS (SELECT *, (sum(w) OVER (PARTITION BY parameter ORDER BY x, id ROWS UNBOUNDED PRECEDING) - w / 2.0) / sum(w) OVER (PARTITION BY parameter) AS c FROM x),
+q AS (SELECT parameter, q, max(c) FILTER (c <= q) AS ca, arg_max(x, c) FILTER (c <= q) AS va, min(c) FILTER (c > q) AS cb, arg_min(x, c) FILTER (c > q) AS vb FROM c, (VALUES (0.1), (0.5), (0.9)) t(q) GROUP BY ALL),
+r AS (SELECT parameter, q, CASE WHEN ca IS NULL THEN vb WHEN cb IS NULL THEN va ELSE va + (vb - va) * (q - ca) / (cb - ca) END AS v FROM q),
+g AS (SELECT parameter, any_value(n) AS n, bool_and(positive) AS positive, any_value(mean) AS mean, min(lo) AS lo, min(hi) AS hi FROM k GROUP BY 1),
+h AS (SELECT parameter, n, positive, mean, lo, hi, max(CASE WHEN positive AND n > 1 THEN exp(v) ELSE v END) FILTER (q = 0.1) AS a, max(CASE WHEN positive AND n > 1 THEN exp(v) ELSE v END) FILTER (q = 0.5) AS m, max(CASE WHEN positive AND n > 1 THEN exp(v) ELSE v END) FILTER (q = 0.9) AS z FROM r JOIN g USING (parameter) GROUP BY ALL),
+s AS (SELECT *, CASE WHEN n = 1 AND lo IS NOT NULL THEN lo WHEN n = 1 AND positive THEN m / 1.5 WHEN n = 1 THEN m - abs(m) / 2 WHEN positive AND z / a < 1.1 THEN m / 1.15 ELSE a END AS low, CASE WHEN n = 1 AND hi IS NOT NULL THEN hi WHEN n = 1 AND positive THEN m * 1.5 WHEN n = 1 THEN m + abs(m) / 2 WHEN positive AND z / a < 1.1 THEN m * 1.15 ELSE z END AS high FROM h)
+SELECT parameter, coalesce(n, 0) AS n, round(low + 1e-7, 3) AS low, round(m + 1e-7, 3) AS central, round(high + 1e-7, 3) AS high, CASE WHEN NOT positive THEN 'triangular' WHEN low > 0 AND high / low > 10 THEN 'loguniform' WHEN n > 0 THEN 'lognormal' END AS distribution, CASE WHEN n > 0 THEN round(least(1, mean / 100 * (1 + 0.05 * (n - 1))), 3) END AS confidence FROM (SELECT DISTINCT parameter FROM e) LEFT JOIN s USING (parameter)""")
+def parameter_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """Parameters of many parts and of a single one, some negative, some without evidence that may be used."""
+    k, price = F.col("p_partkey"), F.col("p_retailprice")
+    name = F.when(k % 9 == 0, F.concat(F.lit("one/"), k.cast("string"))).otherwise(F.concat("p_brand", F.lit("/"), (F.col("p_size") % 8).cast("string")))
+    value = F.when((k % 36 == 0) | (k % 61 == 0), -price).when(k % 13 == 0, price * 100).otherwise(price)
+    rows = table(spark, d, "part").select(k.alias("id"), name.alias("parameter"), value.alias("value"), (30 + k % 60).alias("w"))
+    rows = rows.withColumns({"lo": F.when(F.col("id") % 2 == 0, F.col("value") - 50), "hi": F.when(F.col("id") % 2 == 0, F.col("value") + 20000)})
+    found = statistics.estimates(rows, rows.where("id % 5 <> 1"), "parameter", "value", "w", "id", "lo", "hi")
+    return found.select("parameter", "n", *(F.round(F.col(c) + 1e-7, 3).alias(c) for c in ("low", "central", "high")), "distribution", "confidence")
