@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import questions
-from ..operators import evidence, nested, rewriting, simulation, statistics, units
+from ..operators import evidence, nested, retrieval, rewriting, search, simulation, statistics, units
 from ..sources import versions
 from ..sources.tables import stage_path, table
 from ..streaming import events
@@ -144,3 +144,13 @@ def parameter_estimates(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.withColumns({"lo": F.when(F.col("id") % 2 == 0, F.col("value") - 50), "hi": F.when(F.col("id") % 2 == 0, F.col("value") + 20000)})
     found = statistics.estimates(rows, rows.where("id % 5 <> 1"), "parameter", "value", "w", "id", "lo", "hi")
     return found.select("parameter", "n", *(F.round(F.col(c) + 1e-7, 3).alias(c) for c in ("low", "central", "high")), "distribution", "confidence")
+
+
+@query("""WITH r AS (SELECT lang AS question, 'title ' || doc_id % 40 AS title, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS k, doc_id % 40 AS t FROM documents WHERE lang IS NOT NULL),
+b AS (SELECT question, title, min(k) AS k FROM r WHERE t <> 7 GROUP BY ALL) SELECT question, title, CAST(row_number() OVER (PARTITION BY question ORDER BY k) AS INT) AS rank FROM b QUALIFY rank <= 12""")
+def located_titles(spark: SparkSession, d: str) -> DataFrame:
+    """The first twelve titles of each language's documents by length; some documents share a title, some have none."""
+    docs = table(spark, d, "documents").where("lang IS NOT NULL")
+    title = F.when(F.col("doc_id") % 40 != 7, F.concat(F.lit("title "), (F.col("doc_id") % 40).cast("string"))).otherwise(" ")
+    ranked = retrieval.top(docs.select(F.col("lang").alias("question"), "doc_id", "n_chars", title.alias("title")), ["question"], [F.desc("n_chars"), F.asc("doc_id")], 2**31 - 1)
+    return search.titles(ranked, "title", 12)
