@@ -9,7 +9,7 @@ from ..functions import questions
 from ..operators import evidence, nested, retrieval, rewriting, search, simulation, statistics, units
 from ..sources import versions
 from ..sources.tables import stage_path, table
-from ..streaming import events
+from ..streaming import breakers, events
 from .queries import _brands, query
 
 DOMINATED = " AND ".join(f"a.{x} >= b.{x} - 1e-9" for x in "wxyz"), " OR ".join(f"a.{x} > b.{x} + 1e-9" for x in "wxyz")
@@ -154,3 +154,16 @@ def located_titles(spark: SparkSession, d: str) -> DataFrame:
     title = F.when(F.col("doc_id") % 40 != 7, F.concat(F.lit("title "), (F.col("doc_id") % 40).cast("string"))).otherwise(" ")
     ranked = retrieval.top(docs.select(F.col("lang").alias("question"), "doc_id", "n_chars", title.alias("title")), ["question"], [F.desc("n_chars"), F.asc("doc_id")], 2**31 - 1)
     return search.titles(ranked, "title", 12)
+
+
+@query("""WITH e AS (SELECT user_id % 12 AS key, event_id, epoch_us(ts) // 1000 AS ms, event_type <> 'purchase' AS bad, max(epoch_us(ts) // 1000) OVER () - 600000 AS mark FROM events),
+r AS (SELECT *, count(*) FILTER (NOT bad) OVER (PARTITION BY key ORDER BY ms, event_id) AS run, min(CASE WHEN NOT bad THEN ms END) OVER (PARTITION BY key ORDER BY ms, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS good FROM e WHERE ms < mark),
+n AS (SELECT *, row_number() OVER (PARTITION BY key, run ORDER BY ms, event_id) AS n FROM r WHERE bad), f AS (SELECT *, coalesce(ms > lag(ms) OVER (PARTITION BY key, run ORDER BY ms, event_id) + 3600000, true) AS fresh FROM n WHERE n >= 3),
+p AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY key, run ORDER BY ms, event_id) AS part FROM f),
+o AS (SELECT key, min(ms) AS opened, least(max(ms) + 3600000, min(good)) AS closed, CAST(count(*) AS INT) AS failures, any_value(mark) AS mark FROM p GROUP BY key, run, part)
+SELECT key, make_timestamp(opened * 1000) AS opened, make_timestamp(closed * 1000) AS closed, failures FROM o WHERE closed < mark""")
+def breaker_openings(spark: SparkSession, d: str) -> DataFrame:
+    """When the circuits of twelve groups of users were open: three events in a row without a purchase open one, for an hour from the last of them."""
+    calls = table(spark, d, "events").select((F.col("user_id") % 12).alias("key"), F.col("event_id").alias("id"), F.col("ts").alias("time"), (F.col("event_type") != "purchase").alias("failed"))
+    found = breakers.openings_in(calls, 3, 3600, 600)
+    return found.withColumns({c: F.timestamp_millis(c).cast("timestamp_ntz") for c in ("opened", "closed")})
