@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import cosine
 from . import graph, retrieval, trees
 
 # Kinds of blocks that a question may be limited to.
@@ -105,6 +106,34 @@ def sections_of(picked: DataFrame, tree: DataFrame, doc: str, order: str, sectio
     return kinds.join(other, ["doc", "root"]).where(~(F.col("_s") & F.col("_other"))).select("doc", "node").distinct()
 
 
+def ranked_sections(asked: DataFrame, titles: DataFrame, most: int | None = 60) -> DataFrame:
+    """(question, doc, node, rank) of the sections of a question's document, by the cosine of their titles with the question, at most `most`: those that a model
+    may choose from. Of `asked` (question, doc, vector) and `titles` (doc, node, vector); a title without a vector counts as 0, equal ones go by place."""
+    pairs = asked.select("question", "doc", F.col("vector").alias("_q")).join(titles.select("doc", "node", "vector"), "doc")
+    near = pairs.select("question", "doc", "node", cosine("_q", "vector").alias("_c"))
+    return retrieval.top(near, ["question", "doc"], [F.desc("_c"), F.asc("node")], most or 2**31 - 1).drop("_c")
+
+
+def selected_by_section(asked: DataFrame, titles: DataFrame, tree: DataFrame, doc: str, order: str, section: Column, chosen: DataFrame | None = None, fallback: int = 3) -> DataFrame:
+    """(question, doc, node): what is below the sections chosen for a question (question, node), or below the `fallback` nearest where none of those chosen is
+    a section of its document. Sections themselves only if nothing else is there. A document without sections gives all its blocks."""
+    ranked = ranked_sections(asked, titles, None)
+    if chosen is None:
+        roots = ranked.where(F.col("rank") <= fallback)
+    else:
+        marked = ranked.join(chosen.select("question", "node", F.lit(True).alias("_c")).distinct(), ["question", "node"], "left")
+        told = marked.withColumn("_told", F.max("_c").over(Window.partitionBy("question", "doc")))
+        roots = told.where(F.when(F.col("_told"), F.col("_c")).otherwise(F.col("rank") <= fallback))
+    roots = roots.select("question", "doc", F.col("node").alias("root"))
+    blocks = tree.select(F.col(doc).alias("doc"), F.col(order).alias("node"), section.alias("_s"))
+    below = trees.subtree(tree, doc, order, roots.select("doc", "root").distinct())
+    within = roots.join(below, ["doc", "root"]).select("question", "doc", "node").distinct()
+    flat = asked.select("question", "doc").distinct().join(titles.select("doc").distinct(), "doc", "left_anti")
+    every = within.join(blocks, ["doc", "node"]).unionByName(flat.join(blocks, "doc"))
+    other = F.max(~F.col("_s")).over(Window.partitionBy("question", "doc"))
+    return every.withColumn("_other", other).where(~(F.col("_s") & F.col("_other"))).select("question", "doc", "node")
+
+
 def graph_scores(picked: DataFrame, node_keys: DataFrame, relations: DataFrame, seeds: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, score): personalised PageRank of the picked blocks' entities, summed over each block's entities and scaled to 0..1 (0 where all are equal)."""
     own = picked.join(node_keys.select("node", F.explode("keys").alias("key")), "node")

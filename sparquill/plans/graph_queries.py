@@ -174,3 +174,41 @@ def table_entities(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda r: F.concat_ws("|", r["n_name"], r["n_nationkey"])), "\n").alias("body"))
     tables = table(spark, d, "region").join(rows, F.col("n_regionkey") == F.col("r_regionkey")).select("r_regionkey", F.lit("T").alias("title"), F.concat("r_name", F.lit("|nations\n"), "body").alias("text"))
     return knowledge.table_entities(tables, "r_regionkey", "title", "text")
+
+
+LINES = """l AS (SELECT doc_id AS doc, unnest(list_zip(range(len(string_split(text, chr(10)))), string_split(text, chr(10)))) AS z FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc, z[1] AS node, CASE WHEN length(z[2]) % 3 = 0 AND doc % 10 <> 9 THEN length(z[2]) % 4 + 1 ELSE 0 END AS level FROM l), s AS (SELECT b.*, embedding FROM b LEFT JOIN embeddings ON vec_id = (doc * 7 + node) % 120 WHERE level > 0),
+q AS (SELECT doc_id AS doc, embedding AS q FROM documents LEFT JOIN embeddings ON vec_id = doc_id % 90 WHERE text IS NOT NULL),
+r AS (SELECT doc, node, level, row_number() OVER (PARTITION BY doc ORDER BY coalesce(list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 0) DESC, node) AS rank FROM s JOIN q USING (doc))"""
+
+
+def _lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines of documents as an outline, in which some are headings; vectors of the headings, and a question to each document."""
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
+    lines = docs.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("node", "line"))
+    size = F.length("line")
+    blocks = lines.select("doc", "node", F.when((size % 3 == 0) & (F.col("doc") % 10 != 9), size % 4 + 1).otherwise(0).alias("level"))
+    tree = stage(trees.outline(blocks, "doc", "node", "level"))
+    titles = tree.where("level > 0").join(vectors, (F.col("doc") * 7 + F.col("node")) % 120 == F.col("vec_id"), "left").select("doc", "node", "vector")
+    asked = docs.select("doc", F.col("doc").alias("question")).join(vectors, F.col("doc") % 90 == F.col("vec_id"), "left").select("question", "doc", "vector")
+    return tree, titles, asked
+
+
+@query("WITH " + LINES + " SELECT doc AS question, doc, node, CAST(rank AS INT) AS rank FROM r WHERE rank <= 60")
+def section_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The headings of a document that a model would choose from."""
+    _, titles, asked = _lines(spark, d)
+    return knowledge.ranked_sections(asked, titles)
+
+
+@query("WITH " + LINES + """, c AS (SELECT doc_id AS doc, unnest([0, 1, 4, 999999]) AS node FROM documents WHERE doc_id % 3 = 0), t AS (SELECT *, count(c.doc) OVER (PARTITION BY r.doc) AS told, c.doc IS NOT NULL AS own FROM r LEFT JOIN c ON c.doc = r.doc AND c.node = r.node),
+root AS (SELECT r.doc, r.node AS root, r.level FROM (SELECT doc, node, level, own, told, rank FROM t) r WHERE CASE WHEN told > 0 THEN own ELSE rank <= 3 END),
+e AS (SELECT root.doc, root, min(b.node) AS fin FROM root LEFT JOIN b ON b.doc = root.doc AND b.node > root AND b.level BETWEEN 1 AND root.level GROUP BY ALL),
+w AS (SELECT DISTINCT b.doc, b.node, b.level FROM e JOIN b ON b.doc = e.doc AND b.node >= root AND (fin IS NULL OR b.node < fin) UNION ALL SELECT doc, node, level FROM b WHERE doc NOT IN (SELECT doc FROM s)),
+k AS (SELECT *, bool_or(level = 0) OVER (PARTITION BY doc) AS other FROM w) SELECT doc AS question, doc, node FROM k WHERE level = 0 OR NOT other""")
+def selected_sections(spark: SparkSession, d: str) -> DataFrame:
+    """What is below the headings that were chosen for every third document, some of which are none, or below the three nearest."""
+    tree, titles, asked = _lines(spark, d)
+    chosen = asked.where("question % 3 = 0").select("question", F.explode(F.array(*map(F.lit, (0, 1, 4, 999_999)))).alias("node"))
+    return knowledge.selected_by_section(asked, titles, tree, "doc", "node", F.col("level") > 0, chosen)

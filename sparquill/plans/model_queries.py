@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import questions
-from ..operators import evidence, nested, retrieval, rewriting, search, simulation, statistics, units
+from ..operators import evidence, nested, retrieval, rewriting, search, simulation, statistics, templates, units
 from ..sources import versions
 from ..sources.tables import stage_path, table
 from ..streaming import breakers, events
@@ -167,3 +167,31 @@ def breaker_openings(spark: SparkSession, d: str) -> DataFrame:
     calls = table(spark, d, "events").select((F.col("user_id") % 12).alias("key"), F.col("event_id").alias("id"), F.col("ts").alias("time"), (F.col("event_type") != "purchase").alias("failed"))
     found = breakers.openings_in(calls, 3, 3600, 600)
     return found.withColumns({c: F.timestamp_millis(c).cast("timestamp_ntz") for c in ("opened", "closed")})
+
+
+@query("""WITH q(k, subject, period, kind, unit) AS (VALUES (0, 'ピアノ調律師', '', 'stock', 'person'), (1, '傘', '1日', 'flow', 'item'), (2, '傘', '', 'stock', 'person'), (3, '電車整備士', '', 'stock', 'person'), (4, '充電器', '', 'stock', 'parsec')),
+c(k, template, formula, wanted, fits, score, rank, units) AS (VALUES (0, 'maintenance_demand', 'base_households * ownership_rate * service_frequency / provider_capacity', 'person', true, 0.865, 1, 'household,piano/household,tuning/(piano*year),tuning/(person*year)'),
+(0, 'association_supply', 'association_members / membership_rate', 'person', true, 0.81, 2, 'person,dimensionless'), (0, 'direct_lookup', 'direct_value', 'person', true, 0.663, 3, 'person'),
+(1, 'population_ratio', 'population * applicable_rate * quantity_per_person', 'item/day', true, 0.762, 1, 'person,dimensionless,item/(person*day)'), (1, 'direct_lookup', 'direct_value', 'item/day', true, 0.663, 2, 'item/day'),
+(2, 'population_ratio', 'population * applicable_rate', 'person', true, 0.762, 1, 'person,dimensionless'), (2, 'direct_lookup', 'direct_value', 'person', true, 0.663, 2, 'person'),
+(3, 'maintenance_demand', 'base_households * ownership_rate * service_frequency / provider_capacity', 'person', true, 0.865, 1, 'household,vehicle/household,event/(vehicle*year),event/(person*year)'),
+(3, 'association_supply', 'association_members / membership_rate', 'person', true, 0.81, 2, 'person,dimensionless'), (3, 'direct_lookup', 'direct_value', 'person', true, 0.663, 3, 'person'),
+(4, 'population_ratio', 'population * applicable_rate * quantity_per_person', 'parsec', false, 0.562, 1, 'person,dimensionless,parsec/person'), (4, 'direct_lookup', 'direct_value', 'parsec', false, 0.463, 2, 'parsec')),
+p AS (SELECT n_nationkey AS nation, count(c_custkey) AS people FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1 HAVING count(c_custkey) > 0), s AS (SELECT count(*) FILTER (p_size > 25) / count(*) AS share, avg(p_size) AS each FROM part)
+SELECT event_id, template, formula, wanted, fits, score, CAST(rank AS INT) AS rank, units, CAST(CASE WHEN template <> 'population_ratio' THEN 0 ELSE (people IS NOT NULL)::INT + (k < 4)::INT + (k = 1)::INT END AS BIGINT) AS known,
+CASE WHEN template = 'population_ratio' AND k = 1 THEN round(people * share * each, 6) WHEN template = 'population_ratio' AND k = 2 THEN round(people * share, 6) END AS value
+FROM events JOIN q ON event_id % 5 = q.k JOIN c USING (k) LEFT JOIN p ON p.nation = user_id % 25, s""")
+def model_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Models for questions about nations, scored, and the values of those whose parameters the customers' and parts' tables know."""
+    shapes = [("ピアノ調律師", "", "stock", "person"), ("傘", "1日", "flow", "item"), ("傘", "", "stock", "person"), ("電車整備士", "", "stock", "person"), ("充電器", "", "stock", "parsec")]
+    k = (F.col("event_id") % len(shapes)).cast("int")
+    given = {n: F.get(F.array(*(F.lit(s[i]) for s in shapes)), k) for i, n in enumerate(("subject", "period", "kind", "unit"))}
+    nations = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("place"))
+    asked = table(spark, d, "events").withColumns(given).join(nations, F.col("user_id") % 25 == F.col("n_nationkey"), "left")
+    people = table(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("place").agg(F.count("*").cast("double").alias("value"))
+    size = table(spark, d, "part").agg((F.count_if(F.col("p_size") > 25) / F.count("*")).alias("share"), F.avg("p_size").alias("each"))
+    facts = size.select(F.explode(F.create_map(F.lit("傘の該当率"), "share", F.lit("該当者1人あたり数量(日次)"), "each")).alias("name", "value"))
+    known = people.select(F.concat("place", F.lit("の人口")).alias("name"), "value").unionByName(facts)
+    found = templates.answered(templates.candidates(asked, "event_id"), known)
+    units_ = F.array_join(F.transform("parameters", lambda p: p["unit"]), ",").alias("units")
+    return found.select(F.col("key").alias("event_id"), "template", "formula", "wanted", "fits", "score", "rank", units_, "known", F.round("value", 6).alias("value"))
