@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evidence_queries, graph_queries, model_queries, record_queries, search_queries  # noqa: F401
+from . import evidence_queries, graph_queries, model_queries, reader_queries, record_queries, search_queries  # noqa: F401
 from .queries import QUERIES, SQL
 
 

@@ -67,21 +67,20 @@ def feed_articles(feeds: DataFrame, text: str = "value", source: str = "source",
 
 
 def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, name, type, description) and edges (source, target, strength 1..10, description) of GraphML files."""
+    """Nodes (id, type, description) and edges (source, target, strength 1..10, description) of GraphML files, each under its own keys. A node that several
+    files have comes once for each; of data that a node has twice the first holds; a weight that is no number is 5."""
     data = "data ARRAY<STRUCT<_key: STRING, _VALUE: STRING>>"
-    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
-    keys = read("key", "_id STRING, `_attr.name` STRING").select(F.col("_id").alias("key"), F.lower("`_attr.name`").alias("name"))
-
-    def attributes(rows: DataFrame, id: list[str]) -> DataFrame:
-        every = rows.select(*id, F.explode_outer("data").alias("d")).select(*id, F.col("d._key").alias("key"), F.regexp_replace("d._VALUE", r'^"|"$', "").alias("v"))
-        named = every.join(F.broadcast(keys), "key", "left")
-        return named.groupBy(*id).agg(F.map_from_entries(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "v")))).alias("m"))
-
-    nodes = attributes(read("node", f"_id STRING, {data}"), ["_id"])
-    edges = attributes(read("edge", f"_source STRING, _target STRING, {data}").withColumn("at", F.monotonically_increasing_id()), ["at", "_source", "_target"])
-    strength = F.least(F.greatest(F.bround(F.coalesce(F.try_element_at("m", F.lit("weight")).cast("double"), F.lit(5.0))), F.lit(1.0)), F.lit(10.0)).cast("int")
-    of = lambda name, most: F.substring(F.coalesce(F.try_element_at("m", F.lit(name)), F.lit("")), 1, most)
-    kind = F.coalesce(F.try_element_at("m", F.lit("entity_type")), F.try_element_at("m", F.lit("type")), F.lit(""))
+    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).withColumn("file", F.col("_metadata.file_path"))
+    keys = read("key", "_id STRING, `_attr.name` STRING").select("file", F.col("_id").alias("key"), F.lower("`_attr.name`").alias("name")).dropDuplicates(["file", "key"])
+    names = keys.where("key IS NOT NULL").groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("key", "name"))).alias("names"))
+    said = lambda name: F.filter("data", lambda e: F.try_element_at("names", e["_key"]) == name)
+    value = lambda name: F.regexp_replace(F.get(said(name), 0)["_VALUE"], r'^"|"$', "")
+
+    nodes = read("node", f"_id STRING, {data}").join(names, "file", "left")
+    edges = read("edge", f"_source STRING, _target STRING, {data}").join(names, "file", "left")
+    strength = F.least(F.greatest(F.bround(F.coalesce(value("weight").try_cast("double"), F.lit(5.0))), F.lit(1.0)), F.lit(10.0)).cast("int")
+    of = lambda name, most: F.substring(F.coalesce(value(name), F.lit("")), 1, most)
+    kind = F.coalesce(value("entity_type"), value("type"), F.lit(""))
     return (nodes.select(F.regexp_replace("_id", r'^"|"$', "").alias("id"), kind.alias("type"), of("description", 300).alias("description")),
             edges.select(F.regexp_replace("_source", r'^"|"$', "").alias("source"), F.regexp_replace("_target", r'^"|"$', "").alias("target"), strength.alias("strength"), of("description", 200).alias("description")))
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sparquill.functions import questions
 from sparquill.operators import knowledge, templates, trees
+from sparquill.sources import readers
 
 ASKED = "key long, subject string, place string, period string, kind string, unit string"
 
@@ -57,3 +58,13 @@ def test_sections_that_are_chosen_or_nearest(spark):
     assert _selected(spark, levels, vectors, None) == [(10, 5), *flat, (30, 0), (30, 1)]
     assert _selected(spark, levels, vectors, [(10, 0), (10, 0), (10, 1), (10, 99), (20, 0), (30, 1)]) == [(10, 1), (10, 3), *flat, (30, 1)]
     assert _selected(spark, levels, vectors, [(10, 3)]) == [(10, 5), *flat, (30, 0), (30, 1)]
+
+
+def test_graph_files_each_under_their_own_keys(spark, tmp_path):
+    file = '<graphml><key id="a" attr.name="{}"/><key id="a" attr.name="again"/><key id="b" attr.name="weight"/><graph><node id="x"><data key="a">{}</data><data key="a">no</data></node><node id="y"/><edge source="x" target="y"><data key="b">{}</data></edge></graph></graphml>'
+    for i, words in enumerate([("description", "one", "11"), ("type", "two", "heavy")]):
+        (tmp_path / f"{i}.graphml").write_text(file.format(*words))
+    nodes, edges = readers.graphml(spark, str(tmp_path))
+    found = sorted((r.id, r.type, r.description) for r in nodes.collect())
+    assert [f for f in found if f[0] == "y"] == [("y", "", "")] * 2 and len(found) == 4
+    assert sorted(r.strength for r in edges.collect()) == [5, 10]
