@@ -145,3 +145,17 @@ def overridden_documents(spark: SparkSession, d: str) -> DataFrame:
     stored = sinks.within_quota(docs, "n_chars", "lang")
     both = sinks.override(old, new, "doc_id").select("doc_id", F.md5("text").alias("text_md5"), "lang")
     return both.join(F.broadcast(stored), F.lit(True))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(list_zip(range(len(string_split(text, chr(10)))), string_split(text, chr(10)))) AS z FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL),
+t AS (SELECT doc_id, z[1] AS pos, z[2] AS line, CASE WHEN regexp_matches(z[2], '^#{1,6}\\s+\\S') THEN 'Title' WHEN regexp_matches(z[2], '^\\s*\\|.*\\|\\s*$') THEN 'Table' ELSE 'Text' END AS type FROM l),
+f AS (SELECT *, type = 'Title' OR coalesce(lag(type) OVER (PARTITION BY doc_id ORDER BY pos) <> type, true) AS fresh FROM t), r AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM f),
+m AS (SELECT doc_id, run, type, regexp_replace(string_agg(line, chr(10) ORDER BY pos), '^\\s+|\\s+$', '', 'g') AS c FROM r GROUP BY ALL),
+p AS (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '\\n\\s*\\n')), ' ') AS c FROM documents WHERE doc_id % 2 = 1),
+b AS (SELECT doc_id, type, CASE WHEN type = 'Title' THEN regexp_replace(c, '^#{1,6}\\s+', '') ELSE c END AS c FROM m WHERE c <> '' UNION ALL SELECT doc_id, CASE WHEN length(c) < 80 AND regexp_matches(c, '^(\\d+(\\.\\d+)*[.)]?\\s+\\S|第\\s*\\d+\\s*[章節条])') THEN 'Title' ELSE 'Text' END, c FROM p WHERE c <> '')
+SELECT doc_id, type, count(*) AS blocks, CAST(sum(length(c)) AS BIGINT) AS chars, min(md5(c)) AS least FROM b GROUP BY ALL""")
+def typed_block_contents(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of documents by type, half of them read as Markdown, half by paragraphs, with what they hold."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL").withColumn("name", F.when(F.col("doc_id") % 2 == 0, "a.md").otherwise("a.txt"))
+    blocks = readers.typed_blocks(docs, "doc_id", "name", "text")
+    return blocks.groupBy(F.col("id").alias("doc_id"), "type").agg(F.count("*").alias("blocks"), F.sum(F.length("content")).cast("long").alias("chars"), F.min(F.md5("content")).alias("least"))
