@@ -144,8 +144,8 @@ def corpus_add(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT n_nationkey, n_nationkey % 3 = 0 AND n_name <> 'x' AS enabled, (SELECT count(*) FROM nation WHERE n_nationkey IN (1, 2, 3) AND n_nationkey % 3 = 0) AS changed FROM (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (1, 2, 3)) UNION ALL SELECT n_nationkey, false, (SELECT count(*) FROM nation WHERE n_nationkey IN (1, 2, 3) AND n_nationkey % 3 = 0) FROM nation WHERE n_nationkey IN (1, 2, 3)""")
 def registry_update(spark: SparkSession, d: str) -> DataFrame:
     feeds = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), (F.col("n_nationkey") % 3 == 0).alias("enabled"))
-    after, _ = sinks.set_enabled(feeds, "id", ["1", "2", "3"], False)
-    changed = feeds.where(F.col("id").isin("1", "2", "3") & F.col("enabled")).agg(F.count("*").alias("changed"))
+    after, change = sinks.set_enabled(feeds, "id", ["1", "2", "3"], False)
+    changed = feeds.where(change).agg(F.count("*").alias("changed"))
     return after.join(F.broadcast(changed)).select(F.col("id").cast("long").alias("n_nationkey"), "enabled", "changed")
 
 

@@ -106,9 +106,9 @@ def added(rows: DataFrame, known: DataFrame, id: str, title: str, text: str, ord
 
 
 def set_enabled(feeds: DataFrame, id: str, chosen: list[str], value: bool) -> tuple[DataFrame, Column]:
-    """Feeds with the chosen ones switched, and a column that says which changed."""
-    hit = F.col(id).isin(*chosen)
-    return feeds.withColumn("enabled", F.when(hit, F.lit(value)).otherwise(F.col("enabled"))), hit & (F.col("enabled") == F.lit(value))
+    """Feeds with the chosen ones switched, and a column over the feeds as they were that says which change. A feed that doesn't say is enabled."""
+    hit, now = F.coalesce(F.col(id).isin(*chosen), F.lit(False)), F.coalesce(F.col("enabled"), F.lit(True))
+    return feeds.withColumn("enabled", F.when(hit, F.lit(value)).otherwise(now)), hit & (now != F.lit(value))
 
 
 def moved(members: DataFrame, collection: str, arriving: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sparquill.functions import questions
 from sparquill.operators import knowledge, templates, trees
-from sparquill.sources import readers
+from sparquill.sources import readers, sinks
 
 ASKED = "key long, subject string, place string, period string, kind string, unit string"
 
@@ -68,3 +68,11 @@ def test_graph_files_each_under_their_own_keys(spark, tmp_path):
     found = sorted((r.id, r.type, r.description) for r in nodes.collect())
     assert [f for f in found if f[0] == "y"] == [("y", "", "")] * 2 and len(found) == 4
     assert sorted(r.strength for r in edges.collect()) == [5, 10]
+
+
+def test_feeds_switched(spark):
+    feeds = spark.createDataFrame([("a", True), ("b", False), ("c", None), (None, True), ("d", True)], "id string, enabled boolean")
+    after, change = sinks.set_enabled(feeds, "id", ["a", "b", "c", "z"], False)
+    assert {r.id: r.enabled for r in after.collect()} == {"a": False, "b": False, "c": False, None: True, "d": True}
+    assert sorted(r.id for r in feeds.where(change).collect()) == ["a", "c"]
+    assert sinks.set_enabled(feeds.limit(0), "id", [], True)[0].count() == 0
