@@ -263,9 +263,9 @@ def extract_answers(spark: SparkSession, d: str) -> DataFrame:
     return safety.extracts(table(spark, d, "conversations").where("text IS NOT NULL"), "conv_id", "turn", "role", "text").select("conv_id", F.md5("answer").alias("answer_md5"))
 
 
-@query(r"""WITH h AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script)\b.*?</script\s*>|<(style)\b.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->|<!DOCTYPE[^>]*>|<(meta|link|base)\b[^>]*>', '', 'g') AS t FROM pages),
+@query(r"""WITH h AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script)\b.*?</script\s*>|<(style)\b.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->|<!DOCTYPE[^>]*>|<(meta|link|base)\b[^>]*>', '', 'g') AS t FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<(p|div|br|tr|li|h1|h2|h3|h4|table)\b[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g') AS t FROM h),
-e AS (SELECT page_id, replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS t FROM b)
+e AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS t FROM b)
 SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(t, '[ \t\r\f\v]+', ' ', 'g'), '\n\s*\n+', chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS text_md5 FROM e""")
 def tree_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.md5(safety.tree_text("html")).alias("text_md5"))

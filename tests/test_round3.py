@@ -33,7 +33,7 @@ def compared(spark, folder, name):
 OPEN_ENDED = ["<p>a &amp</p><p>b&copy c &middot&quot;d", "<p>x &amp&copy; y&am</p>", "<style>a{}<script></style> z &ampcopy; &amp;quot", "a <p", "", None]
 
 
-@pytest.mark.parametrize("name", ["html_strip"])
+@pytest.mark.parametrize("name", ["html_strip", "tree_text"])
 def test_references_without_semicolon(spark, table, tmp_path, name):
     table([(k, "u", h) for k, h in enumerate(OPEN_ENDED)], "page_id long, url string, html string", "pages")
     found, want = compared(spark, tmp_path, name)
