@@ -25,6 +25,15 @@ def test_no_similar_pair_is_lost(spark, least):
     assert len(kept) == len(set(kept)) and set(kept) == want and want
 
 
+def test_similar_pairs_broadcast_no_texts(spark):
+    """Exploded characters with their texts once passed for a small table and were broadcast: 40 titles of 60 characters made over 1000 rows."""
+    rows = [(k, "s", f"{k:03d}" + "abcdefghij" * 6) for k in range(40)]
+    found = clusters.similar_pairs(spark.createDataFrame(rows, "id long, g string, t string"), ["g"], "t", 0.75)
+    assert found.count() == 40 * 39 // 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan
+
+
 def brute(rows, least):
     root = {r[0]: r[0] for r in rows}
     while True:
