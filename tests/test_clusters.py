@@ -25,6 +25,18 @@ def test_no_similar_pair_is_lost(spark, least):
     assert len(kept) == len(set(kept)) and set(kept) == want and want
 
 
+def test_no_similar_pair_is_lost_between_tiles(spark, monkeypatch):
+    """Groups of over FEW texts meet as tiles; here of 16 texts."""
+    monkeypatch.setattr(clusters, "FEW", 5)
+    monkeypatch.setattr(clusters, "TILE", 16)
+    rows = [(k, ("a", "b", f"few{k % 40}")[k % 3], t) for k, t in enumerate(titles(4, 120))]
+    found = clusters.similar_pairs(spark.createDataFrame(rows, "id long, g string, t string"), ["g"], "t", 0.75)
+    kept = [tuple(r) for r in found.select("g", "a", "b", "most").collect()]
+    own = {(g, t) for _, g, t in rows if t}
+    want = {(g, a, b, round(SequenceMatcher(None, a, b).quick_ratio(), 9)) for g, a in own for h, b in own if g == h and a < b and SequenceMatcher(None, a, b).quick_ratio() >= 0.75}
+    assert len(kept) == len(set(kept)) and set(kept) == want and want
+
+
 def test_similar_pairs_broadcast_no_texts(spark):
     """Exploded characters with their texts once passed for a small table and were broadcast: 40 titles of 60 characters made over 1000 rows."""
     rows = [(k, "s", f"{k:03d}" + "abcdefghij" * 6) for k in range(40)]
