@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.tables import stage
+
 OPENINGS = "key long, opened long, closed long, failures int, held int"
 
 
@@ -79,18 +81,33 @@ def openings(calls: DataFrame, limit: int, reset: int, late: str) -> DataFrame:
 
 
 def openings_in(calls: DataFrame, limit: int, reset: int, late: int) -> DataFrame:
-    """The same of a table at its end: (key, opened, closed, failures), with the lateness in seconds."""
+    """The same of a table at its end: (key, opened, closed, failures), with the lateness in seconds.
+
+    Results are dealt to ranges of key and time, so that a key with very many is spread over tasks; what a range needs of those before and after it (failures
+    in a row, the next success, the last opening) comes from one row for each range and key.
+    """
     results = _results(calls).drop("time").distinct()
     mark = results.agg((F.max("ms") - late * 1000).alias("_mark"))
     settled = results.join(F.broadcast(mark), F.col("ms") < F.col("_mark"))
-    order = Window.partitionBy("key").orderBy("ms", "id", "failed")
-    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
-    good = F.when(~F.col("failed"), F.col("ms"))
-    rows = settled.select("*", F.count(good).over(before).alias("_run"), F.first(good, ignorenulls=True).over(after).alias("_good")).where("failed")
-    run = Window.partitionBy("key", "_run").orderBy("ms", "id")
-    open_ = rows.withColumn("_n", F.row_number().over(run)).where(F.col("_n") >= limit)
-    fresh = F.coalesce((F.col("ms") > F.lag("ms").over(run) + reset * 1000).cast("int"), F.lit(1))
-    parts = open_.withColumn("_fresh", fresh).withColumn("_part", F.sum("_fresh").over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    found = parts.groupBy("key", "_run", "_part").agg(F.min("ms").alias("opened"), F.max("ms").alias("_last"), F.first("_good").alias("_good"), F.first("_mark").alias("_mark"), F.count("*").cast("int").alias("failures"))
+    order = ["key", "ms", "id", "failed"]
+    placed = stage(settled.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    place, time = F.when(~F.col("failed"), F.col("_at")), F.when(~F.col("failed"), F.col("ms"))
+    own, ranges, so_far = Window.partitionBy("key", "_part"), Window.partitionBy("key"), (Window.unboundedPreceding, 0)
+    before, after = (ranges.orderBy(c).rowsBetween(Window.unboundedPreceding, -1) for c in (F.asc("_part"), F.desc("_part")))
+    parts = placed.groupBy("key", "_part").agg(F.max(place).alias("_last"), F.min(time).alias("_first"), F.min("_at").alias("_from"), F.max("_at").alias("_to"), F.max("ms").alias("_ms"))
+    parts = parts.withColumn("_since", F.count("_last").over(ranges.orderBy("_part").rowsBetween(*so_far))).withColumn("_tail", F.col("_to") - F.coalesce(F.col("_last"), F.col("_from") - 1))
+    parts = parts.withColumn("_sum", F.sum("_tail").over(Window.partitionBy("key", "_since").orderBy("_part").rowsBetween(*so_far)))
+    parts = parts.select("key", "_part", F.last("_sum").over(before).alias("_failed_in"), F.last("_ms").over(before).alias("_was_in"), "_from", F.last("_first", ignorenulls=True).over(after).alias("_good_in"))
+    up, down = own.orderBy("_at"), own.orderBy(F.desc("_at")).rowsBetween(*so_far)
+    rows = placed.select("*", F.last(place, ignorenulls=True).over(up.rowsBetween(*so_far)).alias("_run"), F.lag("ms").over(up).alias("_was"), F.last(time, ignorenulls=True).over(down).alias("_good"))
+    rows = rows.where("failed").join(parts, ["key", "_part"])
+    start = F.coalesce(F.col("_run"), F.col("_from") - 1 - F.coalesce(F.col("_failed_in"), F.lit(0)))
+    rows = rows.withColumn("_n", F.col("_at") - start).where(F.col("_n") >= limit)
+    fresh = (F.col("_n") == limit) | (F.col("ms") > F.coalesce("_was", "_was_in") + reset * 1000)
+    open_ = stage(rows.select("key", "_part", "_at", "ms", "_mark", F.coalesce("_good", "_good_in").alias("_good"), F.when(fresh, F.col("_at")).alias("_fresh")))
+    told = open_.groupBy("key", "_part").agg(F.max("_fresh").alias("_last")).select("key", "_part", F.last("_last", ignorenulls=True).over(before).alias("_fresh_in"))
+    marked = open_.withColumn("_own", F.last("_fresh", ignorenulls=True).over(up.rowsBetween(*so_far))).join(told, ["key", "_part"])
+    found = marked.groupBy("key", F.coalesce("_own", "_fresh_in").alias("_opening")).agg(F.min("ms").alias("opened"), F.max("ms").alias("_last"), F.first("_good").alias("_good"), F.first("_mark").alias("_mark"), F.count("*").cast("int").alias("failures"))
     over = found.withColumn("closed", F.least(F.col("_last") + reset * 1000, F.col("_good")))
     return over.where("closed < _mark").select("key", "opened", "closed", "failures")

@@ -1,12 +1,16 @@
 """Queries against their SQL on rows that the given tables hardly have."""
 
 import os
+import random
+from datetime import timedelta
 
 import duckdb
 import pytest
 
 import __spark_entry__
+from sparquill.streaming import breakers
 from tests.conftest import SF
+from tests.test_timers import START, _folded
 
 QUERIES, SQL = __spark_entry__.queries(), __spark_entry__.oracle_sql()
 
@@ -38,3 +42,28 @@ def test_references_without_semicolon(spark, table, tmp_path, name):
     table([(k, "u", h) for k, h in enumerate(OPEN_ENDED)], "page_id long, url string, html string", "pages")
     found, want = compared(spark, tmp_path, name)
     assert found == want and len(found) == len(OPEN_ENDED)
+
+
+def test_breakers_of_one_key_over_many_ranges(spark):
+    """A key's results lie in several tasks; runs and openings go over their borders, and no window looks ahead row by row."""
+    rng = random.Random(7)
+    now, calls = 0.0, []
+    for k in range(700):
+        now += rng.choice([1, 30, 30, 150])
+        calls.append((k % 7 // 6, k, START + timedelta(seconds=now), rng.random() < (1.0 if 200 < k < 400 else 0.8)))
+    want = _folded(calls, 3, 100, 100)
+    zero = spark.sql("SELECT unix_millis(timestamp'2024-01-01')").first()[0]
+    rng.shuffle(calls)
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "23"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = breakers.openings_in(spark.createDataFrame(calls, "key long, id long, time timestamp, failed boolean"), 3, 100, 100)
+        got = sorted(tuple(r) for r in found.collect())
+        assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    ms = lambda t: zero + round((t - START).total_seconds() * 1000)
+    assert got == [(k, ms(a), ms(b), n) for k, a, b, n in want] and len(want) > 20
