@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from ..sources.tables import stage
+from ..sources.tables import spread, stage
 from . import formula, units
 
 SYMBOLS = {ast.Add: "+", ast.Sub: "-", ast.Mult: "*", ast.Div: "/", ast.Pow: "**"}
@@ -59,8 +59,8 @@ def trees(formulas: DataFrame, text: str = "formula") -> DataFrame:
 def replaced(tree: DataFrame, parts: DataFrame, key: str = "model") -> DataFrame:
     """The trees with every leaf named in `parts` (key, name, formula; one row for each key and name) replaced by that formula's tree: its paths are
     appended to the leaf's. Names within parts stay."""
-    own = trees(parts.select(key, "name", "formula")).select(key, F.col("name").alias("value"), F.lit("name").alias("kind"), F.col("path").alias("_path"), F.col("kind").alias("_kind"), F.col("value").alias("_value"))
-    hit = tree.join(own, [key, "value", "kind"], "left")
+    own = trees(spread(parts.select(key, "name", "formula"))).select(key, F.col("name").alias("value"), F.lit("name").alias("kind"), F.col("path").alias("_path"), F.col("kind").alias("_kind"), F.col("value").alias("_value"))
+    hit = tree.join(own.hint("merge"), [key, "value", "kind"], "left")
     as_is = F.col("_kind").isNull()
     return hit.select(key, F.when(as_is, F.col("path")).otherwise(F.concat("path", "_path")).alias("path"), F.when(as_is, F.col("kind")).otherwise(F.col("_kind")).alias("kind"), F.when(as_is, F.col("value")).otherwise(F.col("_value")).alias("value"))
 
@@ -74,9 +74,11 @@ def folded(tree: DataFrame, named: DataFrame, key: str = "model") -> DataFrame:
     name without a known unit in `named` (key, name, unit), a sum of different units or factors, or a power that isn't a plain number.
 
     One level is folded into the next by an aggregation of at most two parts for each node; a formula has at most 200 nodes, and every few levels are written.
+    What grows with the models is joined by sorting: files of it are much smaller than its rows, so Spark would broadcast them.
     """
     tree = stage(tree)
-    unit = named.select(key, F.col("name").alias("value"), F.lit("name").alias("kind"), units.vector(F.col("unit")).alias("_u"))
+    vectors = stage(named.select("unit").distinct().withColumn("_u", units.vector(F.col("unit"))))
+    unit = named.join(vectors, "unit", "left").select(key, F.col("name").alias("value"), F.lit("name").alias("kind"), "_u").hint("merge")
     number = F.col("kind") == "number"
     vector = F.when(number, units.none()).otherwise(F.col("_u"))
     leaves = tree.where(F.col("kind").isin("name", "number")).join(unit, [key, "value", "kind"], "left")
@@ -88,7 +90,7 @@ def folded(tree: DataFrame, named: DataFrame, key: str = "model") -> DataFrame:
         here = leaves.where(F.size("path") == depth)
         if done is not None:
             kids = done.groupBy(key, F.slice("path", 1, depth).alias("path")).agg(F.array_sort(F.collect_list(F.struct(*(c for c in done.columns if c != key)))).alias("_kids"))
-            kids = kids.select(key, "path", F.get("_kids", F.lit(0)).alias("a"), F.get("_kids", F.lit(1)).alias("b"))
+            kids = kids.select(key, "path", F.get("_kids", F.lit(0)).alias("a"), F.get("_kids", F.lit(1)).alias("b")).hint("merge")
             here = here.unionByName(_joined(tree.where((F.size("path") == depth) & ~F.col("kind").isin("name", "number")).join(kids, [key, "path"]), key))
         done = stage(here) if depth % CUT == 0 else here
     return done.select(key, "text", F.when(F.col("problem").isNull(), F.col("vector")).alias("vector"), "problem")
@@ -112,11 +114,11 @@ def rewritten(models: DataFrame, parts: DataFrame, named: DataFrame, key: str =
     Returns key, formula (the new one if accepted, else the old one, both written out), accepted and reason ('no formula', a problem of its units, 'other
     dimensions', 'other scale', or null). A model without parts is checked as it is; one whose own text is no formula keeps it.
     """
-    old = trees(models.select(key, "formula"))
+    old = trees(spread(models.select(key, "formula")))
     bad = parts.where(_nodes("formula").isNull()).select(key).distinct().withColumn("_bad", F.lit(True))
     new = folded(replaced(old, parts, key), named, key).withColumnRenamed("text", "_new")
     was = folded(old, named, key).select(key, F.col("text").alias("_old"))
-    both = models.select(key, "formula", units.vector(F.col("wanted")).alias("_w")).join(new, key, "left").join(was, key, "left").join(bad, key, "left")
+    both = models.select(key, "formula", units.vector(F.col("wanted")).alias("_w")).join(new.hint("merge"), key, "left").join(was.hint("merge"), key, "left").join(bad.hint("merge"), key, "left")
     kind, scale = F.coalesce(units.comparable(F.col("vector"), F.col("_w")), F.lit(False)), F.coalesce(units.same(F.col("vector"), F.col("_w")), F.lit(False))
     reason = F.when(F.col("_new").isNull() | F.col("_bad"), "no formula").when(F.col("problem").isNotNull(), F.col("problem")).when(~kind, "other dimensions").when(~scale, "other scale")
     both = both.withColumn("reason", reason)

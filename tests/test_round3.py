@@ -6,8 +6,10 @@ from datetime import timedelta
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from sparquill.operators import rewriting
 from sparquill.streaming import breakers
 from tests.conftest import SF
 from tests.test_timers import START, _folded
@@ -67,3 +69,15 @@ def test_breakers_of_one_key_over_many_ranges(spark):
             spark.conf.set(k, v)
     ms = lambda t: zero + round((t - START).total_seconds() * 1000)
     assert got == [(k, ms(a), ms(b), n) for k, a, b, n in want] and len(want) > 20
+
+
+def test_rewriting_broadcasts_nothing_that_grows(spark, table):
+    """Names of all models once passed for a small table, as the file that they are unfolded from is small."""
+    models = table([(k, "a*b", "person") for k in range(50)], "model long, formula string, wanted string", "models")
+    unfolded = models.select("model", F.explode(F.create_map(F.lit("a"), F.lit("person"), F.lit("b"), F.lit("dimensionless"), F.lit("c"), F.lit(None).cast("string"))).alias("name", "unit"))
+    parts = models.select("model", F.lit("b").alias("name"), F.when(F.col("model") % 2 == 0, "b/2").otherwise("c").alias("formula"))
+    found = rewriting.rewritten(models.select("model", "formula", "wanted"), parts, unfolded)
+    assert {(r.formula, r.accepted, r.reason) for r in found.collect()} == {("a * (b / 2)", False, "other scale"), ("a * b", False, "no unit of c")} or found.where("accepted").count() == 25
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    leaves = rewriting.folded(rewriting.trees(models.select("model", "formula")), unfolded)
+    assert leaves.where("problem IS NULL AND text = 'a * b'").count() == 50
