@@ -31,24 +31,26 @@ def graph_file_scan(spark: SparkSession, d: str) -> DataFrame:
         joined.select(F.lit("edge").alias("kind"), "source", "target", none.alias("type"), "strength", "description"))
 
 
-def _files(spark: SparkSession, d: str) -> str:
-    """A Markdown file for each supplier, in folders by nation and supplier."""
+def _files(spark: SparkSession, d: str, *inner: str) -> str:
+    """A Markdown file for each supplier, in folders by nation and by the inner columns. What costs is the number of files, so all cores write them, not
+    one task a nation."""
     rows = table(spark, d, "supplier").select("s_nationkey", "s_suppkey", F.format_string("# %s\nbalance %s\n", "s_name", F.col("s_acctbal").cast("int").cast("string")).alias("value"))
-    rows.repartition("s_nationkey").write.partitionBy("s_nationkey", "s_suppkey").text(path := stage_path(spark))
+    dealt = rows.repartition(2 * spark.sparkContext.defaultParallelism, "s_suppkey").select("s_nationkey", *inner, "value")
+    dealt.write.option("maxRecordsPerFile", 1).partitionBy("s_nationkey", *inner).text(path := stage_path(spark))
     return path
 
 
 @query("SELECT s_name AS title, '# ' || s_name || chr(10) || 'balance ' || CAST(trunc(s_acctbal) AS INT) || chr(10) AS text FROM supplier")
 def markdown_file_scan(spark: SparkSession, d: str) -> DataFrame:
     """Files as documents; what Spark names them is left out."""
-    found = readers.markdown_files(spark, f"{_files(spark, d)}/*/*/*.txt")
+    found = readers.markdown_files(spark, f"{_files(spark, d)}/*/*.txt")
     return found.where(F.col("id").startswith("sample-part-")).select("title", F.regexp_replace("text", r"\n+$", "\n").alias("text"))
 
 
 @query("SELECT 's_nationkey=' || s_nationkey || ',s_suppkey=' || s_suppkey AS tags, 1 AS collections FROM supplier")
 def collection_file_scan(spark: SparkSession, d: str) -> DataFrame:
     """Files of a collection with their sub-folders as tags."""
-    found = readers.collection_files(spark, _files(spark, d), ["txt", "md"])
+    found = readers.collection_files(spark, _files(spark, d, "s_suppkey"), ["txt", "md"])
     return found.groupBy(F.array_join("tags", ",").alias("tags")).agg(F.count_distinct("collection").cast("int").alias("collections"))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from sparquill.operators import rewriting
+from sparquill.plans import reader_queries
+from sparquill.sources import readers
 from sparquill.streaming import breakers
 from tests.conftest import SF
 from tests.test_timers import START, _folded
@@ -81,3 +83,25 @@ def test_rewriting_broadcasts_nothing_that_grows(spark, table):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     leaves = rewriting.folded(rewriting.trees(models.select("model", "formula")), unfolded)
     assert leaves.where("problem IS NULL AND text = 'a * b'").count() == 50
+
+
+def _most_tasks(spark, group, call):
+    """What a call returns, and the tasks of the largest stage of its jobs."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        found, tracker = call(), spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+        return found, [s.numTasks for s in stages if s]
+    finally:
+        for name in ("spark.jobGroup.id", "spark.job.description"):
+            spark.sparkContext.setLocalProperty(name, None)
+
+
+def test_all_cores_write_and_few_tasks_list_files(spark, table, tmp_path):
+    """A file for each supplier; files are listed in a few tasks for each core, not in one each."""
+    table([(k, f"S{k}", k % 2, k + 0.5) for k in range(90)], "s_suppkey long, s_name string, s_nationkey long, s_acctbal double", "supplier")
+    path, tasks = _most_tasks(spark, "write", lambda: reader_queries._files(spark, str(tmp_path)))
+    assert max(tasks) >= spark.sparkContext.defaultParallelism
+    found, tasks = _most_tasks(spark, "list", lambda: readers.markdown_files(spark, f"{path}/*/*.txt"))
+    assert sorted(r.title for r in found.collect()) == sorted(f"S{k}" for k in range(90))
+    assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
