@@ -105,3 +105,12 @@ def test_all_cores_write_and_few_tasks_list_files(spark, table, tmp_path):
     found, tasks = _most_tasks(spark, "list", lambda: readers.markdown_files(spark, f"{path}/*/*.txt"))
     assert sorted(r.title for r in found.collect()) == sorted(f"S{k}" for k in range(90))
     assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_many_folders_are_listed_in_few_tasks(spark, tmp_path):
+    for k in range(90):
+        (tmp_path / f"a/b{k}").mkdir(parents=True)
+        (tmp_path / f"a/b{k}/n.md").write_text("x")
+    found, tasks = _most_tasks(spark, "folders", lambda: readers.collection_files(spark, str(tmp_path), ["md"]))
+    assert {tuple(r.tags) for r in found.collect()} == {("a", f"b{k}") for k in range(90)}
+    assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
