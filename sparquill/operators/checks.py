@@ -132,15 +132,14 @@ def nested(parents: DataFrame, children: DataFrame, key: str, order: str, column
 
 def shared_evidence(uses: DataFrame, model: str, item: str, cluster: str, cls: str, weak: list[str]) -> DataFrame:
     """(a, b, items, clusters, weak): of pairs of models, evidence and clusters that both use, and how many of the shared items are of a weak class.
-    Models are few (a project's candidates); each shared item meets them once."""
-    left, right = uses.alias("l"), uses.alias("r")
+    Models are few (a project's candidates); each meets an item and a cluster once, however many uses there are."""
+    items = uses.groupBy(model, item).agg(F.coalesce(F.max(F.col(cls).isin(*weak)), F.lit(False)).alias("weak"))
 
-    def pairs(key: str, extra: Column | None = None) -> DataFrame:
-        rows = left.join(right, (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col(f"l.{model}") < F.col(f"r.{model}")))
-        more = [F.countDistinct(F.when(extra, F.col(f"l.{key}"))).alias("weak")] if extra is not None else []
-        return rows.groupBy(F.col(f"l.{model}").alias("a"), F.col(f"r.{model}").alias("b")).agg(F.countDistinct(f"l.{key}").alias(f"{key}s"), *more)
+    def pairs(rows: DataFrame, key: str, *more: Column) -> DataFrame:
+        met = rows.alias("l").join(rows.alias("r"), (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col(f"l.{model}") < F.col(f"r.{model}")))
+        return met.groupBy(F.col(f"l.{model}").alias("a"), F.col(f"r.{model}").alias("b")).agg(F.count("*").alias(f"{key}s"), *more)
 
-    found = pairs(item, F.col(f"l.{cls}").isin(*weak)).join(pairs(cluster), ["a", "b"], "full_outer")
+    found = pairs(items, item, F.count_if("l.weak").alias("weak")).join(pairs(uses.select(model, cluster).distinct(), cluster), ["a", "b"], "full_outer")
     return found.na.fill(0)
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from sparquill.operators import rewriting
+from sparquill.operators import checks, rewriting
 from sparquill.plans import reader_queries
 from sparquill.sources import readers
 from sparquill.streaming import breakers
@@ -114,3 +114,25 @@ def test_many_folders_are_listed_in_few_tasks(spark, tmp_path):
     found, tasks = _most_tasks(spark, "folders", lambda: readers.collection_files(spark, str(tmp_path), ["md"]))
     assert {tuple(r.tags) for r in found.collect()} == {("a", f"b{k}") for k in range(90)}
     assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
+
+
+def _most_joined(found):
+    """The rows of a frame, and the largest number of rows that one of its joins gave."""
+    rows = found.collect()
+
+    def walk(plan):
+        kind = plan.getClass().getSimpleName()
+        inner = plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan() if kind.endswith("QueryStageExec") else None
+        children = [inner] if inner is not None else [plan.children().apply(k) for k in range(plan.children().size())]
+        own = [plan.metrics().get("numOutputRows").get().value()] if "Join" in kind else []
+        return own + [n for child in children for n in walk(child)]
+
+    return rows, max(walk(found._jdf.queryExecution().executedPlan()))
+
+
+def test_models_meet_a_cluster_once(spark, table):
+    """Uses of one cluster were joined with each other: 400 by 400."""
+    uses = table([(m, f"{m if k % 2 else 'x'}{k}", "c", "D" if k % 4 == 0 else None) for m in "ab" for k in range(400)] * 2, "model string, item string, cluster string, cls string")
+    rows, most = _most_joined(checks.shared_evidence(uses, "model", "item", "cluster", "cls", ["D"]))
+    assert [(r.a, r.b, r["items"], r.clusters, r.weak) for r in rows] == [("a", "b", 200, 1, 100)]
+    assert most <= 400
