@@ -28,10 +28,14 @@ def entity_chunks(top: DataFrame, entities: DataFrame, chunks: DataFrame) -> Dat
 
 
 def relation_hits(top: DataFrame, relations: DataFrame, most: int = 20) -> DataFrame:
-    """The strongest relations at either end of a question's entities (question, key), each once."""
-    ends = [relations.join(top.select("question", F.col("key").alias(end)), end) for end in ("source", "target")]
-    every = ends[0].unionByName(ends[1]).distinct()
-    return retrieval.top(every, ["question"], [F.desc("strength"), F.asc("source"), F.asc("target")], most)
+    """The strongest relations at either end of a question's entities (question, key), each once. A question's `most` strongest are among the `most` strongest
+    of one of its entities, so only these meet questions."""
+    order = [F.desc("strength"), F.asc("source"), F.asc("target")]
+    keys = top.select("key").distinct()
+    ends = [relations.withColumn("key", F.col(end)).join(keys, "key", "left_semi").select(*relations.columns, "key") for end in ("source", "target")]
+    best = retrieval.top(ends[0].unionByName(ends[1]).distinct(), ["key"], order, most).drop("rank")
+    every = top.select("question", "key").join(best, "key").select(*relations.columns, "question").distinct()
+    return retrieval.top(every, ["question"], order, most)
 
 
 def community_hits(top: DataFrame, members: DataFrame, most: int = 3) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from sparquill.operators import checks, rewriting
+from sparquill.operators import checks, knowledge, rewriting
 from sparquill.plans import reader_queries
 from sparquill.sources import readers
 from sparquill.streaming import breakers
@@ -136,3 +136,14 @@ def test_models_meet_a_cluster_once(spark, table):
     rows, most = _most_joined(checks.shared_evidence(uses, "model", "item", "cluster", "cls", ["D"]))
     assert [(r.a, r.b, r["items"], r.clusters, r.weak) for r in rows] == [("a", "b", 200, 1, 100)]
     assert most <= 400
+
+
+def test_weak_relations_meet_no_question(spark, table):
+    """All relations of an entity met all questions that name it; a loop, a relation of two named entities and a repeated one count once."""
+    relations = [(1, k, float(k % 50)) for k in range(1, 200)] + [(2, 1, 49.0), (2, 1, 49.0), (3, 9, 1.0)]
+    asked = [(q, e) for q in range(60) for e in (1, 2)] + [(99, 3), (100, 777)]
+    rows, most = _most_joined(knowledge.relation_hits(table(asked, "question long, key long", "asked"), table(relations, "source long, target long, strength double", "r"), 5))
+    best = lambda keys: sorted({r for r in relations if r[0] in keys or r[1] in keys}, key=lambda r: (-r[2], r[0], r[1]))[:5]
+    want = {(q, *r, k) for q in [*range(60), 99] for k, r in enumerate(best((1, 2) if q < 60 else (3,)), 1)}
+    assert {(r.question, r.source, r.target, r.strength, r.rank) for r in rows} == want and len(rows) == len(want)
+    assert most <= 60 * 2 * 5 + 2 * 5
