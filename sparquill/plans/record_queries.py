@@ -88,10 +88,15 @@ def event_replay(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
 
+def _landed(docs: DataFrame) -> DataFrame:
+    """Dealt to as many files as the table is read in parts, four at least, so that a file doesn't grow with the table."""
+    return docs.repartition(max(4, docs.rdd.getNumPartitions()))
+
+
 @query("""SELECT lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang""")
 def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
     path, source = stage_path(spark), stage_path(spark)
-    table(spark, d, "documents").repartition(4).write.parquet(source)
+    _landed(table(spark, d, "documents")).write.parquet(source)
     rows = spark.readStream.schema(table(spark, d, "documents").schema).option("maxFilesPerTrigger", 2).parquet(source)
     ev.ingested(rows, path, stage_path(spark))
     return spark.read.parquet(path).groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from sparquill.operators import checks, knowledge, rewriting
-from sparquill.plans import reader_queries
+from sparquill.plans import reader_queries, record_queries
 from sparquill.sources import readers
 from sparquill.streaming import breakers
 from tests.conftest import SF
@@ -147,3 +147,15 @@ def test_weak_relations_meet_no_question(spark, table):
     want = {(q, *r, k) for q in [*range(60), 99] for k, r in enumerate(best((1, 2) if q < 60 else (3,)), 1)}
     assert {(r.question, r.source, r.target, r.strength, r.rank) for r in rows} == want and len(rows) == len(want)
     assert most <= 60 * 2 * 5 + 2 * 5
+
+
+def test_landed_files_grow_in_number_with_the_table(spark):
+    """A table of any size was dealt to four files, so a task read a quarter of it."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        docs = spark.read.parquet(f"{SF}/documents.parquet")
+        parts = docs.rdd.getNumPartitions()
+        assert record_queries._landed(docs).rdd.getNumPartitions() == parts > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
