@@ -15,13 +15,13 @@ LEXICAL = f"""WITH q AS (SELECT item_id AS question, unnest({TERMS.format('text'
 l AS (SELECT question, id, 2.0 * count(*) AS score, true AS strong FROM d JOIN q USING (term) GROUP BY ALL)"""
 
 
-def _lexical(spark: SparkSession, d: str, docs: DataFrame) -> DataFrame:
-    return search.lexical(docs, table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
+def _lexical(spark: SparkSession, d: str, docs: DataFrame, k: int) -> DataFrame:
+    return search.lexical(docs, table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text", k)
 
 
 @query(LEXICAL + " SELECT question, id, score, strong, CAST(row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS INT) AS rank FROM l QUALIFY rank <= 30")
 def lexical_candidates(spark: SparkSession, d: str) -> DataFrame:
-    found = _lexical(spark, d, table(spark, d, "documents"))
+    found = _lexical(spark, d, table(spark, d, "documents"), 30)
     return retrieval.top(found, ["question"], [F.desc("score"), F.asc("id")], 30)
 
 
@@ -50,7 +50,7 @@ SELECT *, CAST(row_number() OVER (PARTITION BY question ORDER BY score DESC, id)
 def hybrid_scoped(spark: SparkSession, d: str) -> DataFrame:
     """The scope cuts documents before candidates are chosen: the 24 nearest vectors and the 40 best lexical hits of each benchmark item."""
     docs = stage(_scope(spark, d))
-    found = retrieval.top(_lexical(spark, d, docs), ["question"], [F.desc("score"), F.asc("id")], 40)
+    found = retrieval.top(_lexical(spark, d, docs, 40), ["question"], [F.desc("score"), F.asc("id")], 40)
     vectors = table(spark, d, "embeddings")
     asked = vectors.join(table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
     near = retrieval.vector_top(vectors.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi"), asked, 24)
@@ -88,7 +88,7 @@ SELECT question, id, CAST(place AS INT) AS "at" FROM r UNION ALL SELECT question
 def padded_passages(spark: SparkSession, d: str) -> DataFrame:
     """The best eight documents with twelve terms or more, filled up with leading ones to six."""
     docs = table(spark, d, "documents")
-    found = retrieval.top(_lexical(spark, d, docs).where("score >= 24"), ["question"], [F.desc("score"), F.asc("id")], 8)
+    found = retrieval.top(_lexical(spark, d, docs, 8).where("score >= 24"), ["question"], [F.desc("score"), F.asc("id")], 8)
     return search.padded(found, docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("place")), "place", 6, 8)
 
 

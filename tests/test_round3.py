@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 from datetime import timedelta
 
 import duckdb
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from sparquill.operators import checks, knowledge, rewriting
+from sparquill.operators import checks, knowledge, rewriting, search
 from sparquill.plans import reader_queries, record_queries
 from sparquill.sources import readers
 from sparquill.streaming import breakers
@@ -159,3 +160,34 @@ def test_landed_files_grow_in_number_with_the_table(spark):
         assert record_queries._landed(docs).rdd.getNumPartitions() == parts > 4
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_lexical_terms_stay_where_texts_are(spark, monkeypatch):
+    """No term of a text is shuffled, and with k the best stay; blocks and portions are small here. Against brute force, runs of bigrams included."""
+    monkeypatch.setattr(search, "ASKED", 12)
+    monkeypatch.setattr(search, "CELLS", 60)
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice(["ab", "cd-1", "x9", "7", "".join(rng.choice("東京都庁") for _ in range(rng.randint(1, 9)))]) for _ in range(n))
+    docs, asked = [(k, text(4)) for k in range(80)] + [(80, None)], [(k, text(3)) for k in range(9)] + [(3, "x9 ab"), (9, ""), (10, None)]
+    runs = lambda t: re.findall("[東京都庁]+", t or "")
+    grams = lambda r: [r[i : i + 2] for i in range(max(len(r) - 1, 1))]
+    exact = lambda t: list(dict.fromkeys(w for w in (t or "").split() if w in ("ab", "cd-1", "x9")))
+    want = {}
+    for q in {q for q, _ in asked}:
+        own = [t for k, t in asked if k == q]
+        words, rows = [w for t in own for w in exact(t)], [[grams(r) for r in runs(t)] for t in own]
+        for d, t in docs:
+            has = {g for r in runs(t) for g in grams(r)}
+            n, every = sum(w in exact(t) for w in words), {g for row in rows for r in row for g in r}
+            most = max((len(part) for row in rows for r in row for part in "".join("x" if g in has else " " for g in r).split()), default=0)
+            if n or every & has:
+                share = len(every & has) / max(len(every), 1)
+                want[q, d] = 2.0 * n + share, bool(n or share >= 0.75 or most >= 4)
+    left, right = spark.createDataFrame(docs, "id long, t string"), spark.createDataFrame(asked, "q long, t string")
+    found = search.lexical(left, right, "id", "t", "q", "t")
+    assert "hashpartitioning(term" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.question, r.id): (r.score, r.strong) for r in found.collect()} == want and found.count() == len(want)
+    best = search.lexical(left, right, "id", "t", "q", "t", 2)
+    first = lambda rows: {(q, tuple(sorted((-s, d) for a, d, s in rows if a == q)[:2])) for q, _, _ in rows}
+    assert first([(r.question, r.id, r.score) for r in best.collect()]) == first([(q, d, s) for (q, d), (s, _) in want.items()])
+    assert best.count() < len(want)
