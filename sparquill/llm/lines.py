@@ -8,7 +8,8 @@ one third of passages of 3 lines, one ninth of 4, one in 730 of 8. Its first lin
 there.
 
 Of each such span with two lines or more that aren't blank all occurrences but the first (by id, row and place) are removed, if all that share its digest
-agree in their bytes. Counts by digest are aggregated before the shuffle and joined back; only repeated spans carry their bytes.
+agree in their bytes. Counts by digest are aggregated before the shuffle and joined back; only repeated spans carry their bytes. What is joined grows with the
+documents, so a small table is joined as a large one is: by merges, nothing broadcast but the names of files.
 
 Defined results: a null text has no lines, an empty one has one empty line; a null id counts as larger than every other; repeated rows repeat each
 other; a document whose lines all go keeps an empty text; other columns are not read. Rows are numbered by their place in their files.
@@ -97,10 +98,10 @@ def strip_chunks(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     rows = placed(docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text"))).withColumn("owner", F.coalesce("id", F.lit(NONE)))
     keyed = keep(rows.select("row", "owner", "text").mapInArrow(_keys, "row long, owner long, a int, b int, key binary"), "spans").withColumn("place", F.struct("owner", "row", "a"))
     again = keep(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1"), "keys")  # read again, so that the join can split a hot key
-    found = keep(keyed.join(again, "key").select("row", "a", "b", "key", (F.col("place") != F.col("first")).alias("later")), "repeats")
+    found = keep(keyed.join(again.hint("merge"), "key").select("row", "a", "b", "key", (F.col("place") != F.col("first")).alias("later")), "repeats")
     release(keyed), release(again)
     wanted = found.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("wanted"))
-    bodies = rows.select("row", "text").join(wanted, "row").select("text", "wanted").mapInArrow(_bytes, "key binary, body binary")
+    bodies = rows.select("row", "text").join(wanted.hint("merge"), "row").select("text", "wanted").mapInArrow(_bytes, "key binary, body binary")
     differ = keep(bodies.groupBy("key", "body").agg(F.lit(1).alias("one")).groupBy("key").count().where("count > 1").select("key"), "differ")  # digests of several texts: none, in all likelihood
     gone = found.where("later").join(differ, "key", "left_anti").groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
-    return rows.select("id", "text", "row").join(gone, "row", "left").select("id", "text", "gone").mapInArrow(_strip, "id long, n_lines long, n_chunks long, n_removed_lines long, kept string, kept_sha256 string")
+    return rows.select("id", "text", "row").join(gone.hint("merge"), "row", "left").select("id", "text", "gone").mapInArrow(_strip, "id long, n_lines long, n_chunks long, n_removed_lines long, kept string, kept_sha256 string")

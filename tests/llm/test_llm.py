@@ -639,3 +639,20 @@ def test_rows_keep_their_number_however_files_are_split(spark, table, tmp_path,
             assert Counter(map(repr, run().collect())) == whole
     finally:
         spark.conf.set(size, before)
+
+
+def test_line_spans_are_not_broadcast(spark, table, monkeypatch):
+    """Small tables are joined as large ones are: only the files' names are broadcast, and digests that several texts share."""
+    plans, write = [], lines_.keep
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(lines_, "keep", seen)
+    docs = table([(k, f"a{k}\nsame one\nsame two\nsame three\nsame four\nz{k}") for k in range(20)], "doc_id long, text string")
+    out = lines_.strip_chunks(docs)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    joins = [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line and "LeftAnti" not in line]
+    assert joins and all("__file" in line for line in joins)
+    assert out.agg({"n_removed_lines": "sum"}).first()[0] > 0
