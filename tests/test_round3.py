@@ -6,11 +6,12 @@ import re
 from datetime import timedelta
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from sparquill.operators import checks, knowledge, rewriting, search
+from sparquill.operators import checks, knowledge, retrieval, rewriting, search
 from sparquill.plans import reader_queries, record_queries
 from sparquill.sources import readers
 from sparquill.streaming import breakers
@@ -191,3 +192,27 @@ def test_lexical_terms_stay_where_texts_are(spark, monkeypatch):
     first = lambda rows: {(q, tuple(sorted((-s, d) for a, d, s in rows if a == q)[:2])) for q, _, _ in rows}
     assert first([(r.question, r.id, r.score) for r in best.collect()]) == first([(q, d, s) for (q, d), (s, _) in want.items()])
     assert best.count() < len(want)
+
+
+def test_vectors_meet_in_small_portions(spark, monkeypatch):
+    """Rows meet questions a few at a time, and those that can't be among the best any more aren't sorted; ties by id, against brute force."""
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    monkeypatch.setattr(retrieval, "ROWS", 4)
+    rng = random.Random(5)
+    rows = [(k, [float(rng.randint(-1, 1)) for _ in range(3)]) for k in range(60)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(2)
+    size = lambda v: sum(x * x for x in v) ** 0.5 or 1.0
+    near = lambda v, w: round(sum(x / size(v) * (y / size(w)) for x, y in zip(v, w, strict=True)), 6) + 0.0
+    want = {(q, r, d) for q, v in rows if q % 7 == 0 for r, (_, d) in enumerate(sorted((-near(v, w), d) for d, w in rows if d != q)[:5], 1)}
+    assert {(r.question, r["rank"], r.id) for r in retrieval.vector_top(df, df.where("vec_id % 7 = 0"), 5).collect()} == want
+
+
+def test_keyword_heads_in_small_portions(spark, monkeypatch):
+    """Heads of a few texts at a time are held, and one text's are the same wherever it stands."""
+    monkeypatch.setattr(search, "CHARS", 7)
+    texts = pa.array(["", "abcdef", "ab", "ß東京x" * 3, "a", "abcdefghijkl"])
+    found = list(search._heads([pa.record_batch([pa.array(range(6), pa.int64()), texts], ["_row", "_text"])]))
+    got = sorted((r["_row"], r["_head"]) for part in found for r in part.to_pylist())
+    assert got == sorted((k, h) for k, t in enumerate(texts.to_pylist()) for h in {t[i : i + n] for n in range(4) for i in range(len(t) - n + 1)})
+    assert len(found) > 2 and max(len(set(part["_row"].to_pylist())) for part in found) < 6
