@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from sparquill.operators import checks, knowledge, retrieval, rewriting, search
+from sparquill.operators import checks, knowledge, packing, retrieval, rewriting, search
 from sparquill.plans import reader_queries, record_queries
 from sparquill.sources import readers
 from sparquill.streaming import breakers
@@ -216,3 +216,18 @@ def test_keyword_heads_in_small_portions(spark, monkeypatch):
     got = sorted((r["_row"], r["_head"]) for part in found for r in part.to_pylist())
     assert got == sorted((k, h) for k, t in enumerate(texts.to_pylist()) for h in {t[i : i + n] for n in range(4) for i in range(len(t) - n + 1)})
     assert len(found) > 2 and max(len(set(part["_row"].to_pylist())) for part in found) < 6
+
+
+def test_groups_of_a_document_over_many_batches(spark):
+    """No document is a group of its own in Python; one that goes over batches is packed as one, and a null size counts 0."""
+    rng = random.Random(9)
+    rows = [(d, k, rng.choice([None, 1, 3, 9])) for d, n in ((1, 23), (2, 1), (3, 40), (None, 5)) for k in range(n)]
+    want = {(d, k): g for e in (1, 2, 3, None) for (d, k, _), g in zip([r for r in rows if r[0] == e], packing.groups([r[2] or 0 for r in rows if r[0] == e], 4, 10), strict=True)}
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        found = packing.packed(spark.createDataFrame(rows, "d long, k long, s long"), "d", "k", "s", 4, 10)
+        assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {(r.d, r.k): r.group for r in found.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
