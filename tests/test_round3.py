@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from sparquill.operators import checks, knowledge, packing, retrieval, rewriting, search
+from sparquill.functions import text
+from sparquill.operators import checks, graph, knowledge, nested, packing, retrieval, rewriting, search
 from sparquill.plans import reader_queries, record_queries
 from sparquill.sources import readers
 from sparquill.streaming import breakers
@@ -231,3 +232,25 @@ def test_groups_of_a_document_over_many_batches(spark):
         assert {(r.d, r.k): r.group for r in found.collect()} == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_pagerank_reads_edges_once_and_deals_nodes_to_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "NODES", 2)
+    monkeypatch.setattr(graph, "LINKS", 1)
+    links = [(1, 2), (1, 2), (1, 3), (2, 3), (3, 1), (4, 3), (3, 5), (6, 1)]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        read.add(1)
+        return x
+
+    edges = spark.createDataFrame(links, "src long, dst long").withColumn("src", F.udf(seen, "long")("src"))
+    found = {r.node: r["rank"] for r in graph.pagerank(edges, rounds=3).collect()}
+    assert read.value == len(links)
+    rank = {k: 1 / 6 for k in range(1, 7)}
+    for _ in range(3):
+        new = {k: 0.15 / 6 + 0.85 * rank[5] / 6 for k in rank}
+        for a, b in links:
+            new[b] += 0.85 * rank[a] / sum(x == a for x, _ in links)
+        rank = new
+    assert found.keys() == rank.keys() and all(abs(found[k] - rank[k]) < 1e-12 for k in rank)
