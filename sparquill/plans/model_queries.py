@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import questions
 from ..operators import evidence, nested, retrieval, rewriting, search, simulation, statistics, templates, units
 from ..sources import versions
-from ..sources.tables import stage_path, table
+from ..sources.tables import spread, stage_path, table
 from ..streaming import breakers, events
 from .queries import _brands, query
 
@@ -33,7 +33,7 @@ def nested_metrics(spark: SparkSession, d: str) -> DataFrame:
     report = F.when(kind == 0, F.format_string('"k": "top %s", ', "event_type")).otherwise('"k": null, ')
     deep = F.when(kind == 3, F.concat(F.lit('[[[[[[[{"v": '), "props", F.lit("}]]]]]]]"))).otherwise(F.concat(F.lit('{"z": ['), "props", F.lit(', {"k": "later"}]}')))
     json = F.concat(F.lit("{"), report, F.lit('"deep": '), deep, F.lit(', "messages": [1, null, '), F.coalesce(used, F.lit('"none"')), F.lit("]}"))
-    rows = table(spark, d, "events").select("event_id", json.alias("json"))
+    rows = spread(table(spark, d, "events").select("event_id", "event_type", "user_id", "props")).select("event_id", json.alias("json"))
     fields = {"tokens_in": ("input_tokens", "prompt_tokens"), "tokens_out": ("output_tokens", "completion_tokens")}
     sums = nested.totals(rows, "event_id", "json", "usage_metadata", fields)
     return sums.join(nested.first_under(rows, "event_id", "json", "k").withColumnRenamed("value", "report"), "event_id", "left")

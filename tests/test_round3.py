@@ -254,3 +254,15 @@ def test_pagerank_reads_edges_once_and_deals_nodes_to_blocks(spark, monkeypatch)
             new[b] += 0.85 * rank[a] / sum(x == a for x, _ in links)
         rank = new
     assert found.keys() == rank.keys() and all(abs(found[k] - rank[k]) < 1e-12 for k in rank)
+
+
+def test_nested_values_come_from_one_walk(spark):
+    """Levels were derived anew for every deeper one: one parse for each. Nulls, scalars, other keys and what isn't JSON have no value."""
+    texts = ['{"a": [1, {"k": null, "b": {"k": 3}}], "k\'s": 1}', '[[{"k": {"x": 1}}], {"k": 2}]', '"k"', "{", None, '{"b": [{"k": "t"}], "a": {"k": null}}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, j string")
+    found = nested.first_under(rows, "id", "j", "k")
+    assert {r.id: r.value for r in found.collect()} == {0: "3", 1: '{"x":1}', 5: "t"}
+    assert {r.id: r.value for r in nested.first_under(rows, "id", "j", "k", 1).collect()} == {1: "2"}
+    assert {r.id: r.value for r in nested.first_under(rows, "id", "j", "k's").collect()} == {0: "1"}
+    assert sorted((r.id, tuple(r.path)) for r in nested.nodes(rows, "id", "j", 2).select("id", "path").collect()) == [(0, ()), (0, (0,)), (0, (0, 1)), (1, ()), (1, (0,)), (1, (0, 0)), (1, (1,)), (2, ()), (5, ()), (5, (0,)), (5, (1,)), (5, (1, 0))]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
