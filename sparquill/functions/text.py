@@ -251,7 +251,8 @@ def numbered_sources(text: Column | str) -> Column:
     section = F.regexp_replace(section, r"(?s)\n#+\s.*$", "")
     rows = F.filter(F.split(section, "\n"), lambda r: r.rlike(r"^\s*(?:[-*]\s*)?\[\d+\].*https?://"))
     found = F.transform(rows, lambda r: F.struct(F.regexp_extract(r, r"\[(\d+)\]", 1).cast("int").alias("n"), F.trim(F.regexp_extract(r, r"\]\s*(.*?):?\s*https?://", 1)).alias("title"), F.regexp_extract(r, r"(https?://[^\s)]+)", 1).alias("url")))
-    return F.filter(found, lambda r, i: ~F.exists(F.slice(found, 1, i), lambda p: p["url"] == r["url"]))
+    none = F.array().cast("array<struct<n:int,title:string,url:string>>")
+    return F.aggregate(found, none, lambda out, r: F.when(F.exists(out, lambda p: p["url"] == r["url"]), out).otherwise(F.concat(out, F.array(r))))
 
 
 def unknown_citations(text: Column | str, known: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers, text
 from ..operators import extraction
 from ..sources import readers, sinks
-from ..sources.tables import stage_path, table
+from ..sources.tables import spread, stage_path, table
 from .queries import query
 
 
@@ -108,7 +108,7 @@ def report_sources(spark: SparkSession, d: str) -> DataFrame:
     report = F.concat(body, F.lit("## Sources\n[9] Old: https://old.example/\n## More\n\n## Sources\n"), first, F.lit("\n"), other, F.lit("\n## End\n[4] Late: https://late.example/"))
     named = F.transform(text.numbered_sources(report), lambda s: F.concat_ws(":", s["n"].cast("string"), s["title"], s["url"]))
     checked = text.unknown_citations(body, F.array(F.lit("S1"), F.lit("S2")))
-    return table(spark, d, "orders").select("o_orderkey", F.array_join(named, ",").alias("sources"), checked["text"].alias("body"), F.array_join(checked["removed"], ",").alias("removed"))
+    return spread(table(spark, d, "orders").select("o_orderkey", "o_custkey")).select("o_orderkey", F.array_join(named, ",").alias("sources"), checked["text"].alias("body"), F.array_join(checked["removed"], ",").alias("removed"))
 
 
 @query("""SELECT c_custkey, c_name AS publisher, CASE WHEN c_custkey % 2 = 0 THEN 'area ' || c_nationkey END AS geography, length('発行者: ' || c_name) AS blanks,

@@ -266,3 +266,11 @@ def test_nested_values_come_from_one_walk(spark):
     assert {r.id: r.value for r in nested.first_under(rows, "id", "j", "k's").collect()} == {0: "1"}
     assert sorted((r.id, tuple(r.path)) for r in nested.nodes(rows, "id", "j", 2).select("id", "path").collect()) == [(0, ()), (0, (0,)), (0, (0, 1)), (1, ()), (1, (0,)), (1, (0, 0)), (1, (1,)), (2, ()), (5, ()), (5, (0,)), (5, (1,)), (5, (1, 0))]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+def test_numbered_sources_are_read_once(spark):
+    """The sources of a report were read from its text again for each of them."""
+    report = "## Sources\n[1] A: https://a.b/1\n[2] B: https://a.b/2\n[3] A again: https://a.b/1\n[4] C https://a.b/3)"
+    rows = spark.createDataFrame([(report,), (None,), ("none",)], "t string").select(text.numbered_sources("t").alias("s"))
+    assert [[tuple(x) for x in r.s] for r in rows.collect()] == [[(1, "A", "https://a.b/1"), (2, "B", "https://a.b/2"), (4, "C", "https://a.b/3")], [], []]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
