@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import cosine
+from ..sources.tables import stage
 from . import graph, retrieval, trees
 
 # Kinds of blocks that a question may be limited to.
@@ -121,14 +122,14 @@ def ranked_sections(asked: DataFrame, titles: DataFrame, most: int | None = 60)
 def selected_by_section(asked: DataFrame, titles: DataFrame, tree: DataFrame, doc: str, order: str, section: Column, chosen: DataFrame | None = None, fallback: int = 3) -> DataFrame:
     """(question, doc, node): what is below the sections chosen for a question (question, node), or below the `fallback` nearest where none of those chosen is
     a section of its document. Sections themselves only if nothing else is there. A document without sections gives all its blocks."""
-    ranked = ranked_sections(asked, titles, None)
+    ranked = stage(ranked_sections(asked, titles, None))  # without vectors from here on
     if chosen is None:
         roots = ranked.where(F.col("rank") <= fallback)
     else:
         marked = ranked.join(chosen.select("question", "node", F.lit(True).alias("_c")).distinct(), ["question", "node"], "left")
         told = marked.withColumn("_told", F.max("_c").over(Window.partitionBy("question", "doc")))
         roots = told.where(F.when(F.col("_told"), F.col("_c")).otherwise(F.col("rank") <= fallback))
-    roots = roots.select("question", "doc", F.col("node").alias("root"))
+    roots = stage(roots.select("question", "doc", F.col("node").alias("root")))
     blocks = tree.select(F.col(doc).alias("doc"), F.col(order).alias("node"), section.alias("_s"))
     below = trees.subtree(tree, doc, order, roots.select("doc", "root").distinct())
     within = roots.join(below, ["doc", "root"]).select("question", "doc", "node").distinct()

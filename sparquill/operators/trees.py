@@ -21,11 +21,13 @@ def outline(blocks: DataFrame, doc: str, order: str, level: str) -> DataFrame:
 
 
 def ancestors(tree: DataFrame, doc: str, order: str, depth: int = LEVELS + 1) -> DataFrame:
-    """(doc, node, ancestor, steps): every block above each block. A tree of headings is at most `depth` deep, so the joins are few."""
+    """(doc, node, ancestor, steps): every block above each block. A tree of headings is at most `depth` deep, so the joins are few. Each step is written, so
+    none is joined again for those after it and a task holds the rows of one join."""
     up = stage(tree.where("parent IS NOT NULL").select(F.col(doc).alias("doc"), F.col(order).alias("node"), "parent"))
     found = front = up.select("doc", "node", F.col("parent").alias("ancestor"), F.lit(1).alias("steps"))
     for _ in range(depth - 1):
-        front = front.join(up.select("doc", F.col("node").alias("ancestor"), F.col("parent").alias("next")), ["doc", "ancestor"]).select("doc", "node", F.col("next").alias("ancestor"), (F.col("steps") + 1).alias("steps"))
+        above = up.select("doc", F.col("node").alias("ancestor"), F.col("parent").alias("next"))
+        front = stage(front.join(above, ["doc", "ancestor"]).select("doc", "node", F.col("next").alias("ancestor"), (F.col("steps") + 1).alias("steps")))
         found = found.union(front)
     return found
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from sparquill.functions import text
-from sparquill.operators import checks, extraction, graph, knowledge, nested, packing, retrieval, rewriting, search
+from sparquill.operators import checks, extraction, graph, knowledge, nested, packing, retrieval, rewriting, search, trees
 from sparquill.plans import reader_queries, record_queries
 from sparquill.sources import readers
 from sparquill.streaming import breakers
@@ -288,3 +288,11 @@ def test_numbers_of_a_batch_are_not_all_held_as_objects():
     assert peak < 10e6
     places = extraction.alias_offsets.func(pa.array(["a b A"] * 300 + [None]), pa.array([["a", "B"]] * 300 + [None], pa.list_(pa.string())))
     assert places[299].as_py() == [{"alias": "a", "at": 0}, {"alias": "a", "at": 4}, {"alias": "B", "at": 2}] and places[300].as_py() == []
+
+
+def test_ancestors_join_each_step_once(spark):
+    rows = [(1, k, k, k - 1 if k else None) for k in range(7)] + [(2, 0, 1, None), (2, 1, 0, 0)]
+    tree = spark.createDataFrame(rows, "d int, n int, level int, parent int")
+    found = trees.ancestors(tree, "d", "n")
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == sorted([(1, a, b, a - b) for a in range(7) for b in range(a)] + [(2, 1, 0, 1)])
