@@ -3,14 +3,14 @@
 Templates are the passages of licences: standard headers, titles, SPDX forms, and the paragraphs of full texts (of the long ones, those that open them).
 Each window of a text, a sentence or up to `max(WINDOWS)` adjacent lines, is compared with all passages; common words are no terms, idf comes from the
 passages, and a term that none has weighs most. A window of cosine `LEAST` or more has the passage's licence if the words that tell versions and variants apart allow it. Windows
-that can't reach `LEAST` are left out by a bound that is exact: the terms of a passage that weigh most, the rest of which weighs less than LEAST squared,
-can't all be missing.
+that can't reach `LEAST` are left out by two bounds that are exact: the terms of a passage that weigh most, the rest of which weighs less than LEAST squared,
+can't all be missing; and a window's cosine is at most the share of its length that lies in terms which passages have.
 
 A document's own licence is that of its best window. It is a licence file if its name says so or if at least half its words lie in such windows, and then
 declares the licence of its directory. A document without a licence of its own takes that of the nearest directory above it.
 
-Templates are a few rows of fixed text, weighed in advance, so their broadcast is bounded. Windows are written once. Inheritance is resolved on distinct
-directories and joined to documents.
+Templates are a few rows of fixed text, weighed in advance, so their broadcast is bounded. A text is cut to lines and terms once, and what may be a notice is
+written once; words are counted in documents with such windows only. Inheritance is resolved on distinct directories and joined to documents.
 
 Defined results: a null text has no notice; a null path lies in the root directory, whose name is empty; of several licence files in a directory the
 most similar counts, then the first licence by name; repeated rows are judged alike; other columns are not read.
@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -178,19 +179,60 @@ def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {text} AS t({schema})")
 
 
-def _windows(text: Column) -> Column:
-    """array of struct(first, n, body): the lines that pass the gate and their sentences, and all runs of adjacent lines with such a line, in lower case."""
-    lines = F.split(F.lower(text), "\n")
-    hot = F.filter(F.transform(lines, lambda line, i: F.when(_gate(line), i)), lambda i: i.isNotNull())
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), for which the value is computed once a row. Spark would compute an expression anew for each element that a lambda function meets."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+#: The terms of passages by number, those of which a window needs one first.
+CODES = {t: k for k, t in enumerate([*NEEDED, *sorted(IDF.keys() - set(NEEDED))])}
+
+
+def _counted(body: Column) -> Column:
+    """struct(known, others): the numbers of the terms that passages have, each as often as it occurs, and how many others there are."""
+    codes = F.expr(f"map({', '.join(f"'{t}', {k}" for t, k in CODES.items())})")
+    known = lambda terms: F.transform(F.filter(terms, lambda t: t.isin(*CODES)), lambda t: F.element_at(codes, t))
+    split = lambda terms: _once(known(terms), lambda own: F.struct(own.alias("known"), (F.size(terms) - F.size(own)).alias("others")))
+    return _once(F.filter(_terms(body), lambda t: ~t.isin(*sorted(COMMON))), split)
+
+
+def _near(known: Column, others: Column) -> Column:
+    """Whether a window with these terms may reach `LEAST`. Its cosine is at most the share of its known terms in its length. What they weigh beyond one
+    occurrence of each adds most to the sum of squares if it's all the heaviest one's; other terms add least if all differ."""
+    values = F.expr(f"array({', '.join(f'{IDF[t]!r}D' for t in CODES)})")
+    idf = lambda codes: F.transform(codes, lambda k: F.get(values, k))
+    add = lambda each: F.aggregate(each, F.lit(0.0), lambda n, x: n + x)
+    share = (LEAST - 0.001) ** 2
+
+    def enough(each: Column, all_: Column) -> Column:
+        more = all_ - add(each)
+        return (1 - share) * (add(F.transform(each, lambda x: x * x)) + 2 * more * F.array_max(each) + more * more) >= share * UNKNOWN**2 * others
+
+    return (F.size(known) > 0) & _once(F.struct(idf(F.array_distinct(known)).alias("each"), add(idf(known)).alias("all")), lambda x: enough(x["each"], x["all"]))
+
+
+def _windows(lines: Column) -> Column:
+    """array of struct(first, n, body) from lines in lower case: the lines that have a needed term, their sentences, and all runs of adjacent lines with such
+    a line, without those that can't reach `LEAST`."""
     window = lambda i, n, body: F.struct(i.alias("first"), F.lit(n).alias("n"), body.alias("body"))
-    single = F.flatten(F.transform(hot, lambda i: F.transform(F.split(F.get(lines, i), SENTENCES), lambda s: window(i, 1, s))))
+    none = F.array().cast("array<struct<first:int,n:int,body:string>>")
+
+    def single(x: Column, i: Column) -> Column:
+        sentences = F.array_distinct(F.concat(F.split(F.get(x["lines"], i), SENTENCES), F.array(F.get(x["lines"], i))))
+        return F.transform(F.filter(sentences, lambda s: _once(_counted(s), lambda c: _near(c["known"], c["others"]))), lambda s: window(i, 1, s))
+
+    def joined(x: Column, n: int) -> Column:
+        low, high = (lambda i: F.greatest(i - (n - 1), F.lit(0))), (lambda i: F.least(i, F.size(x["lines"]) - n))
+        first = F.array_distinct(F.flatten(F.transform(x["hot"], lambda i: F.when(low(i) <= high(i), F.sequence(low(i), high(i))).otherwise(F.array().cast("array<int>")))))
+        near = lambda c: _near(F.flatten(F.transform(c, lambda y: y["known"])), F.aggregate(c, F.lit(0), lambda m, y: m + y["others"]))
+        return F.transform(F.filter(first, lambda i: _once(F.slice(x["counts"], i + 1, n), near)), lambda i: window(i, n, F.array_join(F.slice(x["lines"], i + 1, n), " ")))
 
-    def joined(n: int) -> Column:
-        low, high = (lambda i: F.greatest(i - (n - 1), F.lit(0))), (lambda i: F.least(i, F.size(lines) - n))
-        first = F.array_distinct(F.flatten(F.transform(hot, lambda i: F.when(low(i) <= high(i), F.sequence(low(i), high(i))).otherwise(F.array().cast("array<int>")))))
-        return F.transform(first, lambda i: window(i, n, F.array_join(F.slice(lines, i + 1, n), " ")))
+    def all_of(x: Column) -> Column:
+        return F.concat(F.flatten(F.transform(x["hot"], lambda i: single(x, i))), *(joined(x, n) for n in WINDOWS if n > 1))
 
-    return F.concat(single, *map(joined, WINDOWS))
+    hot = lambda counts: F.filter(F.sequence(F.lit(0), F.size(counts) - 1), lambda i: F.array_min(F.get(counts, i)["known"]) < len(NEEDED))
+    whole = lambda y: _once(F.struct(y["lines"].alias("lines"), y["counts"].alias("counts"), hot(y["counts"]).alias("hot")), all_of)
+    return F.coalesce(_once(F.struct(lines.alias("lines"), F.transform(lines, _counted).alias("counts")), whole), none)
 
 
 def _allowed(body: Column) -> Column:
@@ -208,28 +250,33 @@ def scan(docs: DataFrame, id: Column, path: Column, text: Column) -> DataFrame:
     rows = rows.withColumn("dir", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", r"/[^/]*$", "")).otherwise(""))
     weights = F.broadcast(_values(spark, WEIGHTS, "licence, passage, term, w"))
     idf = F.broadcast(_values(spark, list(IDF.items()), "term, idf"))
-    said = rows.where(_gate(F.lower("text"))).select(*key, F.posexplode(_windows(F.col("text"))).alias("place", "window")).select(*key, "place", "window.*")
-    said = keep(said.withColumn("allowed", _allowed(F.col("body"))), "notices")
-    tf = said.select(*key, "place", F.explode(_terms(F.col("body"))).alias("term")).where(~F.col("term").isin(*sorted(COMMON))).groupBy(*key, "place", "term").agg(F.count("*").alias("tf"))
+    sizes = lambda lines: F.transform(lines, lambda line: F.size(F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")))
+    heard = lambda x: F.when(F.size(x["windows"]) > 0, F.struct(x["windows"].alias("windows"), sizes(x["lines"]).alias("sizes")))
+    noticed = _once(F.split(F.lower("text"), "\n"), lambda lines: _once(F.struct(lines.alias("lines"), _windows(lines).alias("windows")), heard))
+    noticed = rows.where(_gate(F.lower("text"))).select(*key, "path", "dir", F.explode(F.filter(F.array(noticed), lambda x: x.isNotNull())).alias("x")).select(*key, "path", "dir", "x.*")
+    noticed = keep(noticed, "notices")
+    said = noticed.select(*key, F.explode("windows").alias("window")).select(*key, "window.*").withColumn("digest", F.md5("body"))
+    bodies = said.select("digest", "body").dropDuplicates(["digest"])
+    tf = bodies.select("digest", F.explode(_terms(F.col("body"))).alias("term")).where(~F.col("term").isin(*sorted(COMMON))).groupBy("digest", "term").agg(F.count("*").alias("tf"))
     tf = tf.join(idf, "term", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(UNKNOWN)))
-    norm = tf.groupBy(*key, "place").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    dot = tf.join(weights, "term").groupBy(*key, "place", "licence", "passage").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    near = dot.join(norm, [*key, "place"]).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 4)).where(F.col("similarity") >= LEAST)
-    near = near.join(said.drop("body"), [*key, "place"]).where(F.array_contains("allowed", F.col("licence")))
+    norm = tf.groupBy("digest").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    dot = tf.join(weights, "term").groupBy("digest", "licence", "passage").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
+    near = dot.join(norm, "digest").withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 4)).where(F.col("similarity") >= LEAST)
+    near = near.groupBy("digest", "licence").agg(F.max("similarity").alias("similarity")).join(bodies, "digest").where(F.array_contains(_allowed(F.col("body")), F.col("licence")))
+    near = said.drop("body").join(near.select("digest", "licence", "similarity"), "digest")
     lines = F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1))))
     best = near.groupBy(*key).agg(F.min(F.struct((-F.col("similarity")).alias("less"), "licence")).alias("top"), F.collect_set("licence").alias("every"), lines.alias("lines"))
     own_licence = reduce(lambda out, p: F.when((out == p[1]) & F.array_contains("every", p[0]), p[0]).otherwise(out), INSTEAD.items(), F.col("top.licence"))
     best = best.select(*key, (-F.col("top.less")).alias("similarity"), own_licence.alias("own_licence"), "lines")
-    sizes = F.transform(F.split("text", "\n"), lambda line: F.size(F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")))
-    own = rows.select(*key, "id", "path", "dir", sizes.alias("sizes")).join(best, key, "left")
     total = lambda s: F.aggregate(s, F.lit(0), lambda n, x: n + x)
     whole = 2 * total(F.transform("lines", lambda k: F.get("sizes", k))) >= total("sizes")
-    own = own.withColumn("is_file", F.col("own_licence").isNotNull() & (whole | F.regexp_replace("path", "^.*/", "").rlike(NAMED)))
+    own = noticed.select(*key, "path", "dir", "sizes").join(best, key).withColumn("is_file", whole | F.regexp_replace("path", "^.*/", "").rlike(NAMED))
+    own = keep(own.select(*key, "dir", "own_licence", "similarity", "is_file"), "licences")
 
     files = own.where("is_file").groupBy("dir").agg(F.min(F.struct(-F.col("similarity"), F.col("own_licence"))).alias("best"))
     files = files.select(F.col("dir").alias("above"), F.col("best.own_licence").alias("declared"))
     parts = F.split("dir", "/")
-    above = own.select("dir").distinct().select("dir", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/")))).alias("above")).distinct()
+    above = rows.select("dir").distinct().select("dir", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/")))).alias("above")).distinct()
     nearest = above.join(files, "above").groupBy("dir").agg(F.max(F.struct(F.length("above").alias("depth"), "above", "declared")).alias("n"))
-    found = own.join(nearest.select("dir", F.col("n.above").alias("declared_in"), F.col("n.declared").alias("declared")), "dir", "left")
+    found = rows.select(*key, "id", "path", "dir").join(own.drop("dir", "is_file"), key, "left").join(nearest.select("dir", F.col("n.above").alias("declared_in"), F.col("n.declared").alias("declared")), "dir", "left")
     return found.select("id", "path", "own_licence", "similarity", F.coalesce("own_licence", "declared").alias("licence"), F.when(F.col("own_licence").isNull(), F.col("declared_in")).alias("declared_in"))
