@@ -168,6 +168,11 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORDS), 0)
 
 
+def _lower(text: Column) -> Column:
+    """In lower case as in SQL: a capital I with a dot is an i, not an i and a dot that would end a term."""
+    return F.lower(F.replace(text, F.lit("İ"), F.lit("i")))
+
+
 def _gate(text: Column) -> Column:
     """Whether a text in lower case has a term without which no window reaches `LEAST`."""
     return F.arrays_overlap(_terms(text), F.array(*map(F.lit, NEEDED)))
@@ -252,8 +257,8 @@ def scan(docs: DataFrame, id: Column, path: Column, text: Column) -> DataFrame:
     idf = F.broadcast(_values(spark, list(IDF.items()), "term, idf"))
     sizes = lambda lines: F.transform(lines, lambda line: F.size(F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")))
     heard = lambda x: F.when(F.size(x["windows"]) > 0, F.struct(x["windows"].alias("windows"), sizes(x["lines"]).alias("sizes")))
-    noticed = _once(F.split(F.lower("text"), "\n"), lambda lines: _once(F.struct(lines.alias("lines"), _windows(lines).alias("windows")), heard))
-    noticed = rows.where(_gate(F.lower("text"))).select(*key, "path", "dir", F.explode(F.filter(F.array(noticed), lambda x: x.isNotNull())).alias("x")).select(*key, "path", "dir", "x.*")
+    noticed = _once(F.split(_lower(F.col("text")), "\n"), lambda lines: _once(F.struct(lines.alias("lines"), _windows(lines).alias("windows")), heard))
+    noticed = rows.where(_gate(_lower(F.col("text")))).select(*key, "path", "dir", F.explode(F.filter(F.array(noticed), lambda x: x.isNotNull())).alias("x")).select(*key, "path", "dir", "x.*")
     noticed = keep(noticed, "notices")
     said = noticed.select(*key, F.explode("windows").alias("window")).select(*key, "window.*").withColumn("digest", F.md5("body"))
     bodies = said.select("digest", "body").dropDuplicates(["digest"])

@@ -5,10 +5,11 @@ import re
 import time
 from collections import Counter
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparquill.llm import licences
+from sparquill.llm import licences, queries
 
 PASSAGES = [body for bodies in licences.TEMPLATES.values() for body in bodies]
 PROSE = "zebra source list software license version named 2.0 stone river found made house".split()
@@ -59,3 +60,13 @@ def test_prose_with_words_of_licences_has_no_windows_and_long_texts_take_no_squa
     found = {r.id: r.own_licence for r in licences.scan(docs, F.col("doc_id"), F.col("path"), F.col("text")).collect()}
     assert found == {1: "MIT", 2: None}
     assert time.time() - began < 90  # 49 s for half as many lines when each window cut its text anew
+
+
+def test_odd_texts_equal_sql(spark, table, tmp_path):
+    data = [*texts(60, 5), None, "", "\n\n", "software " * 40, "SPDX-LICENSE-IDENTIFIER: İSTANBUL MIT", "Licensed İ under CC BY 4.0.", *(p.upper() + " İSTANBUL" for p in PASSAGES[::9])]
+    table([(k, t, "ab"[k % 2], None if k % 5 else "c/d") for k, t in enumerate(data)], "doc_id long, text string, lang string, source string", "documents")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.oracle_sql()["op4_licences"])
+    found = queries.op4_licences(spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted((tuple(r) for r in found), key=repr) == sorted(want.fetchall(), key=repr)
