@@ -10,7 +10,8 @@ A document's own licence is that of its best window. It is a licence file if its
 declares the licence of its directory. A document without a licence of its own takes that of the nearest directory above it.
 
 Templates are a few rows of fixed text, weighed in advance, so their broadcast is bounded. A text is cut to lines and terms once, and what may be a notice is
-written once; words are counted in documents with such windows only. Inheritance is resolved on distinct directories and joined to documents.
+written once; words are counted in documents with such windows only. Inheritance is resolved on distinct directories, which are written, so that Spark can spread a directory
+of many documents when it joins them.
 
 Defined results: a null text has no notice; a null path lies in the root directory, whose name is empty; of several licence files in a directory the
 most similar counts, then the first licence by name; repeated rows are judged alike; other columns are not read.
@@ -283,5 +284,6 @@ def scan(docs: DataFrame, id: Column, path: Column, text: Column) -> DataFrame:
     parts = F.split("dir", "/")
     above = rows.select("dir").distinct().select("dir", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/")))).alias("above")).distinct()
     nearest = above.join(files, "above").groupBy("dir").agg(F.max(F.struct(F.length("above").alias("depth"), "above", "declared")).alias("n"))
-    found = rows.select(*key, "id", "path", "dir").join(own.drop("dir", "is_file"), key, "left").join(nearest.select("dir", F.col("n.above").alias("declared_in"), F.col("n.declared").alias("declared")), "dir", "left")
+    nearest = keep(nearest.select("dir", F.col("n.above").alias("declared_in"), F.col("n.declared").alias("declared")), "directories")
+    found = rows.select(*key, "id", "path", "dir").join(own.drop("dir", "is_file"), key, "left").join(nearest, "dir", "left")
     return found.select("id", "path", "own_licence", "similarity", F.coalesce("own_licence", "declared").alias("licence"), F.when(F.col("own_licence").isNull(), F.col("declared_in")).alias("declared_in"))
